@@ -8,8 +8,8 @@ Documents are sets of 5-word shingles; a link is a Jaccard similarity of THRESHO
    one leader (its smallest id), so it yields as many pairs as members, not their square.
 3. Prune: MinHash values of a pair are compared STEP at a time. With a uniform prior, the similarity's
    posterior after m matches in n is Beta(m+1, n-m+1); once P(similarity >= THRESHOLD) is under TOLERANCE the
-   pair is dropped. Members dropped by their leader go on to the next round of their bucket under a new leader,
-   until none is left: any two members of a bucket end up compared or joined to the same leader.
+   pair is dropped. Members dropped by their leader go on under a new leader, in one task where BUCKET or fewer
+   are left and in another round of joins otherwise, until none is left: any two members of a bucket end up compared or joined to the same leader.
 4. Verify exactly: surviving pairs cut the representatives into small neighbourhoods. Within each, all pairs are
    verified on the full shingle sets, in tiles of TILE x TILE documents that yield one row per document (its
    number of links and the root of its linked part), not one per pair.
@@ -47,6 +47,8 @@ BANDS, ROWS = 64, 8
 #: MinHash values kept for pruning, as 16 bits each, and how many are compared at a time.
 KEPT, STEP, TOLERANCE = 256, 32, 1e-6
 TILE = 256
+#: Members without a leader up to which a bucket is led to its end in one task.
+BUCKET = 512
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -134,11 +136,23 @@ def _likely(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(survivors(matrix(a), matrix(b)))
 
 
-def star_links(reps: DataFrame) -> DataFrame:
+def _lead_all(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links a bucket of bounded size gives: its members led in turn by the smallest id still unlinked."""
+    rows = rows.sort_values("v", kind="stable")
+    v, sketch = rows["v"].to_numpy(), np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(len(rows), KEPT)
+    a, b = [], []
+    while len(v) > 1:
+        alike = survivors(np.broadcast_to(sketch[0], sketch[1:].shape), sketch[1:])
+        a += [v[0]] * int(alike.sum())
+        b += v[1:][alike].tolist()
+        v, sketch = v[1:][~alike], sketch[1:][~alike]
+    return pd.DataFrame({"a": a, "b": b}, dtype=rows["v"].dtype)
+
+
+def star_links(bands: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b: pairs of representatives that survive pruning, joining whatever shares a bucket and is alike."""
-    sketches = reps.select("v", "sketch")
-    rows = reps.select("v", F.explode("bands").alias("key"))
-    links = None
+    rows, links = bands.select("v", F.explode("bands").alias("key")), None
+    kind = bands.schema["v"].dataType.simpleString()
     while True:
         shared = rows.groupBy("key").agg(F.min("v").alias("lead"), F.max("v").alias("_last")).where("lead != _last").drop("_last")
         rows = saved(rows.join(shared, "key").where("v != lead"), "join-buckets")
@@ -147,9 +161,15 @@ def star_links(reps: DataFrame) -> DataFrame:
         judged = saved(pairs.select("lead", "v", _likely("_s", "_t").alias("alike")), "join-judged")
         good = judged.where("alike").select(F.col("lead").alias("a"), F.col("v").alias("b"))
         links = good if links is None else links.unionByName(good)
-        if not judged.where("not alike").head(1):
+        left = saved(rows.join(judged.where("not alike"), ["lead", "v"], "left_semi").select("v", "key"), "join-left")
+        discard(rows)
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        few = left.join(sizes.where(F.col("n").between(2, BUCKET)).select("key"), "key").join(sketches, "v")
+        links = links.unionByName(saved(few.groupBy("key").applyInPandas(_lead_all, f"a {kind}, b {kind}").distinct(), "join-links"))
+        many = sizes.where(F.col("n") > BUCKET).select("key")
+        if not many.head(1):
             return links
-        rows = rows.join(judged.where("not alike"), ["lead", "v"], "left_semi").select("v", "key")
+        rows = left.join(many, "key").select("v", "key")
 
 
 def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -225,8 +245,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, class_id (smallest id of its group of linked documents), n_links (documents similar to it), copy_of (smallest id with an equal shingle set), n_shingles."""
     signed = saved(sign(docs, id_col, text_col), "join-signed")
     classes = saved(signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("copies")), "join-classes")
-    reps = signed.where("n > 0").withColumnRenamed("doc_id", "v").join(classes, ["c1", "c2", "v"]).select("v", "bands", "sketch")
-    blocks = components(star_links(reps)).join(classes, "v")
+    reps = signed.where("n > 0").withColumnRenamed("doc_id", "v").join(classes, ["c1", "c2", "v"])
+    sketches = saved(reps.select("v", "sketch"), "join-sketches")
+    blocks = components(star_links(reps.select("v", "bands"), sketches)).join(classes, "v")
     checked = saved(exact_links(docs, blocks, id_col, text_col), "join-checked")
     links = checked.groupBy("v").agg(F.sum("links").alias("_links"))
     groups = components(checked.where("v != root").select(F.col("v").alias("a"), F.col("root").alias("b")))
