@@ -17,8 +17,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that a document with a smaller id has already."""
     out = linededup.without_repeated_lines(docs)
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    return out.select(*(text.alias("text") if c == "text" else F.char_length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

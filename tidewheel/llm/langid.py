@@ -143,5 +143,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows that have no language: no letter, or closeness below `least` to every profile."""
     profiles = learn(docs, text_col, lang_col, F.col(id_col).isNotNull() & ~held_out(id_col))
-    p = language(profiles, text_col)
-    return docs.withColumn("_p", p).where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), language(profiles, text_col).alias("p"))
+    return rows.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")

@@ -73,16 +73,16 @@ class CuckooFilter:
             fits = rank < free.sum(1)
             self.table[at[fits], slot[fits]] = fp[fits]
             fp, at, rank = fp[~fits], at[~fits], rank[~fits]
-            if turn % 2 == 0:
+            if turn == 0:
                 at = self._other(at, fp)
-            elif len(fp):  # the first of each full bucket takes a slot, its holder moves to its other bucket
+            elif len(fp):  # the first of each full bucket takes a slot, whose holder moves on to its other bucket
                 first = np.r_[True, at[1:] != at[:-1]]
-                full = first & (self.table[at] != 0).all(1)
-                s = rng.integers(0, SLOTS, full.sum())
+                full = np.flatnonzero(first & (self.table[at] != 0).all(1))
+                s = rng.integers(0, SLOTS, len(full))
                 held = self.table[at[full], s].copy()
                 self.table[at[full], s] = fp[full]
                 fp[full] = held
-                at = self._other(at, fp)
+                at[full] = self._other(at[full], held)
         return not len(fp)
 
     def remove(self, keys: np.ndarray) -> None:
@@ -128,10 +128,9 @@ class LineIndex:
             box = CuckooFilter.load(known["data"].iloc[0]) if len(known) else CuckooFilter(len(fresh))
             h = fresh["print"].to_numpy(np.int64)
             seen = box.contains(h) if len(known) else np.zeros(len(h), bool)
-            if not box.insert(h[~seen]):
-                return pd.DataFrame({"shard": [key[0]], "print": [None], "data": [b""]})  # too full: rebuilt from the exact table
+            data = box.dump() if box.insert(h[~seen]) else b""  # too full: built anew from the exact table
             rows = pd.DataFrame({"shard": key[0], "print": pd.Series(h[seen], dtype="Int64"), "data": None})
-            return pd.concat([pd.DataFrame({"shard": [key[0]], "print": pd.Series([None], dtype="Int64"), "data": [box.dump()]}), rows])
+            return pd.concat([pd.DataFrame({"shard": [key[0]], "print": pd.Series([None], dtype="Int64"), "data": [data]}), rows])
 
         done = saved(held.groupBy("shard").cogroup(prints.groupBy("shard")).applyInPandas(add, "shard int, print long, data binary"), "line-filters")
         self.refs = new if self.refs is None else saved(self.refs.unionByName(new), "line-refs")
@@ -185,24 +184,23 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """doc_id, dropped (line positions): the lines that lose to a smaller document id."""
-        several = self.counts().where("n_docs > 1").select("key", "first_doc")
+        several = saved(self.counts().where("n_docs > 1").select("key", "first_doc"), "line-counts")  # apart, so that a skewed join can be split
         lost = self.refs.join(several, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         return lost.groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _lines (all), _kept (their text after dropping) and _dropped (how many)."""
-    drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("dropped").alias("_positions"))
-    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_id"]), "left").drop("_drop_id")
-    lines = F.split(body(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_positions"))
-    kept = F.when(F.col("_positions").isNull(), body(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_split"), i)), "\n"))
-    joined = joined.withColumn("_split", lines)
-    out = joined.withColumns({"_lines": F.size("_split").cast("long"), "_kept": kept, "_dropped": F.coalesce(F.size("_positions"), F.lit(0)).cast("long")})
-    return out.drop("_split", "_positions")
+    """row (docs' columns as a struct), doc_id, n_lines, n_dropped, kept (the text without its dropped lines)."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.split(body(text_col), "\n", -1).alias("lines"))
+    gone = drops.select(F.col("doc_id").alias("drop_id"), "dropped")
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
+    kept = F.when(F.col("dropped").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return joined.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """dedup_lines() against an index of these documents themselves."""
     index = LineIndex(docs.sparkSession)
     index.insert(docs, id_col=id_col, text_col=text_col)
     return dedup_lines(docs, index.drops(), id_col, text_col)

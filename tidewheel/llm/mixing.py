@@ -125,8 +125,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it, with docs' columns, _shard and _place."""
-    plan = mix_sources(docs, id_col, **how).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(F.struct("copies", "shards", "places")).alias("_m"))
-    plan = plan.select("_mix_id", F.explode(F.arrays_zip(F.col("_m.shards").alias("s"), F.col("_m.places").alias("p"))).alias("_c"))
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.col("_c.s").alias("_shard"), F.col("_c.p").alias("_place"))
+    """row (docs' columns as a struct), shard, place: the rows of docs that the mix takes, each as often as it takes it."""
+    plan = mix_sources(docs, id_col, **how).where("copies > 0").groupBy("doc_id").agg(F.max(F.struct("copies", "shards", "places")).alias("m"))
+    plan = plan.select("doc_id", F.explode(F.arrays_zip(F.col("m.shards").alias("shard"), F.col("m.places").alias("place"))).alias("c"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    return rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "c.shard", "c.place")
