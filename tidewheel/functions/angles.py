@@ -75,4 +75,4 @@ def direction_speed(u: Column, v: Column, kind: str = "trigonometric") -> tuple[
     """Direction (null where the speed is 0) and speed of a vector."""
     speed = F.abs(u) + F.abs(v) if kind == "triangular" else F.sqrt(u * u + v * v)
     s, c = F.try_divide(u, speed), F.try_divide(v, speed)
-    return (from_triangular(s, c) if kind == "triangular" else from_sin_cos(s, c)), speed
+    return F.when(speed > 0, from_triangular(s, c) if kind == "triangular" else from_sin_cos(s, c)), speed
