@@ -24,7 +24,9 @@ def duck():
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or v != v else f"{v + 0.0:.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    import pandas as pd
+
+    plain = lambda v: None if pd.isna(v) else f"{v + 0.0:.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(map(plain, r)) for r in frame[sorted(frame)].itertuples(index=False)), key=str)
 
 
