@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.plans import exploration, models, relations, timeseries
+from tidewheel.plans import charts, exploration, models, relations, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (relations, timeseries, exploration, models):
+for _part in (relations, timeseries, exploration, charts, models):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
