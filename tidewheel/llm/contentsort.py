@@ -1,9 +1,10 @@
 """Exact duplicates by sorting content.
 
-Sampled splitters range-partition the normalised bytes, an external sort inside each partition places equal
-texts side by side, and neighbours are compared in full. A range cannot split one key, so the key is
-(text, salt of the id): a text that a third of the rows share is spread over SALTS sorted groups, each of
-which is reduced to one head; heads of the same text (SALTS at most) then settle the survivor together.
+Sampled splitters range-partition the normalised text, an external sort inside each partition places equal
+texts side by side, and neighbours are compared in full. The splitters are cut from the first SPLIT_CHARS
+code points, so what the driver samples is short however long texts are. A range cannot split one key, so the
+key ends in a salt of the id: a text that a third of the rows share is spread over SALTS sorted groups, each
+of which is reduced to one head; heads of the same text (SALTS at most) then settle the survivor together.
 
 Cases: a null text counts as empty and empty texts are copies of each other; rows that repeat an id and its
 text all carry that id as keep_id and are all marked kept; a null id survives only where its text has no
@@ -19,6 +20,8 @@ from tidewheel.llm.common import ascii_lower, body, saved
 
 #: Sorted groups that copies of one text are spread over.
 SALTS = 32
+#: Code points of a text that range splitters are cut from.
+SPLIT_CHARS = 32
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", salts: int = SALTS) -> DataFrame:
@@ -26,9 +29,10 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best, order = (F.max, F.col("doc_id").desc_nulls_last()) if keep == "max" else (F.min, F.col("doc_id").asc_nulls_last())
     rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(body(text_col)).alias("_text"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    by_content = rows.repartitionByRange("_text", "_salt").sortWithinPartitions("_text", "_salt", order)
-    near = Window.partitionBy("_text", "_salt").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = Window.partitionBy("_text", "_salt").orderBy(order)
+    rows = rows.withColumn("_lead", F.substring("_text", 1, SPLIT_CHARS))
+    by_content = rows.repartitionByRange("_lead", "_salt").sortWithinPartitions("_lead", "_salt", "_text", order)
+    place = Window.partitionBy("_lead", "_salt", "_text").orderBy(order)
+    near = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = by_content.select(
         "doc_id", "_salt", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"),
         F.first("doc_id").over(near).alias("_keep"), F.count(F.lit(1)).over(near).alias("_n"), (F.row_number().over(place) == 1).alias("_head"),

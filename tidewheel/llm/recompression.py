@@ -80,7 +80,8 @@ def windows(first: np.ndarray, size: int) -> np.ndarray:
 def anchors(h: np.ndarray, first: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor name, start, count: runs of consecutive windows of a text that have the same anchor occurrence.
 
-    A window that covers no symbol's reach is its own anchor.
+    An anchor's name is its symbol's joined with the words of its reach, which each of its windows covers: that
+    tells apart what only short symbols have in common. A window that covers no reach is its own anchor.
     """
     n = len(h)
     valid = windows(first, size)
@@ -108,7 +109,7 @@ def anchors(h: np.ndarray, first: np.ndarray, size: int, rounds: int = ROUNDS) -
     position, who = at[start], who[start]
     anchor = np.zeros(len(position), np.uint64)
     known = who >= 0
-    anchor[known] = name[who[known]]
+    anchor[known] = name[who[known]] ^ spans(h, rlo[who[known]], rhi[who[known]], SECOND)
     anchor[~known] = spans(h, position[~known], position[~known] + size, SECOND)
     return anchor, position, count
 

@@ -9,9 +9,10 @@
 3. Only for those the windows themselves are hashed (128 bits) and the earliest of equal ones found.
 4. A document's repeated windows cover the words to remove.
 
-Anchors that the sample of 1 document in HOT_SAMPLE shows to be frequent (HOT_ANCHORS of them at most, so the
-list is bounded) take another way than the single shuffle by anchor: they are pre-aggregated per stretch in
-the map tasks and joined back, which adaptive execution can split. The list changes speed, not results.
+Anchors that a sample of 1 document in HOT_SAMPLE shows to be frequent (HOT_ANCHORS of them at most, so the
+list is bounded) are salted: their stretches fall into SALTS groups each. There, one that isn't the first of
+its group repeats an earlier one for certain, and the first of each group is compared window by window. The
+list changes speed, not results.
 
 Cases: a null text has no words and keeps nothing; texts of under SIZE words keep all of theirs; a repeat
 inside one document counts; overlapping repeats are judged on the input, not on what is left; a null id comes
@@ -22,25 +23,26 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import WORD, saved
+from tidewheel.llm.common import partitions, saved
 from tidewheel.llm.recompression import anchors, prints
 from tidewheel.llm.words import FIRST, Words, chunks, spans
 
 SIZE = 20
-HOT_SAMPLE, HOT_ANCHORS, HOT_LEAST = 64, 4096, 64
-_WORD = re.compile(WORD)
+HOT_SAMPLE, HOT_ANCHORS, HOT_LEAST, SALTS = 64, 4096, 64, 32
 
 
-def stretches(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """anchor, stretch, doc_id, start (word), windows over (doc_id, text)."""
+def stretches(docs: DataFrame, size: int = SIZE, hot: np.ndarray | None = None) -> DataFrame:
+    """anchor, stretch, doc_id, place (first word * 64 + windows), hot (in that sorted list) over (doc_id, text)."""
+    hot = np.zeros(0, np.int64) if hot is None else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,101 +53,122 @@ def stretches(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 doc = np.searchsorted(words.first, start, "right") - 1
                 whole = spans(h, start, start + count + size - 1, FIRST)
                 ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), ids, pa.array((start - words.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "stretch", "doc_id", "start", "windows"])
+                name = anchor.view(np.int64)
+                listed = hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name if len(hot) else np.zeros(len(name), bool)
+                place = (start - words.first[doc]) * 64 + count
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(whole.view(np.int64)), ids, pa.array(place.astype(np.int64)), pa.array(listed)], ["anchor", "stretch", "doc_id", "place", "hot"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"anchor long, stretch long, doc_id {kind}, start int, windows int")
+    return docs.mapInArrow(run, f"anchor long, stretch long, doc_id {kind}, place long, hot boolean")
 
 
 def judged(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, start, windows, open: stretches that repeat an earlier one, and (open) those to compare window by window."""
-    rows = stretches(docs, size)
+    """doc_id, mark: place * 2, and 1 more if its windows are to be compared; of stretches that may repeat an earlier one."""
     sample = stretches(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HOT_SAMPLE)) == 0), size)
     often = sample.groupBy("anchor").count().where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "anchor").limit(HOT_ANCHORS)
-    hot = [r.anchor for r in often.collect()]
-    hot_table = F.broadcast(docs.sparkSession.createDataFrame([(a,) for a in hot], "anchor long"))
-    rest = rows.join(hot_table, "anchor", "left_anti") if hot else rows
-
-    by_anchor, by_stretch = Window.partitionBy("anchor"), Window.partitionBy("anchor", "stretch")
-    here = F.struct("doc_id", "start")
-    seen = rest.withColumns({"_first": F.min(here).over(by_stretch), "_lo": F.min("stretch").over(by_anchor), "_hi": F.max("stretch").over(by_anchor), "_n": F.count(F.lit(1)).over(by_anchor)}).where("_n > 1")
-    if hot:
-        mine = rows.join(hot_table, "anchor", "left_semi")
-        firsts = saved(mine.groupBy("anchor", "stretch").agg(F.min(here).alias("_first")), "repeat-hot")
-        several = firsts.groupBy("anchor").agg(F.min("stretch").alias("_lo"), F.max("stretch").alias("_hi"))
-        firsts = firsts.join(F.broadcast(several), "anchor")  # a row per hot anchor: HOT_ANCHORS at most
-        seen = seen.drop("_n").unionByName(mine.join(firsts, ["anchor", "stretch"]))
+    hot = np.sort(np.array([r.anchor for r in often.collect()], np.int64))
+    salted = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(0)
+    rows = stretches(docs, size, hot).select("anchor", "stretch", "doc_id", (F.col("place") * 64 + salted).alias("place"))
+    salt = F.col("place") % 64
+    by_anchor, by_stretch = Window.partitionBy("anchor", "salt"), Window.partitionBy("anchor", "salt", "stretch")
+    dealt = rows.withColumn("salt", salt)
+    here = F.struct("doc_id", "place")
+    seen = dealt.withColumns({"_first": F.min(here).over(by_stretch), "_lo": F.min("stretch").over(by_anchor), "_hi": F.max("stretch").over(by_anchor), "_n": F.count(F.lit(1)).over(by_anchor)})
     first = here.eqNullSafe(F.col("_first"))
-    return seen.where(~first | (F.col("_lo") != F.col("_hi"))).select("doc_id", "start", "windows", first.alias("open"))
+    seen = seen.where((F.col("salt") > 0) | ((F.col("_n") > 1) & (~first | (F.col("_lo") != F.col("_hi")))))
+    return seen.select("doc_id", (F.shiftright("place", 6) * 2 + first.cast("long")).alias("mark"))
 
 
-def _digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _covered(n: int, ranges: list[tuple[int, int]], size: int) -> np.ndarray:
-    """Which of n words lie in a repeated window, given (first window, windows)."""
-    edge = np.zeros(n + 1, np.int32)
-    for start, count in ranges:
-        if start < n:
-            edge[start] += 1
-            edge[min(n, start + count + size - 1)] -= 1
+def _covered(n: int, start: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """Which of n words lie in a repeated window, given first windows and numbers of windows."""
+    edge = np.zeros(n + 1, np.int64)
+    ok = start < n
+    np.add.at(edge, start[ok], 1)
+    np.add.at(edge, np.minimum(n, start[ok] + count[ok] + size - 1), -1)
     return np.cumsum(edge)[:n] > 0
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and where each row's begin (and the end); null rows are empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
 def cover(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, kept (the words that stay, joined by a blank), n_removed, kept_sha256."""
+    """doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by a blank)."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = judged(docs, size).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "open")).alias("marks"))
-    marked = docs.join(marks.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "marks")
-
-    done_schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, text string, ranges array<int>, at array<int>, p1 array<long>, p2 array<long>"
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "ranges", "at", "p1", "p2"]
+    key = F.coalesce(F.concat(F.lit("v"), F.col("doc_id").cast("string")), F.lit("n")).alias("key")  # the id; a null one too has a key
+    marks = judged(docs, size).groupBy("doc_id").agg(F.collect_list("mark").alias("marks")).select(key, "marks")
+    marked = docs.select(key, "doc_id", "text").join(marks, "key", "left").select("key", "doc_id", "text", "marks")
+    names = ["key", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "marks", "at", "p1", "p2"]
+    schema = f"key string, doc_id {kind}, n_words long, n_removed long, kept_sha256 string, text string, marks array<long>, at array<int>, p1 array<long>, p2 array<long>"
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, at in chunks(batch.column(1), 1 << 20):
-                words = Words(raw, at)
-                h = words.hashes()
-                texts, marks = batch.column(1).slice(i, j - i).to_pylist(), batch.column(2).slice(i, j - i).to_pylist()
-                out: list[list] = [[] for _ in range(8)]
-                for d, (text, mark) in enumerate(zip(texts, marks, strict=True)):
-                    base, n = int(words.first[d]), int(words.first[d + 1] - words.first[d])
-                    known = [(m["start"], m["windows"]) for m in mark or () if not m["open"]]
-                    open_ = [np.arange(m["start"], m["start"] + m["windows"]) for m in mark or () if m["open"]]
-                    if open_:
-                        start = np.unique(np.concatenate(open_))
-                        start = start[start <= n - size]
-                        p1, p2 = prints(h, start + base, start + base + size)
-                        row = (n, None, None, text, [x for r in known for x in r], start.astype(np.int32), p1.view(np.int64), p2.view(np.int64))
-                    else:
-                        gone = _covered(n, known, size)
-                        w = _WORD.findall(text or "")
-                        row = (n, int(gone.sum()), _digest([x for x, g in zip(w, gone, strict=True) if not g] if known else w), None, None, None, None, None)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
-
-    stage = saved(marked.mapInArrow(settle, done_schema), "repeat-settled")
+            for i, j, raw, at in chunks(batch.column(2), 1 << 20):
+                mark, begin = _lists(batch.column(3).slice(i, j - i))
+                doc = np.repeat(np.arange(j - i), np.diff(begin))
+                wait = np.zeros(j - i, bool)
+                wait[doc[mark & 1 == 1]] = True
+                body = [raw[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+                n_words, removed, digest = np.zeros(j - i, np.int64), [None] * (j - i), [None] * (j - i)
+                for d in np.flatnonzero(~wait):
+                    w = body[d].split()  # bytes.split() separates at exactly the six white-space bytes
+                    n_words[d], own = len(w), mark[begin[d] : begin[d + 1]]
+                    gone = _covered(len(w), own >> 7, (own >> 1) & 63, size) if len(own) else None
+                    removed[d], digest[d] = (int(gone.sum()), _digest([x for x, g in zip(w, gone.tolist(), strict=True) if not g])) if gone is not None else (0, _digest(w))
+                some = np.flatnonzero(wait)
+                rank = np.cumsum(wait) - 1
+                words = Words(np.frombuffer(b"".join(body[d] for d in some), np.uint8), np.concatenate([[0], np.cumsum([len(body[d]) for d in some])]).astype(np.int64))
+                n_words[some] = np.diff(words.first)
+                open_ = mark & 1 == 1
+                start, count, owner = mark[open_] >> 7, (mark[open_] >> 1) & 63, rank[doc[open_]]
+                window = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                flat = np.unique(window + words.first[np.repeat(owner, count)]) if len(start) else np.zeros(0, np.int64)
+                flat = flat[flat + size <= words.first[np.searchsorted(words.first, flat, "right")]] if len(flat) else flat
+                p1, p2 = prints(words.hashes(), flat, flat + size)
+                owner = np.searchsorted(words.first, flat, "right") - 1
+                held = np.concatenate([[0], np.cumsum(np.bincount(some[owner], minlength=j - i) if len(flat) else np.zeros(j - i, np.int64))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(held), pa.array(v)) for v in ((flat - words.first[owner]).astype(np.int32), p1.view(np.int64), p2.view(np.int64))]
+                own = np.concatenate([[0], np.cumsum(np.where(wait, np.diff(begin), 0))]).astype(np.int32)
+                kept_marks = pa.ListArray.from_arrays(pa.array(own), pa.array(mark[wait[doc]].astype(np.int64)))
+                text = pa.array([body[d].decode() if w else None for d, w in enumerate(wait)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n_words), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), text, kept_marks, *lists], names)
+
+    # bucketed by the key its rows are dealt by already, so that the texts that wait are not shuffled again
+    table = f"tidewheel_repeats_{uuid.uuid4().hex}"
+    marked.mapInArrow(settle, schema).write.bucketBy(partitions(spark), "key").option("compression", "zstd").saveAsTable(table)
+    stage = spark.table(table)
     waiting = stage.where("n_removed is null")
     shown = waiting.select("doc_id", F.explode(F.arrays_zip("at", "p1", "p2")).alias("w")).select("doc_id", F.col("w.at").alias("start"), F.col("w.p1").alias("p1"), F.col("w.p2").alias("p2"))
     here = F.struct("doc_id", "start")
-    firsts = shown.groupBy("p1", "p2").agg(F.min(here).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    firsts = shown.groupBy("p1", "p2").agg(F.min(here).alias("_first"), F.max(here).alias("_last")).where("not _first <=> _last").drop("_last")
     late = shown.join(firsts, ["p1", "p2"]).where(~here.eqNullSafe(F.col("_first")))
-    late = late.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("start").alias("late"))
-    closing = waiting.select("doc_id", "n_words", "text", "ranges").join(late, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "n_words", "text", "ranges", "late")
+    late = late.groupBy("doc_id").agg(F.collect_list("start").alias("late")).select(key, "late")
+    waiting = waiting.select("key", "doc_id", "n_words", "text", "marks")
+    closing = waiting.join(late, "key", "left").select("doc_id", "n_words", "text", "marks", "late")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, digest = [], []
-            for n, text, ranges, late in zip(*(batch.column(k) for k in (1, 2, 3, 4)), strict=True):
-                known = ranges.as_py() or []
-                gone = _covered(n.as_py(), [*zip(known[::2], known[1::2], strict=True), *((s, 1) for s in late.as_py() or ())], size)
+            mark, begin = _lists(batch.column(3))
+            late, after = _lists(batch.column(4))
+            for d, text in enumerate(batch.column(2)):
+                w = (text.as_py() or "").encode().split()
+                own, more = mark[begin[d] : begin[d + 1]], late[after[d] : after[d + 1]].astype(np.int64)
+                own = own[own & 1 == 0]
+                gone = _covered(len(w), np.concatenate([own >> 7, more]), np.concatenate([(own >> 1) & 63, np.ones(len(more), np.int64)]), size)
                 removed.append(int(gone.sum()))
-                digest.append(_digest([x for x, g in zip(_WORD.findall(text.as_py() or ""), gone, strict=True) if not g]))
+                digest.append(_digest([x for x, g in zip(w, gone.tolist(), strict=True) if not g]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     closed = closing.mapInArrow(close, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
-    return stage.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(closed)
+    out = saved(stage.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(closed), "repeat-cover")
+    spark.sql(f"DROP TABLE {table}")
+    return out
