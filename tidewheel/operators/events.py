@@ -33,18 +33,18 @@ def label_runs_merged(df: DataFrame, flag: str, time_col: str, merge_minutes: fl
     period = period_minutes * 60e6 if period_minutes else sampling_period(df, time_col, keys)
     merge = max(merge_minutes * 60e6, period or 0)
     w = Window.partitionBy(*keys).orderBy(time_col)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # growing frames take one pass, shrinking ones a pass per row
     on = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
     rows = df.withColumns({"_t": micros(F.col(time_col)), "_on": on})
-    rows = rows.withColumns({"_prev_row": F.lag("_on").over(w), "_prev": F.last(F.when(F.col("_on"), F.col("_t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = rows.withColumns({"_i": F.row_number().over(w), "_prev_row": F.lag("_on").over(w), "_prev": F.last(F.when(F.col("_on"), F.col("_t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     gap = F.col("_t") - F.col("_prev")
     joined = (gap <= merge) & ((gap > F.lit(period)) | F.col("_prev_row"))
     rows = rows.withColumn("_new", (F.col("_on") & ~F.coalesce(joined, F.lit(False))).cast("int"))
     rows = rows.withColumn("_run", F.sum("_new").over(before))
     rows = rows.withColumns({
-        "_next_run": F.first(F.when(F.col("_on"), F.col("_run")), ignorenulls=True).over(after),
+        "_next_run": F.last(F.when(F.col("_on"), F.col("_run")), ignorenulls=True).over(after),
         "_last_run": F.last(F.when(F.col("_on"), F.col("_run")), ignorenulls=True).over(before),
-        "_next": F.first(F.when(F.col("_on"), F.col("_t")), ignorenulls=True).over(after),
     })
     bridged = ~F.col("_on") & (F.col("_next_run") == F.col("_last_run"))
     out = rows.withColumn(label, F.when(F.col("_on") | F.coalesce(bridged, F.lit(False)), F.col("_run")).otherwise(0).cast("int"))

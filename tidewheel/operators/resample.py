@@ -47,10 +47,11 @@ def row_lags(df: DataFrame, value: str, order: str, lags: list[int], keys: list[
 def interpolate(df: DataFrame, value: str, order: str, keys: list[str] = (), out: str | None = None) -> DataFrame:
     """Linear by row position between known values; leading nulls stay, trailing ones take the last value."""
     w = Window.partitionBy(*keys).orderBy(order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    upto = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # growing frames take one pass, shrinking ones a pass per row
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i"), F.col(value).cast("double").alias("v")))
     rows = df.withColumn("_i", F.row_number().over(w))
-    rows = rows.withColumns({"_p": F.last(known, ignorenulls=True).over(before), "_q": F.first(known, ignorenulls=True).over(after)})
+    rows = rows.withColumns({"_p": F.last(known, ignorenulls=True).over(upto), "_q": F.last(known, ignorenulls=True).over(after)})
     p, q = F.col("_p"), F.col("_q")
     between = p["v"] + (q["v"] - p["v"]) * F.try_divide(F.col("_i") - p["_i"], q["_i"] - p["_i"])
     return rows.withColumn(out or value, F.coalesce(F.col(value).cast("double"), between, p["v"])).drop("_i", "_p", "_q")
