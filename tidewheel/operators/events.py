@@ -66,3 +66,18 @@ def sessions(df: DataFrame, time_col: str, gap_seconds: float, keys: list[str] =
     w = Window.partitionBy(*keys).orderBy(time_col)
     out = df.withColumn("_new", F.coalesce((micros(F.col(time_col)) - F.lag(micros(F.col(time_col))).over(w) > gap_seconds * 1e6).cast("int"), F.lit(0)))
     return out.withColumn(session, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+
+
+def sessions_unkeyed(df: DataFrame, time_col: str, gap_seconds: float, session: str = "session", bucket_seconds: int = 86_400) -> DataFrame:
+    """sessions() of one long series without a key: rows are windowed by bucket of time, only the buckets' ends all together."""
+    rows = df.where(F.col(time_col).isNotNull()).withColumn("_t", micros(F.col(time_col)))
+    rows = rows.withColumn("_b", F.floor(F.col("_t") / int(bucket_seconds * 1e6)))
+    w = Window.partitionBy("_b").orderBy("_t")
+    rows = rows.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > gap_seconds * 1e6).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.sum("_new").alias("_n"))
+    by_bucket = Window.orderBy("_b")  # a row per bucket
+    ends = ends.withColumn("_new", F.coalesce((F.col("_lo") - F.lag("_hi").over(by_bucket) > gap_seconds * 1e6).cast("int"), F.lit(0)))
+    base = F.sum(F.col("_new") + F.col("_n")).over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    out = rows.join(ends.select("_b", base.alias("_base")), "_b")
+    return out.withColumn(session, (F.col("_base") + F.col("_in")).cast("long")).select(*df.columns, session)
