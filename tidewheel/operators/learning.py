@@ -7,16 +7,19 @@ tens of components, a few hundred entities per group.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.blocks import Block, against_all, distances, packed, saved, summed, tasks
+
 
 def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(df)
@@ -192,13 +195,69 @@ def nmf_path(v: np.ndarray, ks: list[int], seed: int = 0) -> list[dict]:
     return out
 
 
+def _nmf_pass(df: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """W'V, W'W and the squared error over all rows, W being each row's weights for h."""
+    k, m = h.shape
+
+    def run(b: pd.DataFrame) -> np.ndarray:
+        v = np.array(b["x"].tolist(), float).reshape(len(b), -1)
+        w, _ = nmf(v, k, 100, w=np.ones((len(v), k)), h=h)
+        return np.concatenate([(w.T @ v).ravel(), (w.T @ w).ravel(), [((v - w @ h) ** 2).sum()]])
+
+    got = summed(df, ["x"], run, k * m + k * k + 1)
+    return got[: k * m].reshape(k, m), got[k * m : -1].reshape(k, k), float(got[-1])
+
+
+def nmf_components(df: DataFrame, h: np.ndarray, passes: int = 60, least: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Components fitted on all rows from h on, W'W and the squared error under them; df has the vectors as x.
+
+    A pass fits every row's weights in its task and sums W'V and W'W, which are all that the update of h needs; passes
+    end when the error falls by less than `least` of itself.
+    """
+    wv, ww, error = _nmf_pass(df, h)
+    for _ in range(passes):
+        new = h
+        for _ in range(50):
+            new = new * wv / np.maximum(ww @ new, 1e-12)
+        wv2, ww2, error2 = _nmf_pass(df, new)
+        if error2 > error:
+            break
+        done, h, wv, ww, error = error - error2 <= least * error, new, wv2, ww2, error2
+        if done:
+            break
+    return h, ww, error
+
+
+def nmf_fitted(df: DataFrame, array_col: str, k: int, seed: int = 0) -> np.ndarray:
+    """k components of all rows."""
+    rows = saved(df.select(F.col(array_col).cast("array<double>").alias("x")), "nmf-rows")
+    head = rows.first()
+    return np.zeros((k, 0)) if head is None else nmf_components(rows, np.random.default_rng(seed).random((k, len(head.x))) + 0.1)[0]
+
+
+def nmf_errors(df: DataFrame, array_col: str, ks: list[int], seed: int = 0) -> DataFrame:
+    """k, frobenius, mse, r2 over all rows, largest k first, each started from the strongest parts of the last."""
+    rows = saved(df.select(F.col(array_col).cast("array<double>").alias("x")), "nmf-rows")
+    n, mean = rows.select(F.explode("x").alias("v")).agg(F.count("v"), F.avg("v")).first()
+    spread = rows.select(F.explode("x").alias("v")).agg(F.sum((F.col("v") - F.lit(mean)) * (F.col("v") - F.lit(mean)))).first()[0]
+    out, h, ww = [], None, None
+    for k in sorted(ks, reverse=True) if n else []:
+        if h is None:
+            h = np.random.default_rng(seed).random((k, len(rows.first().x))) + 0.1
+        else:
+            h = h[np.argsort(-(np.sqrt(np.diag(ww)) * np.linalg.norm(h, axis=1)))[:k]]
+        h, ww, error = nmf_components(rows, h)
+        out.append((k, float(np.sqrt(error)), float(error / n), float(1 - error / spread)))
+    return df.sparkSession.createDataFrame(out, "k int, frobenius double, mse double, r2 double")
+
+
 def nmf_weights(df: DataFrame, key: str, array_col: str, h: np.ndarray) -> DataFrame:
     """Weights of given components for every row, in batches."""
 
     def run(batches):
         for b in batches:
             v = np.array(b["x"].tolist(), float).reshape(len(b), -1)
-            w, _ = nmf(v, len(h), 100, h=h)
+            w, _ = nmf(v, len(h), 100, w=np.ones((len(v), len(h))), h=h)
             yield pd.DataFrame({key: b[key], "weights": list(w)})
 
     rows = df.select(key, F.col(array_col).cast("array<double>").alias("x"))
@@ -277,59 +336,178 @@ def local_forests(df: DataFrame, worker: str, features: list[str], target: str,
     return df.groupBy(worker).applyInPandas(run, f"{worker} {kind}, tree_no int, tree string")
 
 
+def _flat(text: str) -> list[list[float]]:
+    """A tree's nodes as rows of feature, cut, left, right, value; a leaf leads to itself."""
+    nodes: list[list[float]] = []
+
+    def put(t: dict) -> int:
+        at = len(nodes)
+        nodes.append([0, np.inf, at, at, t.get("v", 0.0)])
+        if "v" not in t:
+            nodes[at][:4] = [t["f"], t["t"], put(t["l"]), put(t["r"])]
+        return at
+
+    put(json.loads(text))
+    return nodes
+
+
+def _levels(nodes: list[list[float]], at: int = 0) -> int:
+    left, right = int(nodes[at][2]), int(nodes[at][3])
+    return 0 if left == at else 1 + max(_levels(nodes, left), _levels(nodes, right))
+
+
+def _grown_all(trees: list[str], x: np.ndarray) -> np.ndarray:
+    """Predictions of every tree (rows) for every row of x (columns)."""
+    flat = [_flat(t) for t in trees]
+    most = max(map(len, flat))
+    table = np.array([f + [[0, np.inf, 0, 0, 0.0]] * (most - len(f)) for f in flat])
+    feature, left, right = (table[:, :, k].astype(np.int64) for k in (0, 2, 3))
+    at, t, r = np.zeros((len(flat), len(x)), np.int64), np.arange(len(flat))[:, None], np.arange(len(x))[None]
+    for _ in range(max(map(_levels, flat))):
+        at = np.where(x[r, feature[t, at]] <= table[:, :, 1][t, at], left[t, at], right[t, at])
+    return table[:, :, 4][t, at]
+
+
+#: Rows and trees of a block: a task compares one block of each at a time.
+LOSS_ROWS, LOSS_TREES = 2000, 256
+
+
 def federated_losses(forest: DataFrame, df: DataFrame, worker: str, features: list[str], target: str, donated: int = 1) -> DataFrame:
     """worker, donor, tree_no, rmse: every worker's error under the trees that workers donate (the first `donated` of each).
 
-    The donated trees are the global model, workers x donated in number, sent to each task once counted.
+    The donated trees are the global model. Rows and trees meet in blocks, a worker's squared errors are summed by
+    tree, so there may be any number of either.
     """
-    given = forest.where(F.col("tree_no") < donated).orderBy(worker, "tree_no").limit(GLOBAL_TREES + 1).collect()
-    if len(given) > GLOBAL_TREES:
-        raise ValueError(f"more than {GLOBAL_TREES} donated trees")
-    model = [(r[worker], r["tree_no"], json.loads(r["tree"])) for r in given]
+    kind = df.schema[worker].dataType.simpleString()
+    rows = df.select(F.col(worker).alias("w"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)), F.col(target).cast("double").alias("y"))
+    rows = rows.repartitionByRange("w", F.xxhash64("y", *(f"f{i}" for i in range(len(features))))).sortWithinPartitions("w")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, LOSS_ROWS):
+                b = whole.slice(start, LOSS_ROWS)
+                coded = b.column(0).dictionary_encode("encode")
+                code = coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, b.num_columns)])[order]
+                lists = [coded.dictionary, pa.array(np.bincount(code)), pa.array(x[:, :-1].ravel()), pa.array(x[:, -1])]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists], ["workers", "counts", "x", "y"])
+
+    row_blocks = saved(rows.mapInArrow(pack, f"workers array<{kind}>, counts array<long>, x array<double>, y array<double>"), "loss-rows")
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, LOSS_TREES):
+                b = whole.slice(start, LOSS_TREES)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c) for c in b.columns], ["donors", "numbers", "trees"])
+
+    given = saved(forest.where(F.col("tree_no") < donated).select(worker, F.col("tree_no").cast("int"), "tree"), "loss-given")
+    tree_blocks = saved(given.coalesce(max(1, given.count() // (4 * LOSS_TREES))).mapInArrow(bundle, f"donors array<{kind}>, numbers array<int>, trees array<string>"), "loss-trees")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                workers, counts, x, y, donors, numbers, trees = (b.column(k)[i].values for k in range(7))
+                counts, y = counts.to_numpy(), y.to_numpy()
+                off = (_grown_all(trees.to_pylist(), x.to_numpy().reshape(len(y), -1)) - y[None]) ** 2
+                total = np.add.reduceat(off, np.r_[0, np.cumsum(counts)[:-1]], axis=1)
+                of, by = pa.array(np.tile(np.arange(len(workers)), len(trees))), pa.array(np.repeat(np.arange(len(trees)), len(workers)))
+                yield pa.RecordBatch.from_arrays([workers.take(of), donors.take(by), numbers.take(by), pa.array(total.ravel()), pa.array(np.tile(counts, len(trees)))], ["w", "donor", "tree_no", "e", "n"])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows[features].to_numpy(float), rows[target].to_numpy(float)
-        return pd.DataFrame([{worker: key[0], "donor": d, "tree_no": k, "rmse": float(np.sqrt(np.mean((grown(t, x) - y) ** 2)))} for d, k, t in model])
+    pairs = row_blocks.crossJoin(tree_blocks).repartition(tasks(df.sparkSession))
+    part = pairs.mapInArrow(judge, f"w {kind}, donor {kind}, tree_no int, e double, n long")
+    return part.groupBy("w", "donor", "tree_no").agg(F.sqrt(F.sum("e") / F.sum("n")).alias("rmse")).withColumnRenamed("w", worker)
 
-    kind = df.schema[worker].dataType.simpleString()
-    return df.groupBy(worker).applyInPandas(run, f"{worker} {kind}, donor {kind}, tree_no int, rmse double")
 
+def _swarm(n: int, cost: Callable[[list[np.ndarray]], list[float]], most: int, particles: int, rounds: int, seed: int) -> np.ndarray:
+    """The choice of centres among n candidates that a binary particle swarm finds cheapest; cost() judges a round's choices together."""
+    rng = np.random.default_rng(seed)
 
-GLOBAL_TREES = 5000
+    def judged(pos: np.ndarray) -> np.ndarray:
+        out = np.full(len(pos), np.inf)
+        fit = [k for k, p in enumerate(pos) if 2 <= p.sum() <= most]
+        if fit:
+            out[fit] = cost([np.flatnonzero(pos[k]) for k in fit])
+        return out
+
+    pos = rng.random((particles, n)) < min(0.5, most / 2 / n)
+    vel = rng.normal(0, 1, (particles, n))
+    best, score = pos.copy(), judged(pos)
+    for _ in range(rounds):
+        lead = best[np.argmin(score)]
+        vel = 0.7 * vel + 1.4 * rng.random((particles, n)) * (best.astype(float) - pos) + 1.4 * rng.random((particles, n)) * (lead.astype(float) - pos)
+        pos = rng.random((particles, n)) < 1 / (1 + np.exp(-(vel - np.log(max(1.0, 2 * n / most)))))
+        now = judged(pos)
+        better = now < score
+        best[better], score[better] = pos[better], now[better]
+    return np.flatnonzero(best[np.argmin(score)]) if np.isfinite(score.min()) else np.zeros(0, int)
 
 
 def swarm_clusters(x: np.ndarray, most: int = 7, particles: int = 20, rounds: int = 30, seed: int = 0) -> np.ndarray:
     """Labels from a binary particle swarm over which rows are centres, by silhouette; for matrices of workers."""
-    rng = np.random.default_rng(seed)
     n = len(x)
-    d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T))
+    d = distances(x, x)
 
-    def labels(bits: np.ndarray) -> np.ndarray | None:
-        c = np.flatnonzero(bits)
-        return None if not 2 <= len(c) <= most else np.argmin(d[:, c], axis=1)
-
-    def cost(bits: np.ndarray) -> float:
-        lab = labels(bits)
-        if lab is None:
-            return np.inf
+    def cost(c: np.ndarray) -> float:
+        lab = np.argmin(d[:, c], axis=1)
         mean = np.column_stack([d[:, lab == k].sum(1) / max(1, (lab == k).sum()) for k in range(lab.max() + 1)])
         own = mean[np.arange(n), lab]
         mean[np.arange(n), lab] = np.inf
         other = mean.min(1)
         return -float(np.mean((other - own) / np.maximum(np.maximum(other, own), 1e-12)))
 
-    pos = rng.random((particles, n)) < min(0.5, most / 2 / n)
-    vel = rng.normal(0, 1, (particles, n))
-    best, score = pos.copy(), np.array([cost(p) for p in pos])
-    for _ in range(rounds):
-        lead = best[np.argmin(score)]
-        vel = 0.7 * vel + 1.4 * rng.random((particles, n)) * (best.astype(float) - pos) + 1.4 * rng.random((particles, n)) * (lead.astype(float) - pos)
-        pos = rng.random((particles, n)) < 1 / (1 + np.exp(-(vel - np.log(max(1.0, 2 * n / most)))))
-        now = np.array([cost(p) for p in pos])
-        better = now < score
-        best[better], score[better] = pos[better], now[better]
-    lab = labels(best[np.argmin(score)])
-    return np.zeros(n, int) if lab is None else lab
+    c = _swarm(n, lambda round_: [cost(c) for c in round_], most, particles, rounds, seed)
+    return np.argmin(d[:, c], axis=1) if len(c) else np.zeros(n, int)
+
+
+def swarm_assigned(df: DataFrame, array_col: str, key: str, candidates: int = 300, most: int = 7, particles: int = 20, rounds: int = 30, seed: int = 0) -> DataFrame:
+    """key, cluster of every row: the nearest of the centres that a binary swarm chooses.
+
+    The swarm's dimensions are `candidates` rows drawn by hash; each choice is judged by the silhouette of all rows
+    against all rows. Coordinates are scaled by the mean and deviation of all rows.
+    """
+    rows = saved(df.select(key, F.col(array_col).cast("array<double>").alias("x")), "swarm-rows")
+    long = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
+    if not long:
+        return rows.select(key, F.lit(0).alias("cluster"))
+    mean, spread = np.array([r.m for r in long]), np.array([r.s for r in long]) + 1e-9
+    some = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(candidates).orderBy(key).select("x").collect()
+    seat = (np.array([r.x for r in some]) - mean) / spread
+    blocks = packed(rows, "x", [key], key)
+
+    def cost(choices: list[np.ndarray]) -> list[float]:
+        def run(mine: Block, others: Iterator[Block]) -> pd.DataFrame:
+            x = (mine.x - mean) / spread
+            total, size = [np.zeros((len(x), len(c))) for c in choices], [np.zeros(len(c)) for c in choices]
+            for b in others:
+                y = (b.x - mean) / spread
+                d, near = distances(x, y), distances(y, seat)
+                for k, c in enumerate(choices):
+                    member = np.eye(len(c))[np.argmin(near[:, c], axis=1)]
+                    total[k] += d @ member
+                    size[k] += member.sum(0)
+            near, out = distances(x, seat), []
+            for k, c in enumerate(choices):
+                at, lab = np.arange(len(x)), np.argmin(near[:, c], axis=1)
+                far = np.where(size[k] > 0, total[k] / np.maximum(size[k], 1), np.inf)
+                own = far[at, lab]
+                far[at, lab] = np.inf
+                other = far.min(1)
+                s = np.where(np.isinf(other), 0.0, (other - own) / np.maximum(np.maximum(np.where(np.isinf(other), 0.0, other), own), 1e-12))
+                out.append((k, float(s.sum()), len(x)))
+            return pd.DataFrame(out, columns=["k", "s", "n"])
+
+        got = {r.k: r.c for r in against_all(blocks, run, "k int, s double, n long").groupBy("k").agg((-F.sum("s") / F.sum("n")).alias("c")).collect()}
+        return [got[k] for k in range(len(choices))]
+
+    c = _swarm(len(seat), cost, most, particles, rounds, seed)
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        y = (np.array(x.tolist(), float).reshape(len(x), -1) - mean) / spread
+        return pd.Series(np.argmin(distances(y, seat[c]), axis=1) if len(c) else np.zeros(len(x), int))
+
+    return rows.select(key, nearest("x").alias("cluster"))
 
 
 def drift_flags(daily: DataFrame, worker: str, day: str, error: str, spread: float = 3.0, days: int = 3) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from tidewheel.operators import clean, learning, metrics
+from tidewheel.operators import learning, metrics
 from tidewheel.plans.base import Catalogue, rounded
 from tidewheel.plans.timeseries import hourly_grid
 
@@ -75,16 +74,12 @@ def _profiles(read):
 @C.add("nmf_profile")
 def _(read):
     p = _profiles(read)
-    some = clean.hashed_sample(p, "user_id", 2000).toPandas()
-    _, h = learning.nmf(np.array(some["x"].tolist()), 3)
-    return learning.nmf_weights(p, "user_id", "x", h)
+    return learning.nmf_weights(p, "user_id", "x", learning.nmf_fitted(p, "x", 3))
 
 
 @C.add("nmf_component_errors")
 def _(read):
-    some = clean.hashed_sample(_profiles(read), "user_id", 2000).toPandas()
-    rows = learning.nmf_path(np.array(some["x"].tolist()), [1, 2, 3, 4])
-    return read("nation").sparkSession.createDataFrame([tuple(r.values()) for r in rows], "k int, frobenius double, mse double, r2 double")
+    return learning.nmf_errors(_profiles(read), "x", [1, 2, 3, 4])
 
 
 @C.add("spectral_bands")
@@ -95,10 +90,7 @@ def _(read):
 
 @C.add("pso_clusters")
 def _(read):
-    some = clean.hashed_sample(_profiles(read), "user_id", 300).orderBy("user_id").toPandas()
-    x = np.array(some["x"].tolist())
-    lab = learning.swarm_clusters((x - x.mean(0)) / (x.std(0) + 1e-9))
-    return read("nation").sparkSession.createDataFrame([(int(u), int(c)) for u, c in zip(some["user_id"], lab, strict=True)], "user_id long, cluster int")
+    return learning.swarm_assigned(_profiles(read), "x", "user_id")
 
 
 def _forecast_rows(read):
@@ -125,7 +117,7 @@ def _(read):
 
 @C.add("federated_losses")
 def _(read):
-    rows = read("events").select("user_id", F.hour("ts").cast("double").alias("h"), F.weekday("ts").cast("double").alias("d"), "value").where("user_id < 20")
+    rows = read("events").select("user_id", F.hour("ts").cast("double").alias("h"), F.weekday("ts").cast("double").alias("d"), "value")
     forest = learning.local_forests(rows, "user_id", ["h", "d"], "value", trees=2, depth=3)
     return learning.federated_losses(forest, rows, "user_id", ["h", "d"], "value")
 
