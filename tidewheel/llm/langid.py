@@ -30,8 +30,12 @@ from pyspark.sql import functions as F
 
 PROFILE = 300
 UNKNOWN = "und"
-#: Below this closeness to every profile a document is in no language that was learned.
+#: Below this closeness to every profile a document is in no language that was learned, however few labelled rows there are.
 LEAST_SCORE = 0.05
+#: A document must come to this share of the score that all but LOW of its language's labelled rows of its size reach.
+SHARE, LOW = 2 / 3, 0.01
+#: Labelled rows from which a language's rows of a size have a limit of their own.
+LIMIT_ROWS = 100
 
 
 @lru_cache(1)
@@ -104,9 +108,13 @@ class Ranker:
             self.rank[np.searchsorted(self.known, profiles[lang]), k] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and class of size: the binary digits of the number of ranked n-grams."""
         got = grams(text) if text else np.zeros(0, np.int64)
         if not len(got) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         gram, n = np.unique(got, return_counts=True)
         top = gram[np.argsort(-n, kind="stable")[: self.worst]]
         at = np.searchsorted(self.known, top)
@@ -115,7 +123,7 @@ class Ranker:
         rank = self.rank[np.where(found, at, len(self.known))]
         away = np.where(rank < 0, self.worst, np.abs(rank - np.arange(len(top))[:, None])).sum(0)
         best = int(np.argmin(away))
-        return self.langs[best], float(1 - away[best] / (self.worst * len(top)))
+        return self.langs[best], float(1 - away[best] / (self.worst * len(top))), len(top).bit_length()
 
 
 def language(profiles: dict[str, np.ndarray], text_col: str = "text", profile: int = PROFILE) -> Column:
@@ -140,8 +148,38 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
+def limits(labelled: DataFrame, profiles: dict[str, np.ndarray], least: float = LEAST_SCORE, text_col: str = "text", lang_col: str = "lang") -> dict[tuple[str, int], float]:
+    """The least score by language and class of size, and under ("", 0) that of all others, from every labelled row.
+
+    Scores are counted in thousandths, so the driver holds 1000 counts per language and class at most.
+    """
+
+    @F.pandas_udf("size int, mille int")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        ranker = Ranker(profiles)
+        return pd.DataFrame([(size, int(score * 1000)) for _, score, size in map(ranker.judge, texts)], columns=["size", "mille"])
+
+    counts: dict[tuple[str, int], list] = {}
+    for r in labelled.select(F.col(lang_col).alias("lang"), scored(F.col(text_col)).alias("p")).groupBy("lang", "p.size", "p.mille").count().orderBy("mille").collect():
+        if r["size"]:
+            counts.setdefault((r["lang"], r["size"]), []).append((r["mille"], r["count"]))
+    out = {}
+    for at, rows in counts.items():
+        mille, n = np.array(rows).T
+        if n.sum() >= LIMIT_ROWS:
+            out[at] = max(least, SHARE * float(mille[np.searchsorted(np.cumsum(n), LOW * n.sum())]) / 1000)
+    return out | {("", 0): min(out.values(), default=least)}
+
+
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """docs without the rows that have no language: no letter, or closeness below `least` to every profile."""
-    profiles = learn(docs, text_col, lang_col, F.col(id_col).isNotNull() & ~held_out(id_col))
-    rows = docs.select(F.struct("*").alias("row"), language(profiles, text_col).alias("p"))
-    return rows.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")
+    """docs without the rows that have no language: no letter, or less close to their nearest profile than limits() asks."""
+    learned = F.col(id_col).isNotNull() & ~held_out(id_col)
+    profiles = learn(docs, text_col, lang_col, learned)
+    low = limits(docs.where(learned & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), profiles, least, text_col, lang_col)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        ranker = Ranker(profiles)
+        return pd.Series([lang != UNKNOWN and score >= low.get((lang, size), low["", 0]) for lang, score, size in map(ranker.judge, texts)], dtype=bool)
+
+    return docs.select(F.struct("*").alias("row"), known(F.col(text_col)).alias("known")).where("known").select("row.*")
