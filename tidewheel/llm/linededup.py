@@ -1,9 +1,11 @@
 """Line dedup that can be undone: exact reference counts per line key, fronted by sharded cuckoo filters.
 
 State: `refs`, one row per (key, document) with the line positions, and one cuckoo filter per shard holding
-every live key. insert() asks the filters first: keys they don't know are new for certain; the rest may have
-references already. delete() removes a document's references and takes the keys that lose their last one out
-of the filters, which restores the state before its insertion. drops() reads the exact table only.
+every live key. insert() asks the filters first: keys they don't know are new for certain and counted within the
+batch; the rest are looked up in refs, those found are recounted. Every key that refs don't hold is put into the
+filters, so delete(), which removes a document's references, can take the keys that lose their last one out of
+them without taking another key's fingerprint. `several` has the keys that several documents hold, kept up by
+insert() and delete(), which recount only the keys they touch; drops() joins refs with it.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least MIN_CHARS
 code points found in several documents lose their lines everywhere but in the smallest document id.
@@ -110,32 +112,44 @@ class LineIndex:
     def __init__(self, spark: SparkSession, shard_keys: int = SHARD_KEYS):
         self.spark, self.shard_keys, self.shards = spark, shard_keys, 0
         self.refs: DataFrame | None = None
+        self.several: DataFrame | None = None
         self.filters: DataFrame | None = None
 
     def _prints(self, keys: DataFrame) -> DataFrame:
         h = F.xxhash64("key")
-        return keys.select(F.pmod(F.shiftright(h, 40), F.lit(self.shards)).cast("int").alias("shard"), h.alias("print"))
+        return keys.select(F.pmod(F.shiftright(h, 40), F.lit(self.shards)).cast("int").alias("shard"), h.alias("print"), "key")
 
     def insert(self, docs: DataFrame, **columns) -> DataFrame:
-        """Add documents whose ids are not in the index. Returns the keys that the filters took for known ones."""
+        """Add documents whose ids are not in the index. Returns the keys that the filters took for known ones.
+
+        Only those are looked up in the exact references and recounted with them if they are there; all other keys
+        are counted within the batch. The filters get every key that has no references, false positives included.
+        """
         new = saved(line_refs(docs, **columns), "line-refs")
         if not self.shards:
             self.shards = max(1, -(-new.select(F.approx_count_distinct("key")).first()[0] // self.shard_keys))
-        prints = self._prints(new.select("key").distinct())
-        held = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, data binary")
-
-        def add(key: tuple, known: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-            box = CuckooFilter.load(known["data"].iloc[0]) if len(known) else CuckooFilter(len(fresh))
-            h = fresh["print"].to_numpy(np.int64)
-            seen = box.contains(h) if len(known) else np.zeros(len(h), bool)
-            data = box.dump() if box.insert(h[~seen]) else b""  # too full: built anew from the exact table
-            rows = pd.DataFrame({"shard": key[0], "print": pd.Series(h[seen], dtype="Int64"), "data": None})
-            return pd.concat([pd.DataFrame({"shard": [key[0]], "print": pd.Series([None], dtype="Int64"), "data": [data]}), rows])
-
-        done = saved(held.groupBy("shard").cogroup(prints.groupBy("shard")).applyInPandas(add, "shard int, print long, data binary"), "line-filters")
+        keys = new.select("key").distinct()
+        if self.refs is None:
+            flagged, fresh, touched = self._prints(keys).limit(0), keys, new
+            self.filters = self.spark.createDataFrame([], "shard int, data binary")
+        else:
+            flagged = saved(self._asked(keys), "line-flagged")
+            held = saved(self.refs.join(flagged.select("key"), "key", "left_semi"), "line-known")
+            known = held.select("key").distinct()
+            fresh, touched = keys.join(known, "key", "left_anti"), held.unionByName(new)
+            self.several = self.several.join(known, "key", "left_anti")
+
+        def add(key: tuple, old: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+            box = CuckooFilter.load(old["data"].iloc[0]) if len(old) else CuckooFilter(len(fresh))
+            data = box.dump() if box.insert(fresh["print"].to_numpy(np.int64)) else b""  # too full: built anew from the exact table
+            return pd.DataFrame({"shard": [key[0]], "data": [data]})
+
+        done = saved(self.filters.groupBy("shard").cogroup(self._prints(fresh).drop("key").groupBy("shard")).applyInPandas(add, "shard int, data binary"), "line-filters")
+        again = _several(touched)
+        self.several = saved(again if self.several is None else self.several.unionByName(again), "line-counts")  # apart, so that a skewed join can be split
         self.refs = new if self.refs is None else saved(self.refs.unionByName(new), "line-refs")
         self.filters = self._rebuilt(done)
-        return done.where("data is null").select("shard", "print")
+        return flagged.select("shard", "print")
 
     def _rebuilt(self, done: DataFrame) -> DataFrame:
         """The filters of `done`; shards that overflowed are built anew from the exact table."""
@@ -149,14 +163,17 @@ class LineIndex:
                 size *= 2
             return pd.DataFrame({"shard": [key[0]], "data": [box.dump()]})
 
-        again = self._prints(self.refs.select("key").distinct()).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(build, "shard int, data binary")
+        again = self._prints(self.refs.select("key").distinct()).drop("key").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(build, "shard int, data binary")
         return saved(good.unionByName(again), "line-filters")
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Take documents out again: their references, and from the filters the keys nobody else holds."""
         ids = ids.select(F.col(id_col).alias("doc_id")).distinct()
         left = saved(self.refs.join(ids, "doc_id", "left_anti"), "line-refs")
-        gone = self._prints(self.refs.join(ids, "doc_id", "left_semi").select("key").distinct().join(left.select("key").distinct(), "key", "left_anti"))
+        touched = saved(self.refs.join(ids, "doc_id", "left_semi").select("key").distinct(), "line-touched")
+        again = saved(left.join(touched, "key", "left_semi"), "line-known")
+        gone = self._prints(touched.join(again.select("key").distinct(), "key", "left_anti")).drop("key")
+        self.several = saved(self.several.join(touched, "key", "left_anti").unionByName(_several(again)), "line-counts")
 
         def drop(key: tuple, known: pd.DataFrame, dead: pd.DataFrame) -> pd.DataFrame:
             box = CuckooFilter.load(known["data"].iloc[0])
@@ -166,29 +183,40 @@ class LineIndex:
         self.filters = saved(self.filters.groupBy("shard").cogroup(gone.groupBy("shard")).applyInPandas(drop, "shard int, data binary"), "line-filters")
         self.refs = left
 
-    def maybe_known(self, docs: DataFrame, **columns) -> DataFrame:
-        """The (shard, print) of these documents' keys that the filters have: no key of the index is missed."""
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        """The keys, with shard and print, that the filters have."""
 
         def probe(key: tuple, known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            h = asked["print"].to_numpy(np.int64)
-            seen = CuckooFilter.load(known["data"].iloc[0]).contains(h) if len(known) else np.zeros(len(h), bool)
-            return pd.DataFrame({"shard": key[0], "print": h[seen]})
+            seen = CuckooFilter.load(known["data"].iloc[0]).contains(asked["print"].to_numpy(np.int64)) if len(known) else np.zeros(len(asked), bool)
+            return asked[seen]
 
-        prints = self._prints(line_refs(docs, **columns).select("key").distinct())
-        return self.filters.groupBy("shard").cogroup(prints.groupBy("shard")).applyInPandas(probe, "shard int, print long")
+        prints = self._prints(keys)
+        return self.filters.groupBy("shard").cogroup(prints.groupBy("shard")).applyInPandas(probe, prints.schema)
+
+    def maybe_known(self, docs: DataFrame, **columns) -> DataFrame:
+        """The (shard, print) of these documents' keys that the filters have: no key of the index is missed."""
+        return self._asked(line_refs(docs, **columns).select("key").distinct()).select("shard", "print")
 
     def counts(self) -> DataFrame:
         """key, n_docs, first_doc over the live references."""
-        first = F.when(F.max(F.col("doc_id").isNull()), F.lit(None).cast(self.refs.schema["doc_id"].dataType)).otherwise(F.min("doc_id"))
-        return self.refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first_doc"))
+        return _counted(self.refs)
 
     def drops(self) -> DataFrame:
         """doc_id, dropped (line positions): the lines that lose to a smaller document id."""
-        several = saved(self.counts().where("n_docs > 1").select("key", "first_doc"), "line-counts")  # apart, so that a skewed join can be split
-        lost = self.refs.join(several, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+        lost = self.refs.join(self.several, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         return lost.groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("dropped"))
 
 
+def _counted(refs: DataFrame) -> DataFrame:
+    first = F.when(F.max(F.col("doc_id").isNull()), F.lit(None).cast(refs.schema["doc_id"].dataType)).otherwise(F.min("doc_id"))
+    return refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first_doc"))
+
+
+def _several(refs: DataFrame) -> DataFrame:
+    """key, first_doc of the keys that several documents hold."""
+    return _counted(refs).where("n_docs > 1").select("key", "first_doc")
+
+
 def dedup_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (docs' columns as a struct), doc_id, n_lines, n_dropped, kept (the text without its dropped lines)."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.split(body(text_col), "\n", -1).alias("lines"))
