@@ -64,3 +64,15 @@ def test_packed_blocks_have_all_rows_once(spark):
     rows = blocks.packed(df, "x", ["id"], "id", "p", 64).toPandas()
     assert sorted(k for r in rows.c0 for k in r) == list(range(1000)) and rows.c0.map(len).max() <= 64
     assert all({k % 3 for k in r.c0} == {r.part} for r in rows.itertuples())
+
+
+def test_medoids_and_scores_compare_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (1500, 2))
+    df = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(x)], "id int, c int, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert learning.kmedoids(df, "x", "id", 1).first().medoid == np.argmin(d.sum(1))
+    far = df.withColumn("c", (df.id % 2).cast("int"))
+    order = np.argsort(d + np.diag([np.inf] * len(x)), axis=1)[:, :10]
+    assert learning.connectivity(far, "x", "c", "id").first().connectivity == pytest.approx((((order % 2) != (np.arange(1500) % 2)[:, None]) / np.arange(1, 11)).sum())
+    assert not hasattr(learning, "PAIR_ROWS") and not hasattr(learning, "MEDOID_SAMPLE")

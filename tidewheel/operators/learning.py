@@ -71,55 +71,44 @@ def cluster_scores(df: DataFrame, array_col: str, cluster: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, w, None if ch is None else float(ch), None if db is None else float(db))], "clusters int, inertia double, calinski_harabasz double, davies_bouldin double")
 
 
-#: Rows beyond which a score that compares all rows must be given a sample instead.
-PAIR_ROWS = 20_000
-
-
-def silhouette(df: DataFrame, array_col: str, cluster: str, key: str, sample: int = PAIR_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette. Rows beyond `sample` are judged against a sample drawn by hash (a row count, not a key, decides).
-
-    The compared rows are a stated set of at most `sample` rows, sent to each task.
-    """
-    ref = df.select(cluster, F.col(array_col).cast("array<double>").alias("x"), key).orderBy(F.xxhash64(key), key).limit(sample).toPandas()
-    x, lab, ids = np.array(ref["x"].tolist()), ref[cluster].to_numpy(), ref[key].to_numpy()
-    names = np.unique(lab)
-
-    def run(batches):
-        for b in batches:
-            y = np.array(b["x"].tolist(), float).reshape(len(b), -1)
-            d = np.sqrt(np.maximum(0, (y**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * y @ x.T))
-            same = b[key].to_numpy()[:, None] == ids[None]
+def silhouette(df: DataFrame, array_col: str, cluster: str, key: str) -> DataFrame:
+    """Mean Euclidean silhouette of all rows against all rows, compared in blocks; rows of the same key aren't compared."""
+    names = np.array([r[0] for r in df.select(cluster).distinct().orderBy(cluster).collect()])
+
+    def run(mine: Block, others: Iterator[Block]) -> pd.DataFrame:
+        total, n = np.zeros((len(mine.x), len(names))), np.zeros((len(mine.x), len(names)))
+        for b in others:
+            d, same = distances(mine.x, b.x), mine.columns[1][:, None] == b.columns[1][None]
             d[same] = 0
-            mean = np.column_stack([np.where((n := (lab == k).sum() - same[:, lab == k].sum(1)) > 0, d[:, lab == k].sum(1) / np.maximum(n, 1), np.nan) for k in names])
-            own = b[cluster].to_numpy()[:, None] == names[None]
-            a = np.where(own, mean, np.nan)
-            a = a[own]
-            rest = np.where(own, np.inf, np.where(np.isnan(mean), np.inf, mean)).min(1)
-            s = np.where(np.isnan(a) | np.isinf(rest), 0.0, (rest - a) / np.maximum(np.maximum(a, rest), 1e-300))
-            yield pd.DataFrame({"s": s})
+            member = (b.columns[0][:, None] == names[None]).astype(float)
+            total += d @ member
+            n += ~same @ member
+        mean = np.where(n > 0, total / np.maximum(n, 1), np.nan)
+        own = mine.columns[0][:, None] == names[None]
+        a = mean[own]
+        rest = np.where(own | np.isnan(mean), np.inf, mean).min(1)
+        s = np.where(np.isnan(a) | np.isinf(rest), 0.0, (rest - a) / np.maximum(np.maximum(a, rest), 1e-300))
+        return pd.DataFrame({"s": s})
 
-    rows = df.select(cluster, F.col(array_col).cast("array<double>").alias("x"), key)
-    return rows.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+    return against_all(packed(df, array_col, [cluster, key], key), run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
 def connectivity(df: DataFrame, array_col: str, cluster: str, key: str, neighbours: int = 10) -> DataFrame:
-    """Sum of 1/rank over each row's nearest neighbours that are in another cluster; for up to PAIR_ROWS rows."""
-    ref = df.select(cluster, F.col(array_col).cast("array<double>").alias("x"), key).orderBy(key).limit(PAIR_ROWS + 1).toPandas()
-    if len(ref) > PAIR_ROWS:
-        raise ValueError(f"more than {PAIR_ROWS} rows; draw a sample first (operators.clean.hashed_sample)")
-    x, lab, ids = np.array(ref["x"].tolist()), ref[cluster].to_numpy(), ref[key].to_numpy()
+    """Sum of 1/rank over each row's nearest neighbours (the smaller key first on a tie) that are in another cluster; all rows in blocks."""
 
-    def run(batches):
-        for b in batches:
-            y = np.array(b["x"].tolist(), float).reshape(len(b), -1)
-            d = ((y[:, None, :] - x[None]) ** 2).sum(2) if y.size * len(x) < 5e7 else np.stack([((r - x) ** 2).sum(1) for r in y])
-            d[b[key].to_numpy()[:, None] == ids[None]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :neighbours]
-            other = lab[order] != b[cluster].to_numpy()[:, None]
-            yield pd.DataFrame({"c": (other / (1 + np.arange(order.shape[1]))).sum(1)})
+    def run(mine: Block, others: Iterator[Block]) -> pd.DataFrame:
+        near = None
+        for b in others:
+            d = np.stack([((r - b.x) ** 2).sum(1) for r in mine.x])
+            d[mine.columns[1][:, None] == b.columns[1][None]] = np.inf
+            seen = [d, np.broadcast_to(b.columns[1], d.shape), np.broadcast_to(b.columns[0], d.shape)]
+            seen = seen if near is None else [np.hstack(p) for p in zip(near, seen, strict=True)]
+            order = np.lexsort((seen[1], seen[0]), axis=1)[:, :neighbours]
+            near = [np.take_along_axis(p, order, 1) for p in seen]
+        other = np.isfinite(near[0]) & (near[2] != mine.columns[0][:, None])
+        return pd.DataFrame({"c": (other / (1 + np.arange(other.shape[1]))).sum(1)})
 
-    rows = df.select(cluster, F.col(array_col).cast("array<double>").alias("x"), key).repartition(8, key)
-    return rows.mapInPandas(run, "c double").agg(F.sum("c").alias("connectivity"))
+    return against_all(packed(df, array_col, [cluster, key], key), run, "c double").agg(F.sum("c").alias("connectivity"))
 
 
 def kmeans_sweep(df: DataFrame, array_col: str, key: str, ks: range = range(2, 10), seed: int = 1) -> DataFrame:
@@ -140,20 +129,23 @@ def gaussian_clusters(df: DataFrame, array_col: str, k: int = 2, seed: int = 1)
 
 def kmedoids(df: DataFrame, array_col: str, key: str, k: int, rounds: int = 10, seed: int = 0) -> DataFrame:
     """key, cluster, medoid, distance. Assignment is a map against k medoids; a cluster's new medoid is the member
-    nearest to its mean member distance, found among a hash sample of MEDOID_SAMPLE members per cluster."""
+    of least summed distance to all members, which are compared in blocks."""
     rows = df.select(key, F.col(array_col).cast("array<double>").alias("x"))
     medoids = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k).collect()
     away = lambda x, m: F.sqrt(F.aggregate(F.zip_with(x, F.array(*map(F.lit, m)), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    kind = df.schema[key].dataType.simpleString()
+
+    def dearest(mine: Block, others: Iterator[Block]) -> pd.DataFrame:
+        cost = sum(distances(mine.x, b.x).sum(1) for b in others)
+        i = np.lexsort((mine.columns[1], cost))[0]
+        return pd.DataFrame([{"cluster": mine.columns[0][i], "cost": cost[i], "h": mine.columns[1][i], key: mine.columns[2][i], "x": mine.x[i]}])
+
     for _ in range(rounds):
         best = F.array_min(F.array(*(F.struct(away(F.col("x"), m["x"]).alias("d"), F.lit(i).alias("c")) for i, m in enumerate(medoids))))
         labelled = rows.withColumn("_b", best).select(key, "x", F.col("_b.c").alias("cluster"), F.col("_b.d").alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64(key, F.lit(seed + 1)), key))
-        some = labelled.withColumn("_r", rank).where(F.col("_r") <= MEDOID_SAMPLE).toPandas()
-        new = []
-        for c, group in some.groupby("cluster"):
-            x = np.array(group["x"].tolist())
-            d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)).sum(1)
-            new.append({key: group[key].iloc[int(np.argmin(d))], "x": x[int(np.argmin(d))].tolist()})
+        members = labelled.withColumn("_h", F.xxhash64(key, F.lit(seed + 1)))
+        best = against_all(packed(members, "x", ["cluster", "_h", key], key, "cluster"), dearest, f"cluster int, cost double, h long, {key} {kind}, x array<double>")
+        new = [r.m for r in best.groupBy("cluster").agg(F.min(F.struct("cost", "h", key, "x")).alias("m")).orderBy("cluster").collect()]
         if [m[key] for m in new] == [m[key] for m in medoids]:
             break
         medoids = new
@@ -162,9 +154,6 @@ def kmedoids(df: DataFrame, array_col: str, key: str, k: int, rounds: int = 10,
     return rows.withColumn("_b", best).select(key, F.col("_b.c").alias("cluster"), F.get(ids, F.col("_b.c")).alias("medoid"), F.col("_b.d").alias("distance"))
 
 
-MEDOID_SAMPLE = 1000
-
-
 def nmf(v: np.ndarray, k: int, rounds: int = 200, w: np.ndarray | None = None, h: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative factors by multiplicative updates; given h, only w is fitted."""
     rng = np.random.default_rng(seed)
