@@ -1,12 +1,15 @@
 """Vectorised words of Arrow string columns: boundaries and 64-bit hashes, with numpy on the UTF-8 bytes.
 
 A word is a maximal run of bytes outside [\\x20\\x09-\\x0D]; UTF-8 never uses those bytes inside a longer
-character, so this equals the definition on code points. Hashes are polynomial sums over random byte
-weights, finished by a mixer: equal words have equal hashes on every machine and in every run.
+character, so this equals the definition on code points. A word's hash takes eight of its bytes at a time through
+a mixer, never a sum that rearranged bytes could keep, and each seed gives an independent hash; equal words have
+equal hashes on every machine and in every run. Spans of words are hashed by a polynomial over the words' hashes,
+SPAN_WORDS at most, too few terms for the collisions that long regular sequences have modulo 2**64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +17,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_rng = np.random.default_rng(20240607)
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Longer words are hashed by BLAKE2b.
+LONG_WORD = 64
+#: Words in a span whose hash is taken for its words, at most.
+SPAN_WORDS = 128
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 MASK = (1 << 64) - 1
 
 
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
 
@@ -36,7 +44,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-BYTES, FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
+FIRST, SECOND = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,8 +88,27 @@ class Words:
         self.hi = np.flatnonzero(word[:-1] & (~word[1:] | cut)[: n + 1])
         self.first = np.searchsorted(self.lo, at)
 
-    def hashes(self) -> np.ndarray:
-        return spans(BYTE[self.raw], self.lo, self.hi, BYTES)
+    def hashes(self, seed: int = 1) -> np.ndarray:
+        """64 bits of each word; different seeds give independent ones."""
+        length = self.hi - self.lo
+        odd = mix(np.array([2 * seed], np.uint64))[0] | U(1)
+        h = mix(length.astype(np.uint64) * odd + U(seed))
+        eight = np.ndarray(len(self.raw) + 1, "<u8", np.concatenate([self.raw, np.zeros(8, np.uint8)]), strides=(1,))
+        who = None if (length <= LONG_WORD).all() else np.flatnonzero(length <= LONG_WORD)
+        at, left = (self.lo, length) if who is None else (self.lo[who], length[who])
+        while len(at):
+            lane = eight[at] & _LOW[np.minimum(left, 8)]
+            if who is None:
+                h = mix(h ^ lane * odd)
+            else:
+                h[who] = mix(h[who] ^ lane * odd)
+            more = np.flatnonzero(left > 8)
+            who = more if who is None else who[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            word = self.raw[self.lo[i] : self.hi[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+        return h
 
 
 def chunks(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
