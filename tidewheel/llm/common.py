@@ -21,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one of its own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a temporary one of its own only where that is unset in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
@@ -41,13 +43,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing lazy refers to any more."""
     for t in tables:
         if path := getattr(t, "_scratch_path", None):
-            jvm = t.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            discard_path(t.sparkSession, path)
 
 
 def ascii_lower(c: Column) -> Column:

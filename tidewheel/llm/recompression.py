@@ -114,6 +114,6 @@ def anchors(h: np.ndarray, first: np.ndarray, size: int, rounds: int = ROUNDS) -
     return anchor, position, count
 
 
-def prints(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of h[lo:hi]."""
-    return spans(h, lo, hi, FIRST), spans(h, lo, hi, SECOND)
+def prints(h: np.ndarray, g: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words lo to hi, from two independent hashes h and g of each word."""
+    return spans(h, lo, hi, FIRST), spans(g, lo, hi, SECOND)
