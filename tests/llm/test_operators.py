@@ -125,20 +125,6 @@ def test_secrets(odd, odd_rows):
     assert found == ["3nr0ESnM5cSIQYm9KVkAXCdK"]
 
 
-def test_battery_tells_random_from_regular():
-    rng = np.random.default_rng(3)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    random_p = [secrets.battery("".join(rng.choice(list(letters), 40)))[0] for _ in range(200)]
-    assert np.mean(np.array(random_p) < 0.05) < 0.15
-    for regular in ("abababababababababababab1212121212121212", "a1" * 20, "aaaaaaaaaabbbbbbbbbbccccccccccdddddddddd11"):
-        assert secrets.battery(regular)[0] < 1e-4
-
-
-def test_false_discovery_control():
-    assert secrets.rejected_levels({5: {0: 90, 200: 10}}) == {5: 200}
-    assert secrets.rejected_levels({5: {0: 100}}) == {5: secrets.LEVELS}
-
-
 @pytest.mark.parametrize("keep", ["max", "min"])
 def test_exact_dedup(odd, odd_rows, keep):
     got = contentsort.content_sort(odd, keep=keep).collect()
