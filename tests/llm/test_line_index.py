@@ -41,3 +41,19 @@ def test_later_batches_recount_only_what_they_touch(spark):
     assert {bytes(r.key): r.first_doc for r in index.several.collect()} == whole and len(whole) == 3
     index.delete(docs(spark, [(3, "")]).select("doc_id"))
     assert {(r.doc_id, *r.dropped) for r in index.drops().collect()} == {(6, 0)}
+
+
+def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
+    rows = docs(spark, [(1, "shared by the documents"), (5, "shared by the documents\nother"), (5, "wholly unique line here\nother"), (5, "shared by the documents\nother"), (7, "only in document seven\nonly in document seven")])
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in linededup.without_repeated_lines(rows).collect())
+    assert got == sorted([(1, 1, 0, "shared by the documents"), (5, 2, 1, "other"), (5, 2, 0, "wholly unique line here\nother"), (5, 2, 1, "other"), (7, 2, 0, "only in document seven\nonly in document seven")])
+
+
+def test_deleting_null_ids_and_from_nothing(spark):
+    index = linededup.LineIndex(spark)
+    gone = docs(spark, [(None, ""), (4, "")]).select("doc_id")
+    index.delete(gone)
+    index.insert(docs(spark, [(None, "a line of two documents"), (3, "a line of two documents"), (4, "a line of two documents")]))
+    assert sorted(r.doc_id for r in index.drops().collect()) == [3, 4]
+    index.delete(gone)
+    assert index.drops().count() == 0 and {(r.n_docs, r.first_doc) for r in index.counts().collect()} == {(1, 3)}

@@ -1,6 +1,6 @@
 """Line dedup that can be undone: exact reference counts per line key, fronted by sharded cuckoo filters.
 
-State: `refs`, one row per (key, document) with the line positions, and one cuckoo filter per shard holding
+State: `refs`, one row per (key, document, text) with the line positions, and one cuckoo filter per shard holding
 every live key. insert() asks the filters first: keys they don't know are new for certain and counted within the
 batch; the rest are looked up in refs, those found are recounted. Every key that refs don't hold is put into the
 filters, so delete(), which removes a document's references, can take the keys that lose their last one out of
@@ -11,8 +11,9 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 code points found in several documents lose their lines everywhere but in the smallest document id.
 
 Cases: a null or empty text is one empty line; repeated lines of one document count as one reference and go
-or stay together; rows repeating an id are one document for the counts; a null id takes part as the smallest;
-other columns are ignored; an empty table gives no rows.
+or stay together; rows repeating an id are one document for the counts, and each loses lines of its own text only;
+a null id takes part as the smallest, and can be deleted; deleting from an index without documents, or ids it
+doesn't hold, changes nothing; other columns are ignored; an empty table gives no rows.
 
 Scale: keys are reduced to (key, document) before any shuffle, and to one row per key before a filter shard
 sees them, so a line held by a third of the documents is one row there; shards hold SHARD_KEYS keys each.
@@ -99,11 +100,11 @@ class CuckooFilter:
 
 
 def line_refs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """key (128 bits of SHA-256), doc_id, lines (positions): a row per key and document."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(body(text_col), "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", F.btrim(ascii_lower(F.col("line")), F.lit(SPACES)).alias("_key")).where(F.char_length("_key") >= min_chars)
+    """key (128 bits of SHA-256), doc_id, t (hash of the text), lines (positions): a row per key, document and text."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(body(text_col), "\n", -1)).alias("pos", "line"))
+    keys = lines.select("doc_id", "t", "pos", F.btrim(ascii_lower(F.col("line")), F.lit(SPACES)).alias("_key")).where(F.char_length("_key") >= min_chars)
     digest = F.substring(F.unhex(F.sha2(F.col("_key").cast("binary"), 256)), 1, 16)
-    return keys.groupBy(digest.alias("key"), "doc_id").agg(F.collect_list("pos").alias("lines"))
+    return keys.groupBy(digest.alias("key"), "doc_id", "t").agg(F.collect_list("pos").alias("lines"))
 
 
 class LineIndex:
@@ -168,9 +169,12 @@ class LineIndex:
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Take documents out again: their references, and from the filters the keys nobody else holds."""
-        ids = ids.select(F.col(id_col).alias("doc_id")).distinct()
-        left = saved(self.refs.join(ids, "doc_id", "left_anti"), "line-refs")
-        touched = saved(self.refs.join(ids, "doc_id", "left_semi").select("key").distinct(), "line-touched")
+        if self.refs is None:
+            return
+        ids = ids.select(F.col(id_col).alias("_id")).distinct()
+        theirs = F.col("doc_id").eqNullSafe(F.col("_id"))
+        left = saved(self.refs.join(ids, theirs, "left_anti"), "line-refs")
+        touched = saved(self.refs.join(ids, theirs, "left_semi").select("key").distinct(), "line-touched")
         again = saved(left.join(touched, "key", "left_semi"), "line-known")
         gone = self._prints(touched.join(again.select("key").distinct(), "key", "left_anti")).drop("key")
         self.several = saved(self.several.join(touched, "key", "left_anti").unionByName(_several(again)), "line-counts")
@@ -202,26 +206,33 @@ class LineIndex:
         return _counted(self.refs)
 
     def drops(self) -> DataFrame:
-        """doc_id, dropped (line positions): the lines that lose to a smaller document id."""
+        """doc_id, t, dropped (line positions): the lines that lose to a smaller document id."""
         lost = self.refs.join(self.several, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        return lost.groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("dropped"))
+        return lost.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped"))
+
+
+def _first(refs: DataFrame):
+    """The smallest document of a key; a null one is smaller than all others."""
+    return F.when(F.max(F.col("doc_id").isNull()), F.lit(None).cast(refs.schema["doc_id"].dataType)).otherwise(F.min("doc_id"))
 
 
 def _counted(refs: DataFrame) -> DataFrame:
-    first = F.when(F.max(F.col("doc_id").isNull()), F.lit(None).cast(refs.schema["doc_id"].dataType)).otherwise(F.min("doc_id"))
-    return refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first_doc"))
+    per = refs.select("key", "doc_id").distinct()
+    return per.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), _first(refs).alias("first_doc"))
 
 
 def _several(refs: DataFrame) -> DataFrame:
     """key, first_doc of the keys that several documents hold."""
-    return _counted(refs).where("n_docs > 1").select("key", "first_doc")
+    known = F.count("doc_id")
+    many = (F.min("doc_id") != F.max("doc_id")) | ((known > 0) & (known < F.count(F.lit(1))))
+    return refs.groupBy("key").agg(_first(refs).alias("first_doc"), many.alias("_many")).where("_many").drop("_many")
 
 
 def dedup_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (docs' columns as a struct), doc_id, n_lines, n_dropped, kept (the text without its dropped lines)."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.split(body(text_col), "\n", -1).alias("lines"))
-    gone = drops.select(F.col("doc_id").alias("drop_id"), "dropped")
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.split(body(text_col), "\n", -1).alias("lines"))
+    gone = drops.select(F.col("doc_id").alias("drop_id"), F.col("t").alias("drop_t"), "dropped")
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("t") == F.col("drop_t")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.when(F.col("dropped").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
     return joined.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
