@@ -259,23 +259,6 @@ def test_packing_round_trip(odd, odd_rows):
     assert len(by_seq) <= -(-sum(r.length for r in rows) // 2048) + 1
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_local_search_only_improves(seed):
-    rng = np.random.default_rng(seed)
-    lengths = rng.integers(1, 101, 300)
-    bins = packing.best_fit(lengths, 100)
-    better = packing.local_search([list(b) for b in bins], lengths, 100)
-    assert sorted(i for b in better for i in b) == list(range(300)) and len(better) <= len(bins)
-    assert all(lengths[b].sum() <= 100 for b in better)
-
-
-def test_local_search_empties_a_bin():
-    lengths = np.array([6, 4, 6, 3, 1])
-    assert len(packing.local_search([[0], [2, 3], [1, 4]], lengths, 10)) == 2
-    lengths = np.array([5, 3, 4, 5, 2, 1])  # two for one: 2 and 1 for a 3... until one bin is empty
-    assert len(packing.local_search([[0, 1], [2, 3], [4, 5]], lengths, 10)) == 2
-
-
 def test_ngram_join(odd, odd_rows):
     got = {r.doc_id: (r.class_id, r.n_links, r.n_shingles) for r in ngramjoin.ngram_join(unique(odd)).collect()}
     assert got == brute.similar(pairs(odd_rows, {700}))
