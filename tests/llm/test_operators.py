@@ -226,14 +226,6 @@ def test_mixing_cuts_blocks(spark, monkeypatch):
     assert all(abs(v[0] - t) <= 5 for (_, t), v in by.items())
 
 
-def test_mixed_rows_keep_columns(odd):
-    out = mixing.mixed(odd)
-    assert out.select("row.*").columns == odd.columns
-    plan = {r.doc_id: r.copies for r in mixing.mix_sources(odd).where("doc_id != 700").collect()}
-    got = Counter(r.doc_id for r in out.select("row.*").where("doc_id != 700").collect())
-    assert got == Counter({k: v for k, v in plan.items() if v})
-
-
 def test_packing_round_trip(odd, odd_rows):
     from tokenizers import Tokenizer
 

@@ -41,7 +41,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir)).drop("places")
+    return mixing.mix_sources(documents(spark, sf_dir))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
