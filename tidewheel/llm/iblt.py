@@ -4,7 +4,7 @@ A paragraph unit is a line, a long one cut every UNIT code points from its start
 cells of (count, XOR of digests, XOR of check digests); each distinct unit's 64-bit digest falls into three of
 them, one per third. Two sketches subtract cell by cell, units in common cancel, and peeling takes out digests
 that are alone in a cell until none is left: then the differing digests are known. Where that gets stuck, a larger sketch is
-tried: the digests are split FEW or MANY ways by further bits, as their number asks, and each part is sketched again;
+tried: the digests are split by one to MOST_BITS further bits into parts of about AIM, and each part is sketched again;
 parts of more than PART_UNITS digests are split further at once. Digests that no bits are left for are compared as sets.
 
 Likeness of two sketches is the share of their units in common: (a + b - differing) / (a + b), 1 for two
@@ -28,7 +28,7 @@ from tidewheel.llm.common import body, discard, partitions, saved
 
 UNIT, CELLS, ROUNDS = 160, 24, 7
 BUCKET_DOCS, BUCKETS, BORDER_IDS = 2048, 4096, 32
-FEW, MANY, PART_UNITS = 4, 16, 48
+AIM, MOST_BITS, PART_UNITS = 16, 4, 48
 _THIRD = CELLS // 3
 
 
@@ -138,16 +138,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found, last = None, None
     while True:
         total = F.size("one") + F.size("other")
-        ways = F.when(F.col("bit") > 59, 1).when(total > PART_UNITS, MANY).otherwise(FEW)
+        more = F.when(F.col("bit") > 59, 0).otherwise(F.least(F.greatest(F.ceil(F.log2(total / AIM)), F.lit(1)), F.lit(MOST_BITS)).cast("int"))
         child = lambda a: f"filter({a}, u -> (shiftright(u, bit) & (ways - 1)) = q)"
-        split = stuck.withColumn("ways", ways).select("row", "kind", "bit", "ways", F.expr(f"inline(transform(sequence(0, ways - 1), q -> named_struct('one', {child('one')}, 'other', {child('other')})))"))
+        split = stuck.withColumn("more", more).withColumn("ways", F.expr("shiftleft(1, more)")).select("row", "kind", "bit", "more", "ways", F.expr(f"inline(transform(sequence(0, ways - 1), q -> named_struct('one', {child('one')}, 'other', {child('other')})))"))
         split = split.where(total > 0)  # of a stuck pair some part is left
         sets = F.expr("size(array_except(one, other)) + size(array_except(other, one))")
         tried = F.when(F.col("ways") == 1, sets).when(total <= PART_UNITS, peeled("cells"))
         some = (total <= PART_UNITS) & (F.col("ways") > 1)
         split = split.withColumns({"x": F.when(some, sketch("one")), "y": F.when(some, sketch("other"))})
         split = split.withColumn("cells", F.when(some, subtracted("x", "y"))).withColumn("d", tried)
-        level = split.select("row", "kind", "d", *(F.when(F.col("d").isNull(), F.col(c)).alias(c) for c in ("one", "other")), (F.col("bit") + F.log2("ways").cast("int")).alias("bit"))
+        level = split.select("row", "kind", "d", *(F.when(F.col("d").isNull(), F.col(c)).alias(c) for c in ("one", "other")), (F.col("bit") + F.col("more")).alias("bit"))
         level = saved(level, "sketch-level")
         done = saved(level.where("d is not null").groupBy("row", "kind").agg(F.sum("d").alias("d")), "sketch-found")
         found = done if found is None else found.unionByName(done)
