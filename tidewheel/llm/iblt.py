@@ -159,6 +159,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
     discard(last)
     late = found.groupBy("row").agg(F.sum(F.when(F.col("kind") == "e", F.col("d"))).alias("le"), F.sum(F.when(F.col("kind") == "b", F.col("d"))).alias("lb"))
-    out = base.drop("a", "e", "b").join(late, "row", "left")
+    out = base.drop("a", "e", "b").join(late.hint("merge"), "row", "left")
     like = lambda n, d, later: F.when(F.col("na") + F.col(n) == 0, F.lit(1.0)).otherwise((F.col("na") + F.col(n) - F.coalesce(d, later)) / (F.col("na") + F.col(n)))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("ne", "de", "le").alias("near_edited"), like("nb", "db", "lb").alias("near_next"))
