@@ -79,3 +79,19 @@ def relevancy(df: DataFrame, run: str, event: str) -> DataFrame:
     runs = counts.select(run).distinct().agg(F.count(F.lit(1)).alias("_runs"))
     idf = counts.groupBy(event).agg(F.count(F.lit(1)).alias("_with")).crossJoin(F.broadcast(runs)).select(event, F.log(F.col("_runs") / F.col("_with")).alias("idf"))
     return tf.join(idf, event).select(run, event, "tf", "idf", (F.col("tf") * F.col("idf")).alias("score"))
+
+
+def padded(df: DataFrame, keys: list[str], counts: list[str], fill: int = 0) -> DataFrame:
+    """One row for every combination of the keys' values, the counts of those that df lacks filled: values of each key are few, their grid is made of them."""
+    grid = None
+    for k in keys:
+        values = df.select(k).where(F.col(k).isNotNull()).distinct()
+        grid = values if grid is None else grid.join(F.broadcast(values))
+    return grid.join(df, keys, "left").withColumns({c: F.coalesce(c, F.lit(fill)) for c in counts})
+
+
+def page(df: DataFrame, columns: list[str], order: list[str], number: int = 0, size: int = 20, digits: int | None = None) -> DataFrame:
+    """A page of a table for display: chosen columns, doubles rounded, rows in order; reads no more than the pages up to it."""
+    kinds = dict(df.dtypes)
+    shown = [F.round(c, digits).alias(c) if digits is not None and kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    return df.orderBy(*order).offset(number * size).limit(size).select(*shown)

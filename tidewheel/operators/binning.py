@@ -94,10 +94,10 @@ def residuals(df: DataFrame, bins: list[Bins], target: str, least: int = 0) -> D
     return rows.join(mid, keys, "left").withColumn(f"res_{target}", F.col(f"{target}_expected") - F.col(target))
 
 
-def refine(df: DataFrame, variables: list[str], bins: int = 8, tolerance: float = 0.05, levels: int = 3, most: int | None = None) -> DataFrame:
+def refine(df: DataFrame, variables: list[str], bins: int = 8, tolerance: float = 0.05, levels: int = 3, most: int | None = None, target: str | None = None) -> DataFrame:
     """Adaptive mesh: cells holding `tolerance` of the rows or more are split in halves per dimension, level by level.
 
-    Returns a row per leaf: level, index per dimension, rows. Each level is one aggregation; the cells to split
+    Returns a row per leaf: level, index per dimension, rows and, with a target, its median, std, min and max. Each level is one aggregation; the cells to split
     are joined, not collected.
     """
     n = df.na.drop(subset=variables).count()
@@ -105,17 +105,38 @@ def refine(df: DataFrame, variables: list[str], bins: int = 8, tolerance: float
     start = int(2 ** np.ceil(np.log2(bins)))
     unit = [F.try_divide(F.col(v) - F.lit(float(ends[f"lo_{v}"])), F.lit(float(ends[f"hi_{v}"] - ends[f"lo_{v}"]))) for v in variables]
     limit = max(1, int(np.ceil(tolerance * n))) if most is None else most + 1
-    open_ = df.na.drop(subset=variables).select(*(u.alias(f"_u{k}") for k, u in enumerate(unit)))
+    open_ = df.na.drop(subset=variables).select(*(u.alias(f"_u{k}") for k, u in enumerate(unit)), *([F.col(target).alias("_t")] if target else []))
+    stats = {"median": F.percentile("_t", 0.5), "std": F.stddev_samp("_t"), "min": F.min("_t"), "max": F.max("_t")} if target else {}
     out, width = None, start
     for level in range(levels + 1):
         index = [F.least(F.floor(F.col(f"_u{k}") * width), F.lit(width - 1)).cast("int").alias(f"i{k}") for k in range(len(variables))]
         keyed = open_.withColumns({f"i{k}": c for k, c in enumerate(index)})
         names = [f"i{k}" for k in range(len(variables))]
-        counts = keyed.groupBy(*names).count()
+        counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("count"), *(c.alias(k) for k, c in stats.items()))
         last = level == levels
-        leaves = (counts if last else counts.where(F.col("count") < limit)).select(F.lit(level).alias("level"), *names, F.col("count").alias("n"))
+        leaves = (counts if last else counts.where(F.col("count") < limit)).select(F.lit(level).alias("level"), *names, F.col("count").alias("n"), *stats)
         out = leaves if out is None else out.unionByName(leaves)
         if not last:
             open_ = keyed.join(counts.where(F.col("count") >= limit).select(*names), names, "left_semi").drop(*names)
         width *= 2
     return out
+
+
+def cube_model(df: DataFrame, bins: list[Bins], targets: list[str], least: int = 5, low: float = 0.4, high: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Rows with <t>_expected and res_<t> = actual - expected for every target, and the cells (cube_id, statistics) they come from.
+
+    Cells of at most `least` rows of a target are left out; a row whose own cell isn't there takes the nearest one's
+    medians. Rows and cells meet on the bins' labels, so an id means the same cell on both sides.
+    """
+    keys = [f"{b.variable}_bin" for b in bins]
+    cube = numbered(cells(df, bins, targets, low, high), f"{targets[0]}_mean", keys)
+    for t in targets:
+        cube = cube.where(F.col(f"{t}_count") > least)
+    ids = cube.select(*keys, "cube_id")
+    rows = df.withColumns({k: b.label() for k, b in zip(keys, bins, strict=True)}).join(ids, keys, "left")
+    here, lost = rows.where("cube_id is not null"), rows.where("cube_id is null").drop("cube_id")
+    values = ids.select("cube_id", *(F.col(k).alias(b.variable) for k, b in zip(keys, bins, strict=True)))
+    found = nearest_cell(lost.na.drop(subset=[b.variable for b in bins]), values, [b.variable for b in bins]).drop("distance")
+    expected = cube.select("cube_id", *(F.col(f"{t}_median").alias(f"{t}_expected") for t in targets))
+    out = here.unionByName(found.select(*here.columns)).join(expected, "cube_id").drop(*keys)
+    return out.withColumns({f"res_{t}": F.col(t) - F.col(f"{t}_expected") for t in targets}), cube

@@ -508,23 +508,45 @@ def drift_flags(daily: DataFrame, worker: str, day: str, error: str, spread: flo
     return rows.select(worker, day, "over_threshold", drift.alias("drift"))
 
 
-def walk_forward(df: DataFrame, keys: list[str], time_col: str, features: list[str], target: str, fold: str, model: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, strategy: str = "all_before") -> DataFrame:
-    """keys, fold, mae, n: each fold (say, a month) predicted from the folds before it, all or only the last one."""
-    fit = model or forest_model
+#: Training folds of each strategy, from first to last, counted from the fold that is predicted; None is the very first.
+STRATEGIES = {"last": (-1, -1), "1_month": (-1, -1), "6_months": (-6, -1), "1_year": (-12, -1), "1_month_year_before": (-12, -12), "all_before": (None, -1)}
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[*features, target]).sort_values(time_col)
-        folds, out = sorted(rows[fold].unique()), []
-        for i, f in enumerate(folds[1:], 1):
-            train = rows[rows[fold] < f] if strategy == "all_before" else rows[rows[fold] == folds[i - 1]]
-            test = rows[rows[fold] == f]
-            if len(train) > 10 and len(test):
-                p = fit(train[features].to_numpy(float), train[target].to_numpy(float), test[features].to_numpy(float))
-                out.append([*key, f, float(np.abs(p - test[target].to_numpy(float)).mean()), len(test)])
-        return pd.DataFrame(out, columns=[*keys, fold, "mae", "n"])
+
+def walk_forward(df: DataFrame, keys: list[str], time_col: str, features: list[str], target: str, fold: str, model: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, strategy: str = "all_before", split: object = None) -> DataFrame:
+    """keys, fold, mae, n: each fold (say, a month) predicted from those that the strategy trains on.
+
+    "train_test_split" trains once on the folds up to `split` and predicts each later one. A fold is predicted where the
+    whole window of its strategy is there. Every fold of every key is a group of its own, so no task holds a series.
+    """
+    fit = model or forest_model
+    rows = df.select(*keys, time_col, *dict.fromkeys([*features, target, fold])).na.drop(subset=[*features, target])
+    folds = rows.select(*keys, fold).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(fold)))
+    trained, tested = (folds.select(*keys, F.col(fold).alias(name), F.col("_i").alias(i)) for name, i in (("_from", "_j"), ("_test", "_i")))
+    both = tested.join(trained, keys) if keys else tested.join(F.broadcast(trained))
+    if strategy == "train_test_split":
+        pairs = both.where((F.col("_from") <= F.lit(split)) & (F.col("_test") > F.lit(split)))
+    else:
+        first, last = STRATEGIES[strategy]
+        pairs = both.where((F.col("_j") <= F.col("_i") + last) & (F.lit(True) if first is None else (F.col("_j") >= F.col("_i") + first) & (F.col("_i") + first >= 1)))
+    pairs = pairs.select(*keys, "_from", "_test")
+    train = rows.withColumnRenamed(fold, "_from").join(pairs, [*keys, "_from"])
+    test = rows.withColumnRenamed(fold, "_test").join(pairs.select(*keys, "_test").distinct(), [*keys, "_test"])
+
+    def run(key: tuple, seen: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(seen) or not len(asked):
+            return pd.DataFrame([], columns=[*keys, fold, "mae", "n"])
+        seen, asked = seen.sort_values(time_col, kind="stable"), asked.sort_values(time_col, kind="stable")
+        p = fit(seen[features].to_numpy(float), seen[target].to_numpy(float), asked[features].to_numpy(float))
+        return pd.DataFrame([[*key, float(np.abs(p - asked[target].to_numpy(float)).mean()), len(asked)]], columns=[*keys, fold, "mae", "n"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, fold]) + ", mae double, n long")
+    train, test = (side.select(*(F.col(c).alias(c) for c in side.columns)) for side in (train, test))  # columns of their own
+    grouped = train.groupBy(*keys, "_test").cogroup(test.groupBy(*keys, "_test"))
+    return grouped.applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, fold]) + ", mae double, n long")
+
+
+def mean_model(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return np.full(len(z), y.mean())
 
 
 def forest_model(x: np.ndarray, y: np.ndarray, z: np.ndarray, trees: int = 10, depth: int = 6) -> np.ndarray:

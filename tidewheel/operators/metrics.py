@@ -85,6 +85,11 @@ def tpr_at_fpr(curve: DataFrame, fpr: float) -> DataFrame:
     return curve.where(F.col("fpr") <= fpr).agg(F.max("tpr").alias("tpr"))
 
 
+def fpr_at_tpr(curve: DataFrame, tpr: float) -> DataFrame:
+    """FPR where the TPR first exceeds the given one; 0 if it never does."""
+    return curve.where(F.col("tpr") > tpr).agg(F.coalesce(F.min("fpr"), F.lit(0.0)).alias("fpr"))
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
 
@@ -95,3 +100,73 @@ def binary_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     out = df.agg(n(t & p).alias("tp"), n(~t & p).alias("fp"), n(t & ~p).alias("fn"), n(~t & ~p).alias("tn"))
     out = out.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})
     return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def student_tail(t: float, n: float) -> float:
+    """P(|T| > |t|) for Student's t with n degrees of freedom: the incomplete beta function by its continued fraction."""
+    from math import exp, lgamma, log
+
+    x, a, b = n / (n + t * t), n / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+    if flip := x > (a + 1) / (a + b + 2):
+        x, a, b = 1 - x, b, a
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    c, d, f = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-30), 1.0
+    f = d
+    for m in range(1, 300):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + k * d or 1e-30), 1 + k / c or 1e-30
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return 1 - front * f if flip else front * f
+
+
+def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """r, n, t and p (two-sided) of the linear correlation of two columns, rows with a null left out; one row."""
+    row = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    out = row.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r"))))
+    tail = F.pandas_udf(lambda t, n: t.combine(n, lambda a, b: student_tail(a, b - 2) if a == a and b > 2 else None).astype("float64"), "double")
+    return out.withColumn("p", tail(F.col("t").cast("double"), F.col("n")))
+
+
+def mahalanobis(df: DataFrame, columns: list[str], out: str = "distance") -> DataFrame:
+    """Each row's distance from the columns' means under their inverse covariance; null where a column is.
+
+    Means and covariances are one row of sums; the inverse is made on the driver from that row.
+    """
+    import numpy as np
+
+    known = df.na.drop(subset=columns)
+    aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)] + [F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    row = known.agg(*aggs).first()
+    if row[0] is None or any(v is None for v in row):
+        return df.withColumn(out, F.lit(None).cast("double"))
+    k = range(len(columns))
+    inverse = np.linalg.pinv(np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in k] for i in k], float))
+    away = [F.col(c) - F.lit(float(row[f"m{i}"])) for i, c in enumerate(columns)]
+    square = sum((F.lit(float(inverse[i, j])) * away[i] * away[j] for i in k for j in k), F.lit(0.0))
+    return df.withColumn(out, F.when(square > 0, F.sqrt(square)).when(square <= 0, 0.0))
+
+
+#: Rows of the right side up to which pairwise distances broadcast it; beyond, both sides are dealt in blocks.
+BROADCAST_ROWS, BLOCKS = 10_000, 64
+
+
+def pairwise(left: DataFrame, right: DataFrame, ids: tuple[str, str], columns: list[str], angular: list[str] = (), boundary: float = 360.0, kind: str = "euclidean") -> DataFrame:
+    """ids of both sides and their distance, a row per pair: Euclidean, or the sum of absolute and signed angular differences ("mixed")."""
+    from tidewheel.functions.angles import angular_distance
+
+    a = left.select(F.col(ids[0]).alias("a"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate([*columns, *angular])))
+    b = right.select(F.col(ids[1]).alias("b"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate([*columns, *angular])))
+    if len(b.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+        both = a.join(F.broadcast(b))
+    else:
+        both = a.withColumn("_block", F.pmod(F.xxhash64("a"), F.lit(BLOCKS))).join(b.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), "_block")
+    n = len(columns)
+    if kind == "euclidean":
+        distance = F.sqrt(sum((F.pow(F.col(f"_a{i}") - F.col(f"_b{i}"), 2) for i in range(n)), F.lit(0.0)))
+    else:
+        distance = sum((F.abs(F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(n)), F.lit(0.0)) + sum((angular_distance(F.col(f"_a{i}"), F.col(f"_b{i}"), boundary) for i in range(n, n + len(angular))), F.lit(0.0))
+    return both.select("a", "b", distance.alias("distance"))

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators.outliers import outlier_flags
+from tidewheel.operators.resample import resample
+
 Scaler = Callable[[Column, dict[str, Column]], Column]
 
 #: Each scaler as a function of the value and its group's statistics.
@@ -34,3 +37,15 @@ def row_shares(df: DataFrame, columns: list[str]) -> DataFrame:
     total = reduce(lambda a, b: a + b, (F.col(c) for c in columns))
     out = df.na.drop(subset=columns).withColumn("_total", total)
     return out.withColumns({c: F.try_divide(F.col(c), F.col("_total")) for c in columns}).drop("_total")
+
+
+def scaled_within_fences(df: DataFrame, column: str, alpha: float = 3.0, method: str | Scaler = "minmax", prefix: str = "n_") -> DataFrame:
+    """The rows inside the column's box-plot fences, with its scaled copy: outliers leave before the statistics are taken."""
+    inside = outlier_flags(df.where(F.col(column).isNotNull()), column, alpha, flag="_out").where("not _out").drop("_out")
+    return scaled(inside, [column], (), method, prefix)
+
+
+def resampled_scaled(df: DataFrame, time_col: str, freq: str, columns: list[str], keys: list[str] = (), method: str | Scaler = "minmax", prefix: str = "n_") -> DataFrame:
+    """Sums per bin, empty bins 0, and their copies scaled within each group."""
+    sums = resample(df, time_col, freq, {c: F.sum(c) for c in columns}, keys, tuple(columns))
+    return scaled(sums, columns, list(keys), method, prefix)

@@ -68,3 +68,8 @@ def sequence_windows(df: DataFrame, values: list[str], order: str, length: int,
     w = Window.partitionBy(*keys).orderBy(order)
     out = df.withColumns({"window": F.collect_list(F.struct(*values)).over(w.rowsBetween(-length, -1)), "_n": F.row_number().over(w)})
     return out.where(F.col("_n") > length).select(*keys, order, "window", *([label] if label else []))
+
+
+def upsample(df: DataFrame, time_col: str, value: str, freq: str, keys: list[str] = ()) -> DataFrame:
+    """Means on a finer grid, the steps between known ones filled linearly: keys, bin, value."""
+    return interpolate(resample(df, time_col, freq, {value: F.avg(value)}, keys), value, "bin", list(keys))

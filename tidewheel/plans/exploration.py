@@ -153,15 +153,53 @@ def _angles(read):
     return read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", d("l_orderkey", 37).alias("a"), d("l_partkey", 53).alias("b"), "l_returnflag", "l_quantity")
 
 
+@C.add("fpr_at_tpr", f"{_ROC} SELECT round(min(fp / nn), 6) AS fpr FROM c WHERE tp / pp > 0.9")
+def _(read):
+    return metrics.fpr_at_tpr(metrics.roc_curve(_scored(read), "score", "quality"), 0.9).withColumns(rounded("fpr"))
+
+
+@C.add("pearson_test", "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL) SELECT round(r, 6) AS r, n, round(r * sqrt(n - 2) / sqrt(1 - r * r), 3) AS t FROM c")
+def _(read):
+    return metrics.pearson_test(read("lineitem"), "l_quantity", "l_extendedprice").select(F.round("r", 6).alias("r"), "n", F.round("t", 3).alias("t"))
+
+
+@C.add("all_groups_padded", """WITH c AS (SELECT event_type, CAST(dayofyear(ts) AS INTEGER) AS day, count(*) AS n FROM events WHERE value > 200 GROUP BY 1, 2)
+    SELECT a.event_type, b.day, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT event_type FROM c) a CROSS JOIN (SELECT DISTINCT day FROM c) b LEFT JOIN c ON c.event_type = a.event_type AND c.day = b.day""")
+def _(read):
+    from tidewheel.operators import aggregate
+
+    counts = read("events").where("value > 200").groupBy("event_type", F.dayofyear("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return aggregate.padded(counts, ["event_type", "day"], ["n"])
+
+
+_PLACES = "SELECT s_suppkey AS k, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y, CAST(s_suppkey * 37 % 360 AS DOUBLE) AS w FROM supplier"
+
+
+def _places(read):
+    return read("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"), (F.col("s_suppkey") * 37 % 360).cast("double").alias("w"))
+
+
+@C.add("pairwise_euclidean", f"WITH p AS ({_PLACES}) SELECT a.k AS a, b.k AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) AS distance FROM p a, p b")
+def _(read):
+    p = _places(read)
+    return metrics.pairwise(p, p, ("k", "k"), ["x", "y"]).withColumns(rounded("distance", digits=4))
+
+
+@C.add("pairwise_mixed", f"WITH p AS ({_PLACES}) SELECT a.k AS a, b.k AS b, round(abs(a.x - b.x) + abs(a.y - b.y) + CASE WHEN a.w - b.w < -180 THEN a.w - b.w + 360 WHEN a.w - b.w >= 180 THEN a.w - b.w - 360 ELSE a.w - b.w END, 4) AS distance FROM p a, p b")
+def _(read):
+    p = _places(read)
+    return metrics.pairwise(p, p, ("k", "k"), ["x", "y"], ["w"], kind="mixed").withColumns(rounded("distance", digits=4))
+
+
 @C.add("angular_distance", f"WITH t AS ({_ANGLE}) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a - b < -180 THEN a - b + 360 WHEN a - b >= 180 THEN a - b - 360 ELSE a - b END AS distance FROM t")
 def _(read):
     return _angles(read).select("l_orderkey", "l_linenumber", "l_partkey", angles.angular_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@C.add("circular_mean_by_group", f"""WITH t AS ({_ANGLE}), m AS (SELECT l_returnflag, degrees(atan2(avg(sin(radians(a))), avg(cos(radians(a))))) AS d, sqrt(avg(sin(radians(a))) ** 2 + avg(cos(radians(a))) ** 2) AS r FROM t WHERE l_quantity < 20 GROUP BY 1)
+@C.add("circular_mean_by_group", f"""WITH t AS ({_ANGLE}), m AS (SELECT l_returnflag, degrees(atan2(avg(sin(radians(a))), avg(cos(radians(a))))) AS d, sqrt(avg(sin(radians(a))) ** 2 + avg(cos(radians(a))) ** 2) AS r FROM t GROUP BY 1)
     SELECT l_returnflag, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 4) AS mean, round(degrees(sqrt(-2 * ln(r))), 4) AS sd FROM m""")
 def _(read):
-    rows = _angles(read).where("l_quantity < 20").groupBy("l_returnflag")
+    rows = _angles(read).groupBy("l_returnflag")
     return rows.agg(F.round(angles.circular_mean(F.col("a")), 4).alias("mean"), F.round(angles.circular_std(F.col("a")), 4).alias("sd"))
 
 

@@ -115,6 +115,28 @@ def _(read):
     return out.withColumns(rounded("mae"))
 
 
+_DAYS = "WITH b AS (SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, avg(value) AS v FROM events GROUP BY 1, 2), h AS (SELECT *, CAST(dayofyear(hour) AS INTEGER) AS fold FROM b), d AS (SELECT event_type, fold, row_number() OVER (PARTITION BY event_type ORDER BY fold) AS i FROM (SELECT DISTINCT event_type, fold FROM h))"
+_WINDOWS = {"1_month": "t.i - 1 AND t.i - 1", "6_months": "t.i - 6 AND t.i - 1", "1_year": "t.i - 12 AND t.i - 1", "1_month_year_before": "t.i - 12 AND t.i - 12", "all_before": "1 AND t.i - 1", "train_test_split": "1 AND (SELECT max(i) FROM d e WHERE e.event_type = t.event_type AND e.fold <= 15)"}
+_LEAST = {"1_month": 2, "6_months": 7, "1_year": 13, "1_month_year_before": 13, "all_before": 2}
+
+for _strategy, _window in _WINDOWS.items():
+    _whole = "t.fold > 15" if _strategy == "train_test_split" else f"t.i >= {_LEAST[_strategy]}"
+
+    @C.add(f"walk_forward_{_strategy}", f"""{_DAYS}, m AS (SELECT t.event_type, t.fold, avg(h.v) AS p FROM d t JOIN d s ON s.event_type = t.event_type AND s.i BETWEEN {_window} JOIN h ON h.event_type = s.event_type AND h.fold = s.fold WHERE {_whole} GROUP BY 1, 2)
+        SELECT event_type, fold, round(avg(abs(p - v)), 6) AS mae, count(*) AS n FROM m JOIN h USING (event_type, fold) GROUP BY 1, 2""")
+    def _(read, strategy=_strategy):
+        from tidewheel.plans.timeseries import hourly
+
+        rows = hourly(read).withColumns({"fold": F.dayofyear("hour"), "hour_of_day": F.hour("hour")})
+        return learning.walk_forward(rows, ["event_type"], "hour", ["hour_of_day"], "value", "fold", learning.mean_model, strategy, split=15).withColumns(rounded("mae"))
+
+
+@C.add("mahalanobis_distance", """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_extendedprice AS y FROM lineitem), s AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM e)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(((x - mx) * (x - mx) * c - 2 * (x - mx) * (y - my) * b + (y - my) * (y - my) * a) / (a * c - b * b)), 5) AS distance FROM e, s""")
+def _(read):
+    return metrics.mahalanobis(read("lineitem"), ["l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", F.round("distance", 5).alias("distance"))
+
+
 @C.add("federated_losses")
 def _(read):
     rows = read("events").select("user_id", F.hour("ts").cast("double").alias("h"), F.weekday("ts").cast("double").alias("d"), "value")

@@ -271,11 +271,44 @@ def _(read):
     return binning.nearest_cell(rows, cube, ["q", "d"]).select("p_partkey", "cube_id", F.round("distance", 6).alias("distance"))
 
 
-@C.add("mesh_leaf_counts")
+def _mesh_sql(stats: str = "", names: str = "", start: int = 4, levels: int = 3) -> str:
+    """Leaves of the mesh over l_quantity and l_extendedprice, a query per level."""
+    unit = "(l_quantity - lq) / (hq - lq) AS u, (l_extendedprice - lp) / (hp - lp) AS v, l_discount AS t"
+    parts = ["e AS (SELECT min(l_quantity) AS lq, max(l_quantity) AS hq, min(l_extendedprice) AS lp, max(l_extendedprice) AS hp, greatest(1, ceil(0.05 * count(*))) AS most FROM lineitem)", f"o0 AS (SELECT {unit} FROM lineitem, e)"]
+    for k in range(levels + 1):
+        w = start * 2**k
+        parts.append(f"k{k} AS (SELECT *, CAST(least(floor(u * {w}), {w - 1}) AS INTEGER) AS i0, CAST(least(floor(v * {w}), {w - 1}) AS INTEGER) AS i1 FROM o{k})")
+        parts.append(f"c{k} AS (SELECT i0, i1, count(*) AS n{stats} FROM k{k} GROUP BY 1, 2)")
+        parts.append(f"o{k + 1} AS (SELECT u, v, t FROM k{k} JOIN c{k} USING (i0, i1), e WHERE c{k}.n >= most)")
+    leaves = [f"SELECT CAST({k} AS INTEGER) AS level, i0, i1, n{names} FROM c{k}, e" + (f" WHERE n < most" if k < levels else "") for k in range(levels + 1)]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(leaves)}"
+
+
+@C.add("mesh_leaf_counts", _mesh_sql())
 def _(read):
     return binning.refine(read("lineitem"), ["l_quantity", "l_extendedprice"], bins=4, tolerance=0.05, levels=3)
 
 
+@C.add("mesh_cell_stats", _mesh_sql(", round(median(t), 6) AS median, round(stddev_samp(t), 6) AS std, min(t) AS min, max(t) AS max", ", median, std, min, max"))
+def _(read):
+    out = binning.refine(read("lineitem"), ["l_quantity", "l_extendedprice"], bins=4, tolerance=0.05, levels=3, target="l_discount")
+    return out.withColumns({c: F.round(c, 6) for c in ("median", "std")})
+
+
+@C.add("hypercube_model", _BINNED + """, g AS (SELECT l_quantity_bin AS q, l_discount_bin AS d, median(l_extendedprice) AS med, median(l_tax) AS tax, count(*) AS n, row_number() OVER (ORDER BY avg(l_extendedprice) DESC, l_quantity_bin, l_discount_bin) - 1 AS cube_id FROM b WHERE l_quantity_bin IS NOT NULL AND l_discount_bin IS NOT NULL GROUP BY 1, 2),
+    k AS (SELECT * FROM g WHERE n > (SELECT quantile_cont(n, 0.5) FROM g)), near AS (SELECT l_quantity AS x, l_discount AS y, cube_id FROM (SELECT x.l_quantity, x.l_discount, k.cube_id, row_number() OVER (PARTITION BY x.l_quantity, x.l_discount ORDER BY (l_quantity - q) * (l_quantity - q) + (l_discount - d) * (l_discount - d), cube_id) AS rn FROM (SELECT DISTINCT l_quantity, l_discount FROM lineitem) x, k) WHERE rn = 1),
+    r AS (SELECT b.*, coalesce(o.cube_id, near.cube_id) AS id FROM b LEFT JOIN k o ON o.q = l_quantity_bin AND o.d = l_discount_bin JOIN near ON near.x = l_quantity AND near.y = l_discount)
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(id AS INTEGER) AS cube_id, round(l_extendedprice - med, 4) AS res_l_extendedprice, round(l_tax - tax, 6) AS res_l_tax FROM r JOIN k ON k.cube_id = r.id""")
+def _(read):
+    from tidewheel.operators.quantiles import exact_quantiles
+
+    rows = read("lineitem")
+    counts = binning.cells(rows, [_Q, _D], ["l_tax"]).select("l_tax_count")
+    least = int(exact_quantiles(counts, "l_tax_count", [0.5])[0])
+    out, _ = binning.cube_model(rows, [_Q, _D], ["l_extendedprice", "l_tax"], least=least)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "cube_id", F.round("res_l_extendedprice", 4).alias("res_l_extendedprice"), F.round("res_l_tax", 6).alias("res_l_tax"))
+
+
 @C.add("single_pass_runs", "SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1")
 def _(read):
     return read("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).where("n = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import dates
-from tidewheel.operators import clean, events, outliers, resample, series
+from tidewheel.operators import clean, events, normalize, outliers, resample, series
 from tidewheel.plans.base import Catalogue, rounded
 
 C = Catalogue()
@@ -153,6 +153,27 @@ def _(read):
     return resample.interpolate(hourly_grid(read), "value", "hour", ["event_type"]).select("event_type", "hour", F.round("value", 6).alias("value"))
 
 
+@C.add("upsample_linear", """WITH h AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS hour, avg(value) AS value FROM events GROUP BY 1, 2), g AS (SELECT user_id, unnest(generate_series(min(hour), max(hour), INTERVAL 6 HOUR)) AS hour FROM h GROUP BY 1),
+    j AS (SELECT g.user_id, g.hour, h.value, row_number() OVER (PARTITION BY g.user_id ORDER BY g.hour) AS i FROM g LEFT JOIN h USING (user_id, hour)),
+    k AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS pi, min(CASE WHEN value IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM j)
+    SELECT k.user_id, k.hour AS bin, round(CASE WHEN k.value IS NOT NULL THEN k.value ELSE p.value + (n.value - p.value) * (k.i - p.i) / (n.i - p.i) END, 6) AS value FROM k JOIN j p ON p.user_id = k.user_id AND p.i = k.pi JOIN j n ON n.user_id = k.user_id AND n.i = k.ni""")
+def _(read):
+    return resample.upsample(read("events"), "ts", "value", "6 hours", ["user_id"]).select("user_id", "bin", F.round("value", 6).alias("value"))
+
+
+@C.add("resample_scaled", """WITH b AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS bin, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT user_id, unnest(generate_series(min(bin), max(bin), INTERVAL 6 HOUR)) AS bin FROM b GROUP BY 1),
+    f AS (SELECT g.user_id, g.bin, coalesce(v, 0) AS v FROM g LEFT JOIN b ON g.user_id = b.user_id AND g.bin = b.bin)
+    SELECT user_id, bin, round((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 6) AS n_value FROM f WINDOW w AS (PARTITION BY user_id)""")
+def _(read):
+    return normalize.resampled_scaled(read("events"), "ts", "6 hours", ["value"], ["user_id"]).select("user_id", "bin", F.round("n_value", 6).alias("n_value"))
+
+
+@C.add("scaled_without_outliers", """WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events), r AS (SELECT event_id, value FROM events, q WHERE value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))
+    SELECT event_id, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS n_value FROM r""")
+def _(read):
+    return normalize.scaled_within_fences(read("events"), "value", 1.5).select("event_id", F.round("n_value", 6).alias("n_value"))
+
+
 @C.add("fleet_mean_imputation", f"""WITH g AS ({_GRID}), h AS ({_HOURLY}), m AS (SELECT hour, avg(value) AS fleet FROM h GROUP BY 1)
     SELECT g.event_type, g.hour, round(coalesce(h.value, m.fleet), 6) AS value FROM g LEFT JOIN h USING (event_type, hour) LEFT JOIN m ON m.hour = g.hour""")
 def _(read):
