@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import body, discard, partitions, saved
 
 UNIT, CELLS, ROUNDS = 160, 24, 7
-BUCKET_DOCS, BUCKETS, BORDER_IDS = 2048, 4096, 32
+BUCKET_DOCS, BUCKETS, BORDER_IDS = 512, 4096, 32
 AIM, MOST_BITS, PART_UNITS = 16, 4, 48
 _THIRD = CELLS // 3
 
