@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import learning, metrics
+from tidewheel.operators import clean, learning, metrics
 
 RATE, SEGMENT, LEAST_RPM = 20_480, 10_240, 10
 #: Bands of orders: 50 of width 2, from 0.5 on. Fixed values.
@@ -46,6 +46,19 @@ def weights(profiled: DataFrame, h: np.ndarray) -> DataFrame:
     return keyed.join(learning.nmf_weights(keyed, "_k", "profile", h), "_k").drop("_k")
 
 
+def parts(healthy: DataFrame, share: float = 0.75, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of the undamaged gearbox; a sample's rows stay together, dealt by a hash of its name."""
+    low = F.pmod(F.xxhash64("sample", F.lit(seed)), F.lit(10_000)) < round(share * 10_000)
+    return healthy.where(low), healthy.where(~low)
+
+
+def balanced(undamaged: DataFrame, pitted: DataFrame, seed: int = 0) -> DataFrame:
+    """Test rows of both kinds: pitted samples of modes that the undamaged ones have, as many samples as there are of those."""
+    shared = pitted.join(undamaged.select("rpm", "torque").distinct(), ["rpm", "torque"], "left_semi")
+    drawn = clean.hashed_sample(shared.select("sample").distinct(), "sample", undamaged.select("sample").distinct().count(), seed)
+    return undamaged.unionByName(shared.join(drawn, "sample", "left_semi"))
+
+
 def operating_modes(profiled: DataFrame) -> DataFrame:
     """torque, rpm, mode: numbered from 1, by torque, then speed; a row per mode."""
     return profiled.select("torque", "rpm").distinct().withColumn("mode", F.row_number().over(Window.orderBy("torque", "rpm")))

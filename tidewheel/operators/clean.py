@@ -77,8 +77,18 @@ def impute(df: DataFrame, columns: list[str], least: int = 0, by: Callable[[Colu
 
 
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows that any rerun picks again: those with the smallest hashes of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows that any rerun picks again: those with the smallest hashes of their key, which tells rows apart.
+
+    Hashes are counted by their first 16 bits; only the rows of the group that holds the n-th are sorted.
+    """
+    rows = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_b", F.shiftright("_h", 48))
+    run = F.sum("count").over(Window.orderBy("_b"))  # over 65,536 counts at most
+    cut = rows.groupBy("_b").count().withColumn("_run", run).where(F.col("_run") >= n).agg(F.min(F.struct("_b", (F.col("_run") - F.col("count")).alias("before"))).alias("_cut"))
+    marked = rows.crossJoin(F.broadcast(cut))  # one row
+    whole = marked.where(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut._b")))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    rest = marked.where(F.col("_b") == F.col("_cut._b")).withColumn("_rank", rank).where(F.col("_rank") <= n - F.col("_cut.before"))
+    return whole.select("_h", *df.columns).unionByName(rest.select("_h", *df.columns)).orderBy("_h", key).select(*df.columns)
 
 
 def grid(spark, values: dict[str, list]) -> DataFrame:

@@ -111,6 +111,39 @@ def connectivity(df: DataFrame, array_col: str, cluster: str, key: str, neighbou
     return against_all(packed(df, array_col, [cluster, key], key), run, "c double").agg(F.sum("c").alias("connectivity"))
 
 
+def dunn(df: DataFrame, array_col: str, cluster: str, key: str) -> DataFrame:
+    """Dunn index by cosine distance: the nearest rows of different clusters over the furthest of the same; all rows in blocks.
+
+    Null with one cluster only, or where no cluster has two different rows; a vector of zeros is at distance 1.
+    """
+
+    def run(mine: Block, others: Iterator[Block]) -> pd.DataFrame:
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        x, between, within = unit(mine.x), np.full(len(mine.x), np.inf), np.full(len(mine.x), -np.inf)
+        for b in others:
+            d, same = 1 - x @ unit(b.x).T, mine.columns[0][:, None] == b.columns[0][None]
+            between = np.minimum(between, np.where(same, np.inf, d).min(1))
+            within = np.maximum(within, np.where(same & (mine.columns[1][:, None] != b.columns[1][None]), d, -np.inf).max(1))
+        return pd.DataFrame({"between": np.where(np.isinf(between), np.nan, between), "within": np.where(np.isinf(within), np.nan, within)})
+
+    found = against_all(packed(df, array_col, [cluster, key], key), run, "between double, within double")
+    return found.agg(F.try_divide(F.min("between"), F.max("within")).alias("dunn"))
+
+
+def knee(curve: DataFrame, x: str, y: str, keys: list[str] = (), decreasing: bool = False) -> DataFrame:
+    """keys, knee: the first x at which a concave rising (or convex falling) curve is furthest from the line between its ends.
+
+    Both axes are scaled to 0..1. A curve of fewer than three points, or a flat one, has none (null).
+    """
+    w = Window.partitionBy(*keys)
+    scaled = lambda c: F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w))
+    high = 1 - scaled(y) if decreasing else scaled(y)
+    rows = curve.select(*keys, F.col(x).alias("_x"), F.round(high - scaled(x), 12).alias("_d"))
+    o = w.orderBy("_x")
+    top = (F.col("_d") >= F.lag("_d").over(o)) & (F.col("_d") >= F.lead("_d").over(o))
+    return rows.withColumn("_top", top).groupBy(*keys).agg(F.min(F.when(F.col("_top"), F.col("_x"))).alias("knee"))
+
+
 def kmeans_sweep(df: DataFrame, array_col: str, key: str, ks: range = range(2, 10), seed: int = 1) -> DataFrame:
     """For each k: inertia, silhouette, Calinski-Harabasz, Davies-Bouldin."""
     data = vectors(df, array_col)
@@ -275,6 +308,28 @@ def spectra(df: DataFrame, keys: list[str], order: str, value: str, rate: float,
     return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", frequency double, power double")
 
 
+def short_time_spectra(df: DataFrame, keys: list[str], position: str, value: str, rate: float, segment: int) -> DataFrame:
+    """keys, segment, frequency, power: of each stretch of `segment` readings, stretches overlapping by half.
+
+    `position` counts a series' readings; stretch s starts at s x segment / 2, and those not full go. Each stretch is a
+    group of its own, so a series need not fit in a task.
+    """
+    if segment < 2 or segment % 2:
+        raise ValueError("segment must be even")
+    half = F.floor(F.col(position) / (segment // 2)).cast("long")
+    cut = df.select(*keys, F.explode(F.array(half, half - 1)).alias("segment"), F.col(position).alias("_i"), F.col(value).cast("double").alias("_v")).na.drop(subset=["_v"])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, "segment"]
+        if len(rows) != segment:
+            return pd.DataFrame([], columns=[*names, "frequency", "power"])
+        f, p = welch(rows.sort_values("_i")["_v"].to_numpy(), rate, segment)
+        return pd.DataFrame({k: [v] * len(f) for k, v in zip(names, key, strict=True)} | {"frequency": f, "power": p})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return cut.groupBy(*keys, "segment").applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "segment long, frequency double, power double")
+
+
 def bands(psd: DataFrame, keys: list[str], at: str, value: str, edges: list[tuple[float, float]]) -> DataFrame:
     """Sum and count per band, both ends closed; a row may be in two bands. The band is found in the row, without a join."""
     hit = F.filter(F.array(*(F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for a, b in edges)), lambda e: (F.col(at) >= e["lo"]) & (F.col(at) <= e["hi"]))

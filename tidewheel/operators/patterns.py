@@ -35,6 +35,23 @@ def templates(names: DataFrame, column: str) -> DataFrame:
     return total.join(listed, "shape", "left").select("shape", "n", F.coalesce(F.array_join(text, "|"), F.lit("")).alias("widths"))
 
 
+def named(names: DataFrame, column: str) -> DataFrame:
+    r"""names with regex: what matches every name that differs from it in digits only, a run of digits as \d{min,max}.
+
+    Null names have a null regex; the empty name's is empty. Literal text is escaped.
+    """
+    tokens = F.regexp_extract_all(column, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    rows = names.withColumn("_shape", F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]"), F.lit("")).otherwise(t)))
+    per = rows.where("_shape is not null").groupBy("_shape", F.transform(F.regexp_extract_all(column, F.lit("[0-9]+"), F.lit(0)), lambda r: F.length(r)).alias("runs")).count()
+    widths = per.select("_shape", F.posexplode("runs").alias("pos", "width")).groupBy("_shape", "pos").agg(F.min("width").alias("lo"), F.max("width").alias("hi"))
+    listed = widths.groupBy("_shape").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "hi"))).alias("w"))
+    size = lambda x: F.concat(F.lit("\\d{"), F.concat_ws(",", x["lo"].cast("string"), F.when(x["hi"] > x["lo"], x["hi"].cast("string"))), F.lit("}"))
+    plain = lambda t: F.regexp_replace(t, r"([.^$|?*+(){}\[\]\\])", r"\\$1")
+    # digits and other text alternate, so the i-th token is the (i / 2)-th run of digits or of other text
+    text = F.array_join(F.transform("_shape", lambda t, i: F.when(t == "", size(F.get("w", F.floor(i / 2).cast("int")))).otherwise(plain(t))), "")
+    return rows.join(listed, "_shape", "left").withColumn("regex", text).drop("_shape", "w")
+
+
 def exact_templates(names: DataFrame, column: str) -> DataFrame:
     return names.where(F.col(column).isNotNull()).groupBy(digit_template(F.col(column)).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -1,17 +1,18 @@
 """Algorithms that walk a series in order: compression, smoothing, decomposition, adaptive binning.
 
 Each takes one series per group to one Arrow batch (applyInPandas); a series is an asset, a drive, a sensor,
-so it has to fit in a task. For longer ones, cut them by session (operators.events.sessions) first.
+so it has to fit in a task; impute_pattern alone deals gaps. Cut longer ones by session (operators.events.sessions) first.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.dates import micros
+from tidewheel.operators.blocks import saved
 
 
 def deviation(t: np.ndarray, v: np.ndarray, mode: str = "zmean") -> float:
@@ -220,3 +221,37 @@ def seasonal_forecast(y: np.ndarray, steps: int, period: int = 24) -> np.ndarray
         d.append(d[-period] + w[-1])
         out.append(out[-1] + d[-1])
     return np.array(out[1:])
+
+
+def impute_pattern(df: DataFrame, keys: list[str], time_col: str, value: str, every: int = 3600, period: int = 24, train: int = 360) -> DataFrame:
+    """df with its gaps filled by a seasonal forecast from the `train` steps before each, and imputed, whether a value is.
+
+    Rows are a grid of `every` seconds. Known values of the steps before a gap are joined by interpolation where earlier
+    gaps part them; a gap with none before it stays null, and so do rows of a null key. Each gap is a group of its own
+    with its bounded past, so a series need not fit in a task.
+    """
+    rows = df.withColumns({"_i": F.floor(micros(F.col(time_col)) / (every * 1_000_000)).cast("long"), "_v": F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))})
+    w = Window.partitionBy(*keys).orderBy("_i")
+    opens = F.col("_v").isNull() & F.coalesce(F.lag(F.col("_v").isNotNull()).over(w), F.lit(True))
+    marked = rows.select(*keys, "_i", "_v", opens.alias("_o")).withColumn("_gap", F.max(F.when(F.col("_o"), F.col("_i"))).over(w))
+    marked = saved(marked.drop("_o"), "gaps")  # read twice; sorted once
+    asked = marked.where("_v is null").select(*keys, "_gap", "_i").distinct()
+    block = lambda i: F.floor(i / train).cast("long")
+    gaps = asked.select(*keys, "_gap").distinct().withColumn("_block", F.explode(F.array(block(F.col("_gap") - 1), block(F.col("_gap") - 1) - 1)))
+    known = marked.where("_v is not null").select(*keys, "_i", "_v", block(F.col("_i")).alias("_block"))
+    past = known.join(gaps, [*keys, "_block"]).where((F.col("_i") < F.col("_gap")) & (F.col("_i") >= F.col("_gap") - train)).drop("_block")
+
+    def run(key: tuple, seen: pd.DataFrame, missing: pd.DataFrame) -> pd.DataFrame:
+        if not len(seen) or not len(missing):
+            return pd.DataFrame([], columns=[*keys, "_i", "_p"])
+        at, v = (seen.groupby("_i")["_v"].mean().sort_index().reset_index()[c].to_numpy() for c in ("_i", "_v"))
+        i = np.sort(missing["_i"].to_numpy())
+        y = np.interp(np.arange(at[0], i[0]), at, v)
+        p = seasonal_forecast(y, int(i[-1] - i[0]) + 1, period)
+        return pd.DataFrame({k: [x] * len(i) for k, x in zip(keys, key, strict=False)} | {"_i": i, "_p": p[i - i[0]]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    past, asked = (side.select(*(F.col(c).alias(c) for c in side.columns)) for side in (past, asked))  # columns of their own
+    filled = past.groupBy(*keys, "_gap").cogroup(asked.groupBy(*keys, "_gap")).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _i long, _p double")
+    out = rows.join(filled, [*keys, "_i"], "left").withColumns({value: F.coalesce("_v", "_p"), "imputed": F.col("_v").isNull() & F.col("_p").isNotNull()})
+    return out.select(*df.columns, "imputed")

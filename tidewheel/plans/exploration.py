@@ -252,6 +252,13 @@ def _(read):
     return patterns.templates(read("pages"), "url")
 
 
+@C.add("filename_regex", r"""WITH t AS (SELECT page_id, regexp_replace(url, '[0-9]+', chr(1), 'g') AS shape, unnest(regexp_extract_all(url, '[0-9]+|[^0-9]+')) AS tok, generate_subscripts(regexp_extract_all(url, '[0-9]+|[^0-9]+'), 1) AS i FROM pages),
+    p AS (SELECT shape, i, CASE WHEN regexp_matches(min(tok), '^[0-9]') THEN '\d{' || min(length(tok)) || CASE WHEN max(length(tok)) > min(length(tok)) THEN ',' || max(length(tok)) ELSE '' END || '}' ELSE regexp_replace(min(tok), '([.^$|?*+(){}\[\]\\])', '\\\1', 'g') END AS part FROM t GROUP BY 1, 2),
+    r AS (SELECT shape, string_agg(part, '' ORDER BY i) AS regex FROM p GROUP BY 1) SELECT DISTINCT page_id, regex FROM t JOIN r USING (shape)""")
+def _(read):
+    return patterns.named(read("pages").select("page_id", "url"), "url").select("page_id", "regex")
+
+
 @C.add("name_positions", "WITH p AS (SELECT unnest(list_filter(regexp_split_to_array(c_name, '[^A-Za-z0-9]+'), lambda x: x <> '')) AS part, generate_subscripts(list_filter(regexp_split_to_array(c_name, '[^A-Za-z0-9]+'), lambda x: x <> ''), 1) - 1 AS pos FROM customer) SELECT CAST(pos AS INTEGER) AS pos, count(DISTINCT part) AS n_values, bool_and(regexp_full_match(part, '[A-Za-z]+')) AS alpha FROM p GROUP BY 1")
 def _(read):
     return patterns.positions(read("customer"), "c_name")

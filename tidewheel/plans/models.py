@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators import learning, metrics
@@ -88,6 +89,34 @@ def _(read):
     return learning.bands(psd, ["event_type"], "frequency", "power", [(k + 0.5, k + 1.5) for k in range(10)])
 
 
+@C.add("short_time_spectra", """WITH b AS (SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, avg(value) AS v FROM events GROUP BY 1, 2),
+    g AS (SELECT event_type, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM b GROUP BY 1),
+    h AS (SELECT g.event_type, CAST(epoch(g.hour) / 3600 AS BIGINT) AS i, coalesce(v, 0) AS v FROM g LEFT JOIN b USING (event_type, hour)),
+    s AS (SELECT event_type, i, v, unnest([i // 24, i // 24 - 1]) AS segment FROM h),
+    c AS (SELECT event_type, segment, i - segment * 24 AS j, v - avg(v) OVER p AS v, count(*) OVER p AS n FROM s WINDOW p AS (PARTITION BY event_type, segment)),
+    d AS (SELECT event_type, segment, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * j / 48)) * cos(2 * pi() * j * k / 48)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * j / 48)) * sin(2 * pi() * j * k / 48)) AS im FROM c, range(25) r(k) WHERE n = 48 GROUP BY 1, 2, 3)
+    SELECT event_type, segment, CAST(k AS DOUBLE) / 2 AS frequency, round((re * re + im * im) / (24 * 18) * CASE WHEN k IN (0, 24) THEN 1 ELSE 2 END, 4) AS power FROM d""")
+def _(read):
+    rows = hourly_grid(read).na.fill(0.0, ["value"]).withColumn("i", F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01', hour)"))
+    return learning.short_time_spectra(rows, ["event_type"], "i", "value", 24.0, 48).withColumns(rounded("power", digits=4))
+
+
+@C.add("dunn_index", """WITH p AS (SELECT a.label AS x, b.label AS y, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT round(min(d) FILTER (x <> y) / max(d) FILTER (x = y), 6) AS dunn FROM p""")
+def _(read):
+    return learning.dunn(read("embeddings"), "embedding", "label", "vec_id").withColumns(rounded("dunn"))
+
+
+@C.add("knee", """WITH h AS (SELECT event_type, CAST(hour(ts) AS INTEGER) AS h, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT event_type, row_number() OVER w AS x, sum(n) OVER w AS y FROM h WINDOW w AS (PARTITION BY event_type ORDER BY n DESC, h)),
+    d AS (SELECT event_type, x, round(CAST(y - min(y) OVER p AS DOUBLE) / CAST(max(y) OVER p - min(y) OVER p AS DOUBLE) - CAST(x - min(x) OVER p AS DOUBLE) / (max(x) OVER p - min(x) OVER p), 12) AS d FROM r WINDOW p AS (PARTITION BY event_type)),
+    t AS (SELECT *, d >= lag(d) OVER o AND d >= lead(d) OVER o AS top FROM d WINDOW o AS (PARTITION BY event_type ORDER BY x))
+    SELECT event_type, min(x) FILTER (top) AS knee FROM t GROUP BY 1""")
+def _(read):
+    counts = read("events").groupBy("event_type", F.hour("ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("event_type").orderBy(F.desc("n"), "h").rowsBetween(Window.unboundedPreceding, 0)
+    return learning.knee(counts.select("event_type", F.row_number().over(w).cast("long").alias("x"), F.sum("n").over(w).alias("y")), "x", "y", ["event_type"])
+
+
 @C.add("pso_clusters")
 def _(read):
     return learning.swarm_assigned(_profiles(read), "x", "user_id")

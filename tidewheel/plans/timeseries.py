@@ -182,6 +182,11 @@ def _(read):
     return g.join(fleet, "hour", "left").select("event_type", "hour", F.round(F.coalesce("value", "_fleet"), 6).alias("value"))
 
 
+@C.add("pattern_imputation")
+def _(read):
+    return series.impute_pattern(hourly_grid(read), ["event_type"], "hour", "value").select("event_type", "hour", "value", "imputed")
+
+
 @C.add("threshold_severity", """SELECT event_id, round(100 * value / 120.0, 6) AS value_pct,
     CASE WHEN 100 * value / 120.0 > 100 THEN 'incident' WHEN 100 * value / 120.0 > 60 AND 100 * value / 120.0 < 101 THEN 'warning' ELSE 'No event' END AS severity FROM events""")
 def _(read):

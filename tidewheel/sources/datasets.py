@@ -71,6 +71,13 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], force:
     return spark.read.parquet(path)
 
 
+def matching_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path, name, length, modificationTime of the files under a folder, at any depth, whose names start with a match; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select("path", name.alias("name"), "length", "modificationTime").where(F.col("name").rlike(f"^(?:{pattern})"))
+
+
 def as_float32(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("float") for f in df.schema.fields if f.dataType.typeName() == "double"})
 
