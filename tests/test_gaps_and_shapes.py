@@ -137,3 +137,28 @@ def test_matching_files(spark, tmp_path):
         (tmp_path / name).write_text("abc")
     got = datasets.matching_files(spark, f"file://{tmp_path}", r"V\d+_\d+").toPandas()
     assert sorted(got.name) == ["V1_2.txt", "V2_3.txt"] and set(got.length) == {3} and isinstance(got, pd.DataFrame)
+
+
+def moved_by_day(flags, clusters, support, share):
+    """The same by a walk over the days."""
+    waiting, seen, out = set(), set(), []
+    for day in sorted({d for _, d, _ in flags}):
+        before = set(waiting)
+        seen |= {w for w, d, drift in flags if d == day and drift and w in clusters}
+        waiting |= seen
+        for c in set(clusters.values()):
+            served = [w for w, k in clusters.items() if k == c and w not in seen]
+            if len(served) / len(clusters) <= support:
+                waiting |= set(served)
+        if waiting - before:
+            out.append((day, len(waiting - before), len(waiting), len(waiting) / len(clusters) >= share))
+    return out
+
+
+@pytest.mark.parametrize("support", [0.0, 0.1, 0.2])
+def test_drift_days_as_by_hand(spark, support):
+    rng = np.random.default_rng(7)
+    clusters = {w: w % 5 if w < 36 else 9 for w in range(40)}
+    flags = [(w, d, bool(rng.random() < 0.04)) for w in [*range(38), 77] for d in range(12)]
+    got = learning.drift_days(spark.createDataFrame(flags, "w int, d int, drift boolean"), spark.createDataFrame(list(clusters.items()), "w int, cluster int"), "w", "d", support=support, share=0.3)
+    assert [tuple(r) for r in got.orderBy("d").collect()] == moved_by_day(flags, clusters, support, 0.3)

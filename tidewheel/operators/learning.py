@@ -563,6 +563,28 @@ def drift_flags(daily: DataFrame, worker: str, day: str, error: str, spread: flo
     return rows.select(worker, day, "over_threshold", drift.alias("drift"))
 
 
+def drift_days(flags: DataFrame, clusters: DataFrame, worker: str, day: str, cluster: str = "cluster", support: float = 0.033, share: float = 0.16) -> DataFrame:
+    """day, n_new, n_waiting, retrain: how many workers move to the global model on a day, and whether a retraining is due.
+
+    `flags` are those of drift_flags since the last training; `clusters` has a row per worker. A worker moves on its first
+    day of drift, or once its cluster's model serves `support` of all workers or fewer. Retraining is due while at least
+    `share` of all workers wait for it: the first such day ends the period, and flags and clusters start anew. Days without
+    moves are left out; workers without flags stay, flags of others don't count.
+    """
+    gone = flags.groupBy(worker).agg(F.min(F.when(F.col("drift"), F.col(day))).alias("_gone"))
+    bound = clusters.agg(F.count(F.lit(1)).alias("_all")).crossJoin(F.broadcast(flags.agg(F.min(day).alias("_start"))))  # one row each
+    moves = clusters.select(worker, F.col(cluster).alias("_c")).join(gone, worker, "left").groupBy("_c", "_gone").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("_c")
+    so_far = F.coalesce(F.sum(F.when(F.col("_gone").isNotNull(), F.col("n"))).over(w.orderBy("_gone")), F.lit(0))
+    left = (F.sum("n").over(w) - so_far) / F.col("_all") <= support
+    few = F.sum("n").over(w) / F.col("_all") <= support
+    closed = moves.crossJoin(F.broadcast(bound)).withColumn("_closed", F.when(few, F.col("_start")).when(left, F.col("_gone")))
+    closed = closed.withColumn("_closed", F.min("_closed").over(w))
+    per = closed.groupBy(F.least("_gone", "_closed").alias(day), "_all").agg(F.sum("n").alias("n_new")).where(F.col(day).isNotNull())
+    run = F.sum("n_new").over(Window.orderBy(day))  # a row per day
+    return per.withColumn("n_waiting", run).select(day, "n_new", "n_waiting", (F.col("n_waiting") / F.col("_all") >= share).alias("retrain"))
+
+
 #: Training folds of each strategy, from first to last, counted from the fold that is predicted; None is the very first.
 STRATEGIES = {"last": (-1, -1), "1_month": (-1, -1), "6_months": (-6, -1), "1_year": (-12, -1), "1_month_year_before": (-12, -12), "all_before": (None, -1)}
 

@@ -63,7 +63,7 @@ def positions(names: DataFrame, column: str, split: str = r"[^A-Za-z0-9]+") -> D
 
 
 def time_format_votes(names: DataFrame, column: str) -> DataFrame:
-    """format, votes: each name votes for the format with the longest match that parses."""
+    """format, votes: each name votes for the format with the longest match of its digits; of equal ones the first listed."""
     found = F.array(*(F.struct(F.length(F.regexp_extract(column, f"({p})", 1)).alias("len"), F.lit(-k).alias("rank"), F.lit(f).alias("format"), F.regexp_extract(column, f"({p})", 1).alias("text")) for k, (p, f) in enumerate(TIME_FORMATS)))
     best = F.array_max(F.filter(found, lambda x: x["len"] > 0))
     return names.select(best.getField("format").alias("format")).where("format is not null").groupBy("format").agg(F.count(F.lit(1)).alias("votes"))

@@ -241,6 +241,21 @@ def _(read):
     return drift_flags(d, "user_id", "day", "rmse", spread=1.0, days=2).withColumn("day", F.col("day").cast("string"))
 
 
+@C.add("drift_days", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sqrt(avg(value * value)) AS rmse FROM events GROUP BY 1, 2), t AS (SELECT user_id, avg(rmse) + stddev_samp(rmse) AS cut FROM d GROUP BY 1),
+    f AS (SELECT d.user_id, d.day, coalesce(rmse > cut, false) AS over_ FROM d JOIN t USING (user_id)),
+    g AS (SELECT user_id, day, count(*) OVER w >= 2 AND min(CAST(over_ AS INTEGER)) OVER w = 1 AS drift FROM f WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS 1 PRECEDING)),
+    u AS (SELECT user_id, user_id % 7 AS c, min(day) FILTER (drift) AS gone FROM g GROUP BY 1),
+    k AS (SELECT a.c, b.day FROM (SELECT DISTINCT c FROM u) a, (SELECT DISTINCT day FROM g) b WHERE (SELECT count(*) FROM u WHERE u.c = a.c AND (gone IS NULL OR gone > b.day)) / CAST((SELECT count(*) FROM u) AS DOUBLE) <= 0.13),
+    e AS (SELECT c, min(day) AS closed FROM k GROUP BY 1), m AS (SELECT least(gone, closed) AS day, count(*) AS n_new FROM u LEFT JOIN e USING (c) WHERE gone IS NOT NULL OR closed IS NOT NULL GROUP BY 1)
+    SELECT CAST(day AS VARCHAR) AS day, n_new, CAST(sum(n_new) OVER (ORDER BY day) AS BIGINT) AS n_waiting, sum(n_new) OVER (ORDER BY day) / CAST((SELECT count(*) FROM u) AS DOUBLE) >= 0.16 AS retrain FROM m""")
+def _(read):
+    from tidewheel.operators.learning import drift_days, drift_flags
+
+    d = read("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rmse"))
+    clusters = read("events").select("user_id", (F.col("user_id") % 7).alias("cluster")).distinct()
+    return drift_days(drift_flags(d, "user_id", "day", "rmse", spread=1.0, days=2), clusters, "user_id", "day", support=0.13).withColumn("day", F.col("day").cast("string"))
+
+
 @C.add("sdt_compress")
 def _(read):
     return series.compress(read("events").select("event_type", "event_id", "ts", "value"), ["event_type"], "ts", "value")
