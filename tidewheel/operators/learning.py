@@ -44,9 +44,12 @@ def explained_variance(df: DataFrame, columns: list[str], target: float = 0.95)
 
 
 def projected(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
-    out = PCA(k=k, inputCol="features", outputCol="_pc").fit(assembled(df, columns)).transform(assembled(df, columns))
+    """df with pc1 to pc<k>; each component's largest loading is positive."""
+    model = PCA(k=k, inputCol="features", outputCol="_pc").fit(assembled(df, columns))
+    loading = model.pc.toArray()
+    sign = np.sign(loading[np.abs(loading).argmax(0), np.arange(k)])
     a = vector_to_array("_pc")
-    return out.withColumns({f"pc{i + 1}": a[i] for i in range(k)}).drop("features", "_pc")
+    return model.transform(assembled(df, columns)).withColumns({f"pc{i + 1}": a[i] * float(sign[i]) for i in range(k)}).drop("features", "_pc")
 
 
 def vectors(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -55,9 +58,11 @@ def vectors(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
 
 def cluster_scores(df: DataFrame, array_col: str, cluster: str) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin of labelled vectors, from per-cluster sums; a row."""
-    long = df.select(cluster, F.monotonically_increasing_id().alias("_row"), F.posexplode(array_col).alias("_d", "_x"))
+    long = df.select(cluster, F.posexplode(array_col).alias("_d", "_x"))
     centre = long.groupBy(cluster, "_d").agg(F.avg("_x").alias("_c"))
-    near = long.join(centre, [cluster, "_d"]).groupBy(cluster, "_row").agg(F.sum((F.col("_x") - F.col("_c")) * (F.col("_x") - F.col("_c"))).alias("_sq"))
+    whole = centre.groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("_d", "_c"))), lambda p: p["_c"]).alias("_centre"))
+    square = F.aggregate(F.zip_with(array_col, "_centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda s, x: s + x)
+    near = df.join(whole, cluster).select(cluster, square.alias("_sq"))
     per = near.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum("_sq").alias("w"), F.avg(F.sqrt("_sq")).alias("s")).toPandas().set_index(cluster).sort_index()
     c = centre.toPandas().pivot(index=cluster, columns="_d", values="_c").sort_index().to_numpy()
     n, w, s = per["n"].to_numpy(float), float(per["w"].sum()), per["s"].to_numpy(float)

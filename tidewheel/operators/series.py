@@ -52,14 +52,21 @@ def swinging_door(t: np.ndarray, v: np.ndarray, dev: float, last: bool = False)
     return np.array(kept, np.int64)
 
 
+def _seconds(at: pd.Series, since: pd.Series) -> np.ndarray:
+    """Seconds from the first of `since`; numbers are taken as they are."""
+    if not str(at.dtype).startswith("datetime"):
+        return at.to_numpy(float)
+    us = lambda s: s.astype("datetime64[us]").astype("int64").to_numpy()
+    return (us(at) - us(since)[0]) / 1e6 if len(at) else np.zeros(0)
+
+
 def compress(df: DataFrame, keys: list[str], time_col: str, value: str, mode: str = "zmean", dev: float | None = None, keep_last: bool = False) -> DataFrame:
     """The rows that swinging-door compression keeps of each group."""
     schema = df.schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=[value]).sort_values(time_col, kind="stable")
-        t = rows[time_col].astype("int64").to_numpy() / (1e9 if str(rows[time_col].dtype).startswith("datetime64[ns") else 1e6 if "datetime" in str(rows[time_col].dtype) else 1.0)
-        v = rows[value].to_numpy(float)
+        t, v = _seconds(rows[time_col], rows[time_col]), rows[value].to_numpy(float)
         return rows.iloc[swinging_door(t, v, deviation(t, v, mode) if dev is None else dev, keep_last)]
 
     return df.groupBy(*keys).applyInPandas(run, schema)
@@ -74,7 +81,7 @@ def reconstruction_error(df: DataFrame, kept: DataFrame, keys: list[str], time_c
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.dropna(subset=[value]).sort_values(time_col), b.sort_values(time_col)
-        x, y = (f[time_col].astype("int64").to_numpy(float) for f in (a, b))
+        x, y = (_seconds(f[time_col], a[time_col]) for f in (a, b))
         e = np.interp(x, y, b[value].to_numpy(float)) - a[value].to_numpy(float) if len(b) else np.zeros(0)
         return pd.DataFrame([[*key, float(np.sqrt(np.mean(e**2))) if len(e) else None]], columns=[*keys, "rmse"])
 

@@ -229,7 +229,21 @@ def _(read):
     return p.toDF("a", "lat1", "lon1").join(q, F.col("a") < F.col("b")).select("a", "b", F.round(geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 4).alias("km"))
 
 
-@C.add("geodesic_pairs")
+#: Flattening of WGS84, in SQL.
+_FLAT = "(1 / 298.257223563)"
+
+
+@C.add("geodesic_pairs", f"""WITH RECURSIVE p AS (SELECT n_nationkey AS k, CAST(n_nationkey * 7 % 120 - 60 AS DOUBLE) AS lat, CAST(n_nationkey * 29 % 340 - 170 AS DOUBLE) AS lon FROM nation), q AS (SELECT a.k AS a, b.k AS b, atan((1 - {_FLAT}) * tan(radians(a.lat))) AS u, atan((1 - {_FLAT}) * tan(radians(b.lat))) AS v, radians(b.lon - a.lon) AS l FROM p a JOIN p b ON a.k < b.k),
+    it AS (SELECT a, b, u, v, l, l AS lam, 0 AS i, NULL::DOUBLE AS sin_s, NULL::DOUBLE AS cos_s, NULL::DOUBLE AS cos2a, NULL::DOUBLE AS cos_m, 1.0 AS moved FROM q
+    UNION ALL SELECT a, b, u, v, l, l + (1 - k) * f * sin_a * (sigma + k * sin_s * (cos_m + k * cos_s * (2 * cos_m * cos_m - 1))) AS new, i + 1, sin_s, cos_s, cos2a, cos_m, abs(l + (1 - k) * f * sin_a * (sigma + k * sin_s * (cos_m + k * cos_s * (2 * cos_m * cos_m - 1))) - lam)
+    FROM (SELECT *, f / 16 * cos2a * (4 + f * (4 - 3 * cos2a)) AS k FROM (SELECT *, CASE WHEN cos2a > 1e-15 THEN cos_s - 2 * sin(u) * sin(v) / cos2a ELSE 0 END AS cos_m FROM (SELECT *, 1 - sin_a * sin_a AS cos2a
+    FROM (SELECT *, atan2(sin_s, cos_s) AS sigma, CASE WHEN sin_s > 0 THEN cos(u) * cos(v) * sin(lam) / sin_s ELSE 0 END AS sin_a FROM (SELECT a, b, u, v, l, lam, i, {_FLAT} AS f,
+    sqrt((cos(v) * sin(lam)) ** 2 + (cos(u) * sin(v) - sin(u) * cos(v) * cos(lam)) ** 2) AS sin_s, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) AS cos_s FROM it WHERE i < 60)))))),
+    e AS (SELECT *, cos2a * (6378137.0 ** 2 - (6378137.0 * (1 - {_FLAT})) ** 2) / (6378137.0 * (1 - {_FLAT})) ** 2 AS w, min(moved) OVER (PARTITION BY a, b) < 1e-12 AS settled FROM it WHERE i > 0 QUALIFY i = 60),
+    g AS (SELECT *, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) AS big_a, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS big_b FROM e),
+    d AS (SELECT *, big_b * sin_s * (cos_m + big_b / 4 * (cos_s * (2 * cos_m ** 2 - 1) - big_b / 6 * cos_m * (4 * sin_s ** 2 - 3) * (4 * cos_m ** 2 - 3))) AS ds, degrees(atan2(cos(v) * sin(lam), cos(u) * sin(v) - sin(u) * cos(v) * cos(lam))) AS az FROM g),
+    r AS (SELECT *, az - 360 * floor(az / 360) AS turn FROM d)
+    SELECT a, b, CASE WHEN settled THEN round(6378137.0 * (1 - {_FLAT}) * big_a * (atan2(sin_s, cos_s) - ds) / 1000, 4) END AS km, CASE WHEN settled THEN round(CASE WHEN turn = 0 THEN 360.0 ELSE turn END, 6) END AS azimuth FROM r""")
 def _(read):
     p = read("nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 7 % 120 - 60).cast("double").alias("lat"), (F.col("n_nationkey") * 29 % 340 - 170).cast("double").alias("lon"))
     q = F.broadcast(p.toDF("b", "lat2", "lon2"))
@@ -247,7 +261,10 @@ def _(read):
     return patterns.exact_templates(read("customer"), "c_name")
 
 
-@C.add("filename_template_merged")
+@C.add("filename_template_merged", r"""WITH s AS (SELECT regexp_replace(url, '[0-9]+', '\\d', 'g') AS shape, regexp_extract_all(url, '[0-9]+') AS runs FROM pages WHERE url IS NOT NULL),
+    r AS (SELECT shape, length(unnest(runs)) AS width, generate_subscripts(runs, 1) AS pos FROM s), w AS (SELECT shape, pos, min(width) AS lo, max(width) AS hi FROM r GROUP BY 1, 2),
+    t AS (SELECT shape, string_agg('\d{' || lo || CASE WHEN hi > lo THEN ', ' || hi ELSE '' END || '}', '|' ORDER BY pos) AS widths FROM w GROUP BY 1)
+    SELECT shape, count(*) AS n, coalesce(any_value(widths), '') AS widths FROM s LEFT JOIN t USING (shape) GROUP BY 1""")
 def _(read):
     return patterns.templates(read("pages"), "url")
 

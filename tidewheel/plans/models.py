@@ -31,9 +31,14 @@ def _(read):
     return learning.connectivity(embedded(read), "x", "label", "vec_id").withColumns(rounded("connectivity", digits=4))
 
 
-@C.add("cluster_scores")
+@C.add("cluster_scores", """WITH e AS (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), c AS (SELECT label, d, avg(x) AS m FROM e GROUP BY 1, 2), o AS (SELECT d, avg(x) AS m FROM e GROUP BY 1),
+    q AS (SELECT e.label, e.vec_id, sum((e.x - c.m) ** 2) AS sq FROM e JOIN c ON c.label = e.label AND c.d = e.d GROUP BY 1, 2), n AS (SELECT label, count(*) AS n, sum(sq) AS w, avg(sqrt(sq)) AS s FROM q GROUP BY 1),
+    b AS (SELECT sum(n.n * (c.m - o.m) ** 2) AS between_ FROM c JOIN o ON o.d = c.d JOIN n ON n.label = c.label), t AS (SELECT count(*) AS k, sum(n) AS total, sum(w) AS w FROM n),
+    g AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.m - b.m) ** 2)) AS gap FROM c a JOIN c b ON a.d = b.d AND a.label <> b.label GROUP BY 1, 2),
+    r AS (SELECT g.a, max((x.s + y.s) / gap) AS worst FROM g JOIN n x ON x.label = g.a JOIN n y ON y.label = g.b GROUP BY 1)
+    SELECT CAST(k AS INTEGER) AS clusters, round(w, 4) AS inertia, round(between_ / (k - 1) / (w / (total - k)), 4) AS calinski_harabasz, (SELECT round(avg(worst), 4) FROM r) AS davies_bouldin FROM t, b""")
 def _(read):
-    return learning.cluster_scores(embedded(read), "x", "label")
+    return learning.cluster_scores(embedded(read), "x", "label").withColumns(rounded("inertia", "calinski_harabasz", "davies_bouldin", digits=4))
 
 
 @C.add("kmeans_sweep")
@@ -57,14 +62,21 @@ def _(read):
     return learning.pca_importance(read("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@C.add("pca_explained_variance")
+@C.add("pca_explained_variance", """WITH m AS (SELECT var_samp(l_quantity) AS a, var_samp(l_discount) AS b, var_samp(l_tax) AS c, covar_samp(l_quantity, l_discount) AS d, covar_samp(l_discount, l_tax) AS e, covar_samp(l_quantity, l_tax) AS f FROM lineitem),
+    q AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - e * e) - d * (d * (c - q) - e * f) + f * (d * e - (b - q) * f)) / (2 * p ** 3)))) / 3 AS phi FROM q),
+    v AS (SELECT unnest([1, 2, 3]) AS component, unnest([q + 2 * p * cos(phi), 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), q + 2 * p * cos(phi + 2 * pi() / 3)]) / (3 * q) AS variance FROM r),
+    s AS (SELECT *, sum(variance) OVER (ORDER BY component) AS running FROM v)
+    SELECT component, round(variance, 7) AS variance, round(running, 7) AS running, component = 1 OR running - variance < 0.95 AS enough FROM s""")
 def _(read):
-    return learning.explained_variance(read("lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return learning.explained_variance(read("lineitem"), ["l_quantity", "l_discount", "l_tax"]).withColumns(rounded("variance", "running", digits=7))
 
 
-@C.add("pca_projection")
+@C.add("pca_projection", """WITH m AS (SELECT var_samp(p_size) AS a, covar_samp(p_size, p_retailprice) AS b, var_samp(p_retailprice) AS c FROM part), l AS (SELECT a, b, (a + c + sqrt((a - c) ** 2 + 4 * b * b)) / 2 AS top FROM m),
+    v AS (SELECT b / sqrt(b * b + (top - a) ** 2) AS x, (top - a) / sqrt(b * b + (top - a) ** 2) AS y FROM l), w AS (SELECT x, y, CASE WHEN (CASE WHEN abs(x) > abs(y) THEN x ELSE y END) < 0 THEN -1 ELSE 1 END AS one, CASE WHEN (CASE WHEN abs(y) > abs(x) THEN y ELSE -x END) < 0 THEN -1 ELSE 1 END AS two FROM v)
+    SELECT p_partkey, round(one * (p_size * x + p_retailprice * y), 4) AS pc1, round(two * (p_size * y - p_retailprice * x), 4) AS pc2 FROM part, w""")
 def _(read):
-    return learning.projected(read("part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_size", "p_retailprice"]).select("p_partkey", "pc1", "pc2")
+    return learning.projected(read("part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_size", "p_retailprice"]).select("p_partkey", F.round("pc1", 4).alias("pc1"), F.round("pc2", 4).alias("pc2"))
 
 
 def _profiles(read):
@@ -83,10 +95,16 @@ def _(read):
     return learning.nmf_errors(_profiles(read), "x", [1, 2, 3, 4])
 
 
-@C.add("spectral_bands")
+@C.add("spectral_bands", """WITH b AS (SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, avg(value) AS v FROM events GROUP BY 1, 2),
+    g AS (SELECT event_type, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM b GROUP BY 1),
+    h AS (SELECT g.event_type, row_number() OVER (PARTITION BY g.event_type ORDER BY g.hour) - 1 AS i, coalesce(v, 0) AS v FROM g LEFT JOIN b ON b.event_type = g.event_type AND b.hour = g.hour),
+    s AS (SELECT event_type, i, v, unnest([i // 120, i // 120 - 1]) AS segment FROM h), c AS (SELECT event_type, segment, i - segment * 120 AS j, v - avg(v) OVER p AS v, count(*) OVER p AS n FROM s WINDOW p AS (PARTITION BY event_type, segment)),
+    d AS (SELECT event_type, segment, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * j / 240)) * cos(2 * pi() * (j * k % 240) / 240)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * j / 240)) * sin(2 * pi() * (j * k % 240) / 240)) AS im FROM c, range(121) r(k) WHERE n = 240 GROUP BY 1, 2, 3),
+    f AS (SELECT event_type, CAST(k AS DOUBLE) / 10 AS frequency, avg((re * re + im * im) / (24 * 90) * CASE WHEN k IN (0, 120) THEN 1 ELSE 2 END) AS power FROM d GROUP BY event_type, k)
+    SELECT event_type, lo + 0.5 AS lo, lo + 1.5 AS hi, round(sum(power), 3) AS total, count(*) AS n FROM f, (SELECT CAST(unnest(range(10)) AS DOUBLE) AS lo) e WHERE frequency BETWEEN lo + 0.5 AND lo + 1.5 GROUP BY 1, 2, 3""")
 def _(read):
     psd = learning.spectra(hourly_grid(read).na.fill(0.0, ["value"]), ["event_type"], "hour", "value", 24.0, 240)
-    return learning.bands(psd, ["event_type"], "frequency", "power", [(k + 0.5, k + 1.5) for k in range(10)])
+    return learning.bands(psd, ["event_type"], "frequency", "power", [(k + 0.5, k + 1.5) for k in range(10)]).withColumns(rounded("total", digits=3))
 
 
 @C.add("short_time_spectra", """WITH b AS (SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, avg(value) AS v FROM events GROUP BY 1, 2),

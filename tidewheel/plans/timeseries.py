@@ -256,21 +256,39 @@ def _(read):
     return drift_days(drift_flags(d, "user_id", "day", "rmse", spread=1.0, days=2), clusters, "user_id", "day", support=0.13).withColumn("day", F.col("day").cast("string"))
 
 
-@C.add("sdt_compress")
+def _sdt(dev: float | None, last: bool) -> str:
+    """Tables of SQL: z, the readings in order; w, the doors walked reading by reading; k, the readings kept."""
+    limit = f"SELECT DISTINCT event_type, {dev}::DOUBLE AS dev FROM z" if dev is not None else """SELECT event_type, coalesce(avg(slope) FILTER (slope <> 0), 0) AS dev
+    FROM (SELECT event_type, coalesce(abs((v - lag(v) OVER o) / nullif(t - lag(t) OVER o, 0)), 0) AS slope, lag(t) OVER o AS before FROM z WINDOW o AS (PARTITION BY event_type ORDER BY i)) WHERE before IS NOT NULL GROUP BY 1"""
+    return f"""z AS (SELECT event_type, event_id, ts, value AS v, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events WHERE value IS NOT NULL),
+    dv AS ({limit}),
+    s AS (SELECT z.event_type, z.i, z.t, z.v, dev FROM z JOIN dv USING (event_type)),
+    w AS (SELECT event_type, i, t AS pt, v AS pv, i AS at_, '-inf'::DOUBLE AS hi, 'inf'::DOUBLE AS lo, i AS kept FROM s WHERE i = 0
+    UNION ALL SELECT event_type, i, CASE WHEN turn THEN bt ELSE pt END, CASE WHEN turn THEN bv ELSE pv END, CASE WHEN turn THEN i - 1 ELSE at_ END,
+    CASE WHEN turn THEN CASE WHEN t > bt THEN (v - bv - dev) / (t - bt) ELSE '-inf'::DOUBLE END WHEN t = pt THEN hi ELSE greatest(hi, (v - pv - dev) / (t - pt)) END,
+    CASE WHEN turn THEN CASE WHEN t > bt THEN (v - bv + dev) / (t - bt) ELSE 'inf'::DOUBLE END WHEN t = pt THEN lo ELSE least(lo, (v - pv + dev) / (t - pt)) END, CASE WHEN turn THEN i - 1 END
+    FROM (SELECT w.event_type, s.i, s.t, s.v, s.dev, w.pt, w.pv, w.at_, w.hi, w.lo, b.t AS bt, b.v AS bv, s.t <> w.pt AND greatest(w.hi, (s.v - w.pv - s.dev) / nullif(s.t - w.pt, 0)) > least(w.lo, (s.v - w.pv + s.dev) / nullif(s.t - w.pt, 0)) AS turn
+    FROM w JOIN s ON s.event_type = w.event_type AND s.i = w.i + 1 JOIN s b ON b.event_type = w.event_type AND b.i = w.i)),
+    k AS (SELECT event_type, kept AS i FROM w WHERE kept IS NOT NULL{' UNION SELECT event_type, max(i) FROM z GROUP BY 1' if last else ''})"""
+
+
+@C.add("sdt_compress", f"WITH RECURSIVE {_sdt(None, False)} SELECT z.event_type, event_id, ts, v AS value FROM z JOIN (SELECT DISTINCT event_type, i FROM k) k ON k.event_type = z.event_type AND k.i = z.i")
 def _(read):
     return series.compress(read("events").select("event_type", "event_id", "ts", "value"), ["event_type"], "ts", "value")
 
 
-@C.add("sdt_ratio")
+@C.add("sdt_ratio", f"WITH RECURSIVE {_sdt(50.0, False)} SELECT (SELECT count(*) FROM events) AS rows_before, count(*) AS rows_after, round((SELECT count(*) FROM events) / count(*)::DOUBLE, 6) AS ratio FROM (SELECT DISTINCT event_type, i FROM k)")
 def _(read):
     rows = read("events").select("event_type", "event_id", "ts", "value")
-    return series.compression_ratio(rows, series.compress(rows, ["event_type"], "ts", "value", dev=50.0))
+    return series.compression_ratio(rows, series.compress(rows, ["event_type"], "ts", "value", dev=50.0)).withColumns(rounded("ratio"))
 
 
-@C.add("sdt_reconstruction_rmse")
+@C.add("sdt_reconstruction_rmse", f"""WITH RECURSIVE {_sdt(20.0, True)}, q AS (SELECT DISTINCT z.event_type, z.i, z.t, z.v FROM z JOIN k ON k.event_type = z.event_type AND k.i = z.i), l AS (SELECT *, lead(t) OVER o AS t2, lead(v) OVER o AS v2 FROM q WINDOW o AS (PARTITION BY event_type ORDER BY i)),
+    j AS (SELECT z.event_type, z.t, z.v, l.t AS t1, l.v AS v1, l.t2, l.v2 FROM z ASOF JOIN l ON z.event_type = l.event_type AND z.t >= l.t)
+    SELECT event_type, round(sqrt(avg((CASE WHEN t2 IS NULL OR t = t1 THEN v1 ELSE v1 + (v2 - v1) / (t2 - t1) * (t - t1) END - v) ** 2)), 6) AS rmse FROM j GROUP BY 1""")
 def _(read):
     rows = read("events").select("event_type", "event_id", "ts", "value")
-    return series.reconstruction_error(rows, series.compress(rows, ["event_type"], "ts", "value", dev=20.0, keep_last=True), ["event_type"], "ts", "value")
+    return series.reconstruction_error(rows, series.compress(rows, ["event_type"], "ts", "value", dev=20.0, keep_last=True), ["event_type"], "ts", "value").withColumns(rounded("rmse"))
 
 
 @C.add("stl_components")
@@ -278,14 +296,21 @@ def _(read):
     return series.decompose(hourly_grid(read), ["event_type"], "hour", "value", 24)
 
 
-@C.add("savgol_smooth")
+@C.add("savgol_smooth", f"""WITH h AS ({_HOURLY}), n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)),
+    s AS (SELECT *, (least(11, n - 1 + n % 2) - 1) // 2 AS m FROM n), c AS (SELECT *, greatest(0, least(i - m, n - 2 * m - 1)) AS a FROM s),
+    p AS (SELECT c.event_type, c.hour, c.value, c.m, c.i - c.a - c.m AS x, sum(o.value) AS y0, sum(o.value * (o.i - c.a - c.m)) AS y1, sum(o.value * (o.i - c.a - c.m) * (o.i - c.a - c.m)) AS y2,
+    2 * c.m + 1.0 AS k, c.m * (c.m + 1) * (2 * c.m + 1) / 3.0 AS x2, c.m * (c.m + 1) * (2 * c.m + 1) * (3 * c.m * c.m + 3 * c.m - 1) / 15.0 AS x4
+    FROM c JOIN c o ON o.event_type = c.event_type AND o.i BETWEEN c.a AND c.a + 2 * c.m GROUP BY ALL)
+    SELECT event_type, hour, round(value, 6) AS value, round(CASE WHEN m = 0 THEN value ELSE (x4 * y0 - x2 * y2) / (k * x4 - x2 * x2) + y1 / x2 * x + (k * y2 - x2 * y0) / (k * x4 - x2 * x2) * x * x END, 6) AS smooth FROM p""")
 def _(read):
-    return series.smooth(hourly(read), ["event_type"], "hour", "value", "savgol", 11)
+    return series.smooth(hourly(read), ["event_type"], "hour", "value", "savgol", 11).withColumns(rounded("value", "smooth"))
 
 
-@C.add("gaussian_smooth")
+@C.add("gaussian_smooth", f"""WITH h AS ({_HOURLY}), n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)),
+    r AS (SELECT n.*, d, exp(-0.5 * (d / 1.125) * (d / 1.125)) AS w, ((i + d) % (2 * n) + 2 * n) % (2 * n) AS q FROM n, range(-5, 6) t(d)), j AS (SELECT *, CASE WHEN q < n THEN q ELSE 2 * n - 1 - q END AS at FROM r)
+    SELECT j.event_type, j.hour, round(j.value, 6) AS value, round(sum(j.w * o.value) / sum(j.w), 6) AS smooth FROM j JOIN n o ON o.event_type = j.event_type AND o.i = j.at GROUP BY j.event_type, j.hour, j.value""")
 def _(read):
-    return series.smooth(hourly(read), ["event_type"], "hour", "value", "gaussian", 11)
+    return series.smooth(hourly(read), ["event_type"], "hour", "value", "gaussian", 11).withColumns(rounded("value", "smooth"))
 
 
 @C.add("aib_splits")
