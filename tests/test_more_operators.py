@@ -1,5 +1,6 @@
 """Edge cases of padding, pages, pairwise and Mahalanobis distances, tests of correlation, cube models and walk-forward folds."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -76,3 +77,25 @@ def test_walk_forward_without_keys(spark, strategy, folds):
     got = {r.m: (r.mae, r.n) for r in learning.walk_forward(df, [], "d", ["x"], "y", "m", learning.mean_model, strategy, split=9).collect()}
     windows = {"1_month": lambda m: [m - 1], "6_months": lambda m: range(m - 6, m), "1_year": lambda m: range(m - 12, m), "1_month_year_before": lambda m: [m - 12], "all_before": lambda m: range(1, m), "train_test_split": lambda m: range(1, 10)}
     assert got == {m: (pytest.approx(abs(m - np.mean(windows[strategy](m)))), 3) for m in folds}
+
+
+def test_rolling_is_the_same_over_stretches(spark):
+    """A window reaches back over the border of a stretch; null times see each other."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k % 3, start + dt.timedelta(minutes=7 * k), float(k * 37 % 101)) for k in range(400)] + [(0, None, 5.0), (0, None, 7.0)]
+    df = spark.createDataFrame(rows, "g int, t timestamp, v double")
+    for stretch in (1, 2, 1000):
+        got = resample.rolling(df, "t", 1.5, {"m": F.percentile("v", 0.5), "n": F.count("v")}, ["g"], stretch=stretch).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            near = [v for g, t, v in rows if g == r.g and ((t is None and r.t is None) or (t and r.t and r.t - dt.timedelta(hours=1.5) < t <= r.t))]
+            assert r.n == len(near) and abs(r.m - np.median(near)) < 1e-9
+
+
+def test_kernel_density_by_hand(spark):
+    v = [0.0, 1.0, 1.0, 4.0, None]
+    got = metrics.kde(spark.createDataFrame([(x,) for x in v], "v double").repartition(3), "v", 0.5, 9).orderBy("x").collect()
+    for r in got:
+        want = sum(np.exp(-0.5 * ((r.x - x) / 0.5) ** 2) for x in v if x is not None) / (4 * 0.5 * np.sqrt(2 * np.pi))
+        assert abs(r.density - want) < 1e-12
+    assert [r.x for r in got] == list(np.linspace(0, 4, 9))

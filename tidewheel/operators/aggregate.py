@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.quantiles import exact_quantiles
+
 
 def completeness(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Percent of non-null values per group."""
@@ -18,12 +20,13 @@ def null_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per column: count, mean, sd, min, quartiles (exact), max."""
-    parts = [df.agg(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("min"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.75).alias("q75"), F.max(c).cast("double").alias("max")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A row per column: count, mean, sd, min, quartiles (exact, of what isn't NaN), max. All but the quartiles take one scan."""
+    one = df.agg(*(c.alias(f"{k}_{i}") for i, col in enumerate(columns) for k, c in {"n": F.count(col), "mean": F.avg(col), "sd": F.stddev_samp(col), "lo": F.min(col).cast("double"), "hi": F.max(col).cast("double")}.items()))
+    rows = []
+    for i, col in enumerate(columns):
+        q = [F.lit(x).cast("double").alias(n) for n, x in zip(("q25", "median", "q75"), exact_quantiles(df, col, [0.25, 0.5, 0.75]), strict=True)]
+        rows.append(F.struct(F.lit(col).alias("column"), F.col(f"n_{i}").alias("count"), F.col(f"mean_{i}").alias("mean"), F.col(f"sd_{i}").alias("sd"), F.col(f"lo_{i}").alias("min"), *q, F.col(f"hi_{i}").alias("max")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.dates import micros
+from tidewheel.operators.blocks import saved
+from tidewheel.operators.quantiles import exact_quantiles
 
 
 def label_runs(df: DataFrame, flag: str, order: str, keys: list[str] = (), label: str = "label") -> DataFrame:
@@ -20,7 +22,8 @@ def label_runs(df: DataFrame, flag: str, order: str, keys: list[str] = (), label
 def sampling_period(df: DataFrame, time_col: str, keys: list[str] = ()) -> float:
     """Median difference of consecutive times within groups, in microseconds."""
     w = Window.partitionBy(*keys).orderBy(time_col)
-    return df.select((micros(F.col(time_col)) - F.lag(micros(F.col(time_col))).over(w)).alias("d")).agg(F.percentile("d", 0.5)).first()[0]
+    steps = df.select((micros(F.col(time_col)) - F.lag(micros(F.col(time_col))).over(w)).alias("d"))
+    return exact_quantiles(saved(steps.where("d is not null"), "steps"), "d", [0.5])[0]
 
 
 def label_runs_merged(df: DataFrame, flag: str, time_col: str, merge_minutes: float, keys: list[str] = (), period_minutes: float | None = None, label: str = "label") -> DataFrame:

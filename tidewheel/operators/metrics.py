@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +25,20 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def kde(df: DataFrame, value: str, bandwidth: float = 1.0, points: int = 1000) -> DataFrame:
-    """x, density: Gaussian kernel density on a grid from minimum to maximum. Each task sums its rows per grid point."""
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
-    spark = df.sparkSession
-    xs = F.array(*(F.lit(float(lo + (hi - lo) * k / (points - 1))) for k in range(points)))
-    n = df.where(F.col(value).isNotNull()).count()
-    z = (F.col("x") - F.col(value)) / bandwidth
-    return df.where(F.col(value).isNotNull()).select(F.explode(xs).alias("x"), value).groupBy("x").agg((F.sum(F.exp(-0.5 * z * z)) / (n * bandwidth * 2.5066282746310002)).alias("density"))
+    """x, density: Gaussian kernel density on a grid from minimum to maximum. A task sends a sum per grid point, not rows."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    grid = np.linspace(lo, hi, points) if n else np.zeros(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(grid))
+        for batch in batches:
+            v = batch.column(0).to_numpy()
+            for part in np.array_split(v, len(v) // 1024 + 1):
+                total += np.exp(-0.5 * ((grid[:, None] - part[None]) / bandwidth) ** 2).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(grid), pa.array(total)], ["x", "total"])
+
+    return rows.mapInArrow(run, "x double, total double").groupBy("x").agg((F.sum("total") / (n * bandwidth * np.sqrt(2 * np.pi))).alias("density"))
 
 
 def histogram_intersection(a: DataFrame, b: DataFrame, bin_col: str, height: str, width: float = 1.0) -> DataFrame:

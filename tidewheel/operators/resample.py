@@ -22,10 +22,18 @@ def resample(df: DataFrame, time_col: str, freq: str, aggs: dict[str, Column], k
     return full.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in zero}) if zero else full
 
 
-def rolling(df: DataFrame, time_col: str, hours: float, aggs: dict[str, Column], keys: list[str] = ()) -> DataFrame:
-    """Aggregates over the window (t - hours, t] of each row's group."""
-    w = Window.partitionBy(*keys).orderBy(micros(F.col(time_col))).rangeBetween(-(int(hours * 3.6e9) - 1), 0)
-    return df.withColumns({n: c.over(w) for n, c in aggs.items()})
+def rolling(df: DataFrame, time_col: str, hours: float, aggs: dict[str, Column], keys: list[str] = (), stretch: int = 16) -> DataFrame:
+    """Aggregates over the window (t - hours, t] of each row's group.
+
+    Time is cut into stretches of `stretch` windows, a window partition each, so that a long series is spread over tasks;
+    a row within a window of the next stretch is copied there, and left out of its result.
+    """
+    width = int(hours * 3.6e9) - 1
+    at = micros(F.col(time_col))
+    part = lambda t: F.floor(t / (width * stretch + 1)).cast("long")
+    rows = df.withColumn("_own", part(at)).withColumn("_part", F.explode_outer(F.sequence("_own", part(at + width))))
+    w = Window.partitionBy(*keys, "_part").orderBy(at).rangeBetween(-width, 0)
+    return rows.withColumns({n: c.over(w) for n, c in aggs.items()}).where(F.col("_own").eqNullSafe(F.col("_part"))).drop("_own", "_part")
 
 
 def calendar_lag(df: DataFrame, time_col: str, value: str, lags: dict[str, str], keys: list[str] = ()) -> DataFrame:
