@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import aggregate, binning, learning, metrics, normalize, resample
+from tidewheel.operators import aggregate, binning, learning, metrics, normalize, patterns, resample
 
 
 def test_student_tail():
@@ -99,3 +99,13 @@ def test_kernel_density_by_hand(spark):
         want = sum(np.exp(-0.5 * ((r.x - x) / 0.5) ** 2) for x in v if x is not None) / (4 * 0.5 * np.sqrt(2 * np.pi))
         assert abs(r.density - want) < 1e-12
     assert [r.x for r in got] == list(np.linspace(0, 4, 9))
+
+
+def test_time_formats_of_names(spark):
+    """Days over 12 decide between orders; digits beside a match, impossible months and names without a time don't vote."""
+    votes = lambda *names: {r.format: r.votes for r in patterns.time_format_votes(spark.createDataFrame([(n,) for n in names], "n string"), "n").collect()}
+    assert votes("05/06/2024", "25/06/2024") == {"dd/MM/yyyy": 2, "MM/dd/yyyy": 1}
+    assert votes("x2024-01-02T03:04:05.678Z") == {"yyyy-MM-dd'T'HH:mm:ss.SSS": 1}
+    assert votes("a20240102030405", "20240102_0304", "2024.01.02-03-04-05") == {"yyyyMMddHHmmss": 1, "yyyyMMdd_HHmm": 1, "yyyy.MM.dd-HH-mm-ss": 1}
+    assert votes("12024010211", "2024-13-01", "2024-01-41", None, "", "plain") == {}
+    assert votes("2024-01-02 25:00") == {"yyyy-MM-dd": 1}

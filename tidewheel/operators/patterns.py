@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.text import digit_template
 
-#: Time formats that names are tried for, as (pattern of the name, format to parse it with). Fixed values.
-TIME_FORMATS = (
-    (r"\d{4}-\d{2}-\d{2}[ T_]\d{2}:\d{2}:\d{2}", "yyyy-MM-dd HH:mm:ss"),
-    (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
-    (r"\d{4}_\d{2}_\d{2}", "yyyy_MM_dd"),
-    (r"\d{2}-\d{2}-\d{4}", "dd-MM-yyyy"),
-    (r"\d{2}/\d{2}/\d{4}", "dd/MM/yyyy"),
-    (r"\d{8}[T_-]\d{6}", "yyyyMMdd HHmmss"),
-    (r"\d{14}", "yyyyMMddHHmmss"),
-    (r"\d{8}", "yyyyMMdd"),
-    (r"\d{6}", "yyMMdd"),
-)
+#: Parts of a time format with what they match, orders of a date's parts, separators, and ways to write the time of day, longest first. Fixed values.
+PARTS = {"yyyy": "(?:19|20)[0-9]{2}", "yy": "[0-9]{2}", "MM": "(?:0[1-9]|1[0-2])", "dd": "(?:0[1-9]|[12][0-9]|3[01])", "HH": "(?:[01][0-9]|2[0-3])", "mm": "[0-5][0-9]", "SSS": "[0-9]{3}", "ss": "[0-5][0-9]"}
+ORDERS = (("yyyy", "MM", "dd"), ("dd", "MM", "yyyy"), ("MM", "dd", "yyyy"), ("yy", "MM", "dd"), ("dd", "MM", "yy"))
+SEPARATORS = ("-", "/", ".", "_", "")
+TIMES = ("HH:mm:ss.SSS", "HH:mm:ss", "HH-mm-ss", "HH_mm_ss", "HHmmss", "HH:mm", "HH_mm", "HHmm")
+#: Date formats that names are tried for; each may go on with a blank, T, _ or - and a time of day.
+DATES = tuple(s.join(o) for s in SEPARATORS for o in ORDERS)
+
+
+def matcher(time_format: str) -> str:
+    """The regex of what a format of PARTS can have written."""
+    return re.sub("|".join(PARTS) + "|[.]", lambda m: PARTS.get(m[0], "[.]"), time_format)
 
 
 def templates(names: DataFrame, column: str) -> DataFrame:
@@ -63,7 +65,22 @@ def positions(names: DataFrame, column: str, split: str = r"[^A-Za-z0-9]+") -> D
 
 
 def time_format_votes(names: DataFrame, column: str) -> DataFrame:
-    """format, votes: each name votes for the format with the longest match of its digits; of equal ones the first listed."""
-    found = F.array(*(F.struct(F.length(F.regexp_extract(column, f"({p})", 1)).alias("len"), F.lit(-k).alias("rank"), F.lit(f).alias("format"), F.regexp_extract(column, f"({p})", 1).alias("text")) for k, (p, f) in enumerate(TIME_FORMATS)))
-    best = F.array_max(F.filter(found, lambda x: x["len"] > 0))
-    return names.select(best.getField("format").alias("format")).where("format is not null").groupBy("format").agg(F.count(F.lit(1)).alias("votes"))
+    """format, votes: each name votes for all formats of its longest match, so that days and months are told by the names together.
+
+    A match has valid months, days and times, and no digit beside it. The format of most votes is the names'; of equal
+    ones the longer.
+    """
+    tail = f"(?:[ T_-]?(?:{'|'.join(map(matcher, TIMES))}))?"
+    clock = F.create_map(*(F.lit(x) for t in TIMES for x in (re.sub("[A-Za-z]", "0", t), t)))
+
+    def found(date: str) -> Column:
+        text = F.regexp_extract(column, f"(?<![0-9])({matcher(date)}{tail})(?![0-9])", 1)
+        rest = F.substring(text, len(date) + 1, 20)
+        joiner = F.regexp_extract(rest, "^[^0-9]", 0)
+        time = clock[F.translate(F.substring(rest, F.length(joiner) + 1, F.lit(20)), "123456789", "000000000")]
+        return F.struct(F.length(text).alias("len"), F.concat(F.lit(date), F.when(joiner == "T", "'T'").otherwise(joiner), F.coalesce(time, F.lit(""))).alias("format"))
+
+    hits = F.filter(F.array(*map(found, DATES)), lambda x: x["len"] > 0)
+    longest = F.array_max(F.transform("_hits", lambda x: x["len"]))
+    best = names.select(hits.alias("_hits")).select(F.explode(F.filter("_hits", lambda x: x["len"] == longest)).alias("x"))
+    return best.groupBy(F.col("x.format").alias("format")).agg(F.count(F.lit(1)).alias("votes"))

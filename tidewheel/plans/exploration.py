@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewheel.functions import angles, geo, text
@@ -281,9 +283,23 @@ def _(read):
     return patterns.positions(read("customer"), "c_name")
 
 
-@C.add("timestamp_format_vote", "SELECT 'yyyy-MM-dd HH:mm:ss' AS format, count(*) AS votes FROM events")
+def _votes() -> str:
+    """SQL of the votes: a constant pattern per date, for RE2, which can't look around."""
+    tail = f"([ T_-]?)({'|'.join(map(patterns.matcher, patterns.TIMES))})"
+    kinds = " ".join(f"WHEN '{re.sub('[A-Za-z]', '0', t)}' THEN '{t}'" for t in patterns.TIMES)
+    whole = {d: f"(^|[^0-9]){patterns.matcher(d)}{tail}([^0-9]|$)" for d in patterns.DATES}
+    tried = " UNION ALL ".join(f"SELECT name, '{d}' AS d, regexp_extract(name, '(^|[^0-9])({patterns.matcher(d)}({tail})?)([^0-9]|$)', 2) AS m, regexp_extract(name, '{w}', 2) AS j, regexp_extract(name, '{w}', 3) AS t FROM n" for d, w in whole.items())
+    return f"""WITH n AS (SELECT CASE event_id % 5 WHEN 0 THEN 'log_' || strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%d/%m/%Y') || ' log' WHEN 2 THEN 'a' || strftime(ts, '%Y%m%d_%H%M%S') WHEN 3 THEN strftime(ts, '%m-%d-%YT%H:%M') ELSE 'part-' || event_id END || '.txt' AS name FROM events),
+    h AS ({tried}), b AS (SELECT *, max(length(m)) OVER (PARTITION BY name) AS longest FROM h)
+    SELECT d || CASE WHEN j = 'T' THEN '''T''' ELSE j END || CASE regexp_replace(t, '[0-9]', '0', 'g') {kinds} ELSE '' END AS format, count(*) AS votes FROM b WHERE m <> '' AND length(m) = longest GROUP BY 1"""
+
+
+@C.add("timestamp_format_vote", _votes())
 def _(read):
-    return patterns.time_format_votes(read("events").select(F.concat(F.lit("log_"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(".txt")).alias("name")), "name")
+    k, written = F.col("event_id") % 5, lambda f: F.date_format("ts", f)
+    name = F.when(k == 0, F.concat(F.lit("log_"), written("yyyy-MM-dd HH:mm:ss"))).when(k == 1, F.concat(written("dd/MM/yyyy"), F.lit(" log"))).when(k == 2, F.concat(F.lit("a"), written("yyyyMMdd_HHmmss")))
+    name = name.when(k == 3, written("MM-dd-yyyy'T'HH:mm")).otherwise(F.concat(F.lit("part-"), F.col("event_id").cast("string")))
+    return patterns.time_format_votes(read("events").select(F.concat(name, F.lit(".txt")).alias("name")), "name")
 
 
 @C.add("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
