@@ -76,3 +76,15 @@ def test_medoids_and_scores_compare_all_rows(spark):
     order = np.argsort(d + np.diag([np.inf] * len(x)), axis=1)[:, :10]
     assert learning.connectivity(far, "x", "c", "id").first().connectivity == pytest.approx((((order % 2) != (np.arange(1500) % 2)[:, None]) / np.arange(1, 11)).sum())
     assert not hasattr(learning, "PAIR_ROWS") and not hasattr(learning, "MEDOID_SAMPLE")
+
+
+@pytest.mark.parametrize("score", ["dunn", "davies_bouldin"])
+def test_swarm_by_other_scores(spark, score):
+    """Three far groups are told apart, whichever score judges the centres."""
+    rng = np.random.default_rng(5)
+    rows = [(g * 10 + k, (np.array([(0, 0), (9, 0), (0, 9)][g]) + rng.normal(0, 0.2, 2)).tolist()) for g in range(3) for k in range(10)]
+    got = learning.swarm_assigned(spark.createDataFrame(rows, "k int, x array<double>"), "x", "k", candidates=12, most=4, particles=8, rounds=8, score=score).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r.cluster, set()).add(r.k // 10)
+    assert len(got) == 30 and len(parts) == 3 and all(len(v) == 1 for v in parts.values())

@@ -509,11 +509,12 @@ def swarm_clusters(x: np.ndarray, most: int = 7, particles: int = 20, rounds: in
     return np.argmin(d[:, c], axis=1) if len(c) else np.zeros(n, int)
 
 
-def swarm_assigned(df: DataFrame, array_col: str, key: str, candidates: int = 300, most: int = 7, particles: int = 20, rounds: int = 30, seed: int = 0) -> DataFrame:
+def swarm_assigned(df: DataFrame, array_col: str, key: str, candidates: int = 300, most: int = 7, particles: int = 20, rounds: int = 30, seed: int = 0, score: str = "silhouette") -> DataFrame:
     """key, cluster of every row: the nearest of the centres that a binary swarm chooses.
 
-    The swarm's dimensions are `candidates` rows drawn by hash; each choice is judged by the silhouette of all rows
-    against all rows. Coordinates are scaled by the mean and deviation of all rows.
+    The swarm's dimensions are `candidates` rows drawn by hash; each choice is judged by all rows: by their silhouette or
+    Dunn's index (`dunn`), all rows against all rows, or by the Davies-Bouldin index (`davies_bouldin`), two scans.
+    Coordinates are scaled by the mean and deviation of all rows.
     """
     rows = saved(df.select(key, F.col(array_col).cast("array<double>").alias("x")), "swarm-rows")
     long = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
@@ -522,7 +523,7 @@ def swarm_assigned(df: DataFrame, array_col: str, key: str, candidates: int = 30
     mean, spread = np.array([r.m for r in long]), np.array([r.s for r in long]) + 1e-9
     some = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(candidates).orderBy(key).select("x").collect()
     seat = (np.array([r.x for r in some]) - mean) / spread
-    blocks = packed(rows, "x", [key], key)
+    blocks = packed(rows, "x", [key], key) if score != "davies_bouldin" else None
 
     def cost(choices: list[np.ndarray]) -> list[float]:
         def run(mine: Block, others: Iterator[Block]) -> pd.DataFrame:
@@ -549,7 +550,61 @@ def swarm_assigned(df: DataFrame, array_col: str, key: str, candidates: int = 30
         got = {r.k: r.c for r in against_all(blocks, run, "k int, s double, n long").groupBy("k").agg((-F.sum("s") / F.sum("n")).alias("c")).collect()}
         return [got[k] for k in range(len(choices))]
 
-    c = _swarm(len(seat), cost, most, particles, rounds, seed)
+    def pairs(choices: list[np.ndarray]) -> list[float]:
+        """Minus Dunn's index of each choice: nearest rows of different clusters over the farthest of one."""
+
+        def run(mine: Block, others: Iterator[Block]) -> pd.DataFrame:
+            x = (mine.x - mean) / spread
+            near, gap, wide = distances(x, seat), np.full(len(choices), np.inf), np.zeros(len(choices))
+            for b in others:
+                y = (b.x - mean) / spread
+                d, far = distances(x, y), distances(y, seat)
+                for k, c in enumerate(choices):
+                    same = np.argmin(near[:, c], axis=1)[:, None] == np.argmin(far[:, c], axis=1)[None]
+                    gap[k] = min(gap[k], d[~same].min(initial=np.inf))
+                    wide[k] = max(wide[k], d[same].max(initial=0.0))
+            return pd.DataFrame({"k": range(len(choices)), "gap": gap, "wide": wide})
+
+        got = {r.k: (r.gap, r.wide) for r in against_all(blocks, run, "k int, gap double, wide double").groupBy("k").agg(F.min("gap").alias("gap"), F.max("wide").alias("wide")).collect()}
+        return [-got[k][0] / max(got[k][1], 1e-12) if np.isfinite(got[k][0]) else np.inf for k in range(len(choices))]
+
+    def centres(choices: list[np.ndarray]) -> list[float]:
+        """Davies-Bouldin index of each choice: two scans, of sums and of distances per cluster."""
+
+        def scan(of: list[np.ndarray] | None) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                total: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+                for batch in batches:
+                    y = (np.array(batch["x"].tolist(), float).reshape(len(batch), -1) - mean) / spread
+                    near = distances(y, seat)
+                    for k, c in enumerate(choices):
+                        lab = np.argmin(near[:, c], axis=1)
+                        for j in np.unique(lab).tolist():
+                            z = y[lab == j]
+                            t = z.sum(0) if of is None else np.sqrt(((z - of[k][j]) ** 2).sum(1)).sum(keepdims=True)
+                            s, n = total.get((k, j), (0.0, 0))
+                            total[k, j] = s + t, n + len(z)
+                yield pd.DataFrame([(k, j, s.tolist(), n) for (k, j), (s, n) in total.items()], columns=["k", "j", "s", "n"])
+
+            parts = rows.mapInPandas(run, "k int, j int, s array<double>, n long").select("k", "j", "n", F.posexplode("s").alias("i", "s")).groupBy("k", "j", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+            out: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+            for r in sorted(parts, key=lambda r: r.i):
+                s, _ = out.get((r.k, r.j), (np.zeros(0), 0))
+                out[r.k, r.j] = np.append(s, r.s), r.n
+            return out
+
+        sums = scan(None)
+        middle = [np.array([sums[k, j][0] / sums[k, j][1] if (k, j) in sums else np.full(len(mean), np.nan) for j in range(len(c))]) for k, c in enumerate(choices)]
+        wide, out = scan(middle), []
+        for k, c in enumerate(choices):
+            full = [j for j in range(len(c)) if (k, j) in wide]
+            s, m = np.array([wide[k, j][0][0] / wide[k, j][1] for j in full]), middle[k][full]
+            gap = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2)) + np.where(np.eye(len(full)), np.inf, 0)
+            out.append(float(np.max((s[:, None] + s[None]) / np.maximum(gap, 1e-12), axis=1).mean()) if len(full) > 1 else np.inf)
+        return out
+
+    judge = {"silhouette": cost, "dunn": pairs, "davies_bouldin": centres}[score]
+    c = _swarm(len(seat), judge, most, particles, rounds, seed)
 
     @F.pandas_udf("int")
     def nearest(x: pd.Series) -> pd.Series:
