@@ -313,7 +313,17 @@ def _(read):
     return series.smooth(hourly(read), ["event_type"], "hour", "value", "gaussian", 11).withColumns(rounded("value", "smooth"))
 
 
-@C.add("aib_splits")
+def _rise(part: str, i: str) -> str:
+    """SQL of a part's value: the mean root of what its readings lie below their running peak, times the peak's rise."""
+    peak = f"list_max({part}[1:{i}])"
+    return f"list_avg(list_transform(range(1, len({part}) + 1), lambda {i}: sqrt(greatest(({peak} - {part}[1]) * ({peak} - {part}[{i}]), 0))))"
+
+
+@C.add("aib_splits", f"""WITH RECURSIVE d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY 1, 2), y AS (SELECT event_type, list(value ORDER BY day) FILTER (value IS NOT NULL) AS y FROM d GROUP BY 1),
+    t AS (SELECT event_type, y, 0 AS a, len(y) AS b, NULL::BIGINT AS split FROM y
+    UNION ALL SELECT event_type, y, unnest([a, best.k]), unnest([best.k + 1, b]), best.k FROM (SELECT *, list_max(list_transform(range(a + 1, b - 1), lambda k: {{'score': {_rise('y[a + 1:k + 1]', 'i')} + {_rise('y[k + 1:b]', 'j')}, 'least': -k, 'k': k}})) AS best FROM t WHERE b - a >= 3)
+    WHERE best.score > {_rise('y[a + 1:b]', 'm')})
+    SELECT DISTINCT event_type, CAST(split AS INTEGER) AS split FROM t WHERE split IS NOT NULL""")
 def _(read):
     daily = read("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
     return series.split_points(daily, ["event_type"], "day", "value")
