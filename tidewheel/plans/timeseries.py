@@ -182,9 +182,19 @@ def _(read):
     return g.join(fleet, "hour", "left").select("event_type", "hour", F.round(F.coalesce("value", "_fleet"), 6).alias("value"))
 
 
-@C.add("pattern_imputation")
-def _(read):
-    return series.impute_pattern(hourly_grid(read), ["event_type"], "hour", "value").select("event_type", "hour", "value", "imputed")
+@C.add("pattern_imputation", f"""WITH g AS ({_GRID}), h AS ({_HOURLY}), s AS (SELECT g.event_type, g.hour, CAST(floor(epoch(g.hour) / 3600) AS BIGINT) AS i, h.value AS v FROM g LEFT JOIN h ON h.event_type = g.event_type AND h.hour = g.hour),
+    n AS (SELECT *, max(i) FILTER (v IS NOT NULL) OVER (PARTITION BY event_type ORDER BY i) AS before, min(i) FILTER (v IS NOT NULL) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM s),
+    f AS (SELECT n.event_type, n.hour, n.i, n.v, n.before + 1 AS gap, a.v + (b.v - a.v) * (n.i - n.before) / greatest(n.after - n.before, 1) AS y FROM n JOIN s a ON a.event_type = n.event_type AND a.i = n.before JOIN s b ON b.event_type = n.event_type AND b.i = n.after),
+    d AS (SELECT *, y - lag(y) OVER (PARTITION BY event_type ORDER BY i) AS d FROM f), w AS (SELECT *, d - lag(d, 24) OVER (PARTITION BY event_type ORDER BY i) AS w FROM d), z AS (SELECT *, lag(w, 24) OVER (PARTITION BY event_type ORDER BY i) AS x FROM w),
+    o AS (SELECT q.event_type, q.gap, min(k.i) AS first FROM (SELECT DISTINCT event_type, gap FROM f WHERE v IS NULL) q JOIN s k ON k.event_type = q.event_type AND k.v IS NOT NULL AND k.i < q.gap AND k.i >= q.gap - 360 GROUP BY 1, 2),
+    p AS (SELECT o.event_type, o.gap, o.gap - o.first AS n, sum(z.w * z.x) AS wx, sum(z.x * z.x) AS xx FROM o LEFT JOIN z ON z.event_type = o.event_type AND z.i >= o.first + 49 AND z.i < o.gap GROUP BY ALL),
+    r AS (SELECT event_type, gap, n, CASE WHEN n > 51 AND xx > 0 THEN greatest(-0.99, least(0.99, wx / xx)) ELSE 0 END AS phi FROM p),
+    m AS (SELECT f.event_type, f.hour, f.i, f.gap, r.n, l.y AS last, CASE WHEN r.n < 50 THEN 0 ELSE b.d + b.w * r.phi * (1 - r.phi ** ((f.i - f.gap) // 24 + 1)) / (1 - r.phi) END AS step FROM f JOIN r ON r.event_type = f.event_type AND r.gap = f.gap JOIN f l ON l.event_type = f.event_type AND l.i = f.gap - 1
+    LEFT JOIN w b ON b.event_type = f.event_type AND b.i = f.gap - 24 + (f.i - f.gap) % 24 WHERE f.v IS NULL),
+    c AS (SELECT event_type, i, last + sum(step) OVER (PARTITION BY event_type, gap ORDER BY i) AS value FROM m)
+    SELECT s.event_type, s.hour, round(coalesce(s.v, c.value), 6) AS value, s.v IS NULL AND c.value IS NOT NULL AS imputed FROM s LEFT JOIN c ON c.event_type = s.event_type AND c.i = s.i""")
+def _(read):
+    return series.impute_pattern(hourly_grid(read), ["event_type"], "hour", "value").select("event_type", "hour", F.round("value", 6).alias("value"), "imputed")
 
 
 @C.add("threshold_severity", """SELECT event_id, round(100 * value / 120.0, 6) AS value_pct,
