@@ -242,9 +242,15 @@ def test_fleet(spark):
     assert [(r.turbine, r.start, r.duration, r.flagged, r.event_id) for r in found] == [("b", at(0, 0) + dt.timedelta(minutes=1000), 60.0, 7, "b_2020-01-06 16:40")]
     spike = at(0, 0) + dt.timedelta(minutes=3000)
     assert any(r.turbine == "c" and r.start <= spike <= r.end for r in fleet.residual_events(df, 12, merge_minutes=10).collect())
-    gone = fleet.made_missing(df, 0.1)
-    n = gone.where("power is null").count()
-    assert 0 < n < df.count() / 4 and n == fleet.made_missing(df, 0.1).where("power is null").count()
+    gone = fleet.made_missing(df, 20).cache()
+    taken = {(r.turbine, r.datetime): r.missing_event for r in gone.where("missing_event > 0").collect()}
+    n = len(taken)
+    assert gone.count() == df.count() and gone.where("power is null").count() == n and gone.where("original is null").count() == 0
+    assert 20 <= n <= 20 * 23 and taken == {(r.turbine, r.datetime): r.missing_event for r in fleet.made_missing(df, 20).where("missing_event > 0").collect()}
+    for e in set(taken.values()):
+        when = sorted(t for (_, t), k in taken.items() if k == e)
+        assert len({u for (u, _), k in taken.items() if k == e}) == 1 and when[-1] - when[0] < dt.timedelta(minutes=230)
+    assert fleet.made_missing(df.limit(0), 20).count() == 0
     for how in ("linear", "fleet"):
         errors = fleet.imputation_errors(gone, how).collect()
         assert sum(r.n for r in errors) == n and all(r.rmse is None or r.rmse < 90 for r in errors)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import dates
 from tidewheel.operators import learning, resample
+from tidewheel.operators.blocks import saved
 from tidewheel.sources import datasets
 
 HOURS = list(range(24))
@@ -50,10 +51,9 @@ def day_profiles(df: DataFrame) -> DataFrame:
 
 def day_clusters(profiled: DataFrame, k: int = 2, seed: int = 1) -> DataFrame:
     """date, day_of_week, pc1, pc2, cluster: two principal components of the days, and a Gaussian mixture on them."""
-    flat = learning.projected(profiled, [f"h{h}" for h in HOURS], 2).select("date", "day_of_week", "pc1", "pc2").persist()  # read once per iteration; a row per day
+    flat = saved(learning.projected(profiled, [f"h{h}" for h in HOURS], 2).select("date", "day_of_week", "pc1", "pc2"), "days")  # read once per iteration; a row per day
     rows = learning.assembled(flat, ["pc1", "pc2"], "pair")
     model = GaussianMixture(featuresCol="pair", predictionCol="cluster", k=k, maxIter=50, seed=seed).fit(rows)
-    flat.unpersist()
     return model.transform(rows).select("date", "day_of_week", "pc1", "pc2", "cluster")
 
 

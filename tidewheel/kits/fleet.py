@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +43,30 @@ def residual_events(df: DataFrame, period: int, alpha: float = 3.0, merge_minute
     return events.summarize(labelled, "label", "datetime", "_far", ["turbine"])
 
 
-def made_missing(df: DataFrame, share: float = 0.01, seed: int = 0) -> DataFrame:
-    """power nulled in a share of the hours of each turbine, those that hash lowest; kept as original."""
-    hour = F.xxhash64("turbine", F.date_trunc("hour", "datetime"), F.lit(seed))
-    gone = F.pmod(hour, F.lit(1_000_000)) < int(share * 1_000_000)
-    return df.withColumns({"original": F.col("power"), "power": F.when(~gone, F.col("power"))})
+#: Lengths of made gaps in minutes, and the powers of ten between which their weights fall. Fixed values.
+GAP_MINUTES, GAP_WEIGHTS = range(10, 240, 10), (0.9, 0.1)
+
+
+def made_missing(df: DataFrame, events_: int = 100, column: str = "power", seed: int = 0) -> DataFrame:
+    """df with the column nulled in a number of stretches, its values as original, and missing_event, the stretch's number (0 outside).
+
+    A stretch starts at a row that has a value, one of those with the lowest hashes of turbine and time; short ones are
+    likelier. Where stretches overlap, the one drawn later has its number there. They reach the driver, `events_` at most.
+    """
+    spark, steps = df.sparkSession, list(GAP_MINUTES)
+    weight = np.logspace(*GAP_WEIGHTS, len(steps))
+    known = df.where(F.col(column).isNotNull() & F.col("turbine").isNotNull() & F.col("datetime").isNotNull())
+    drawn = known.select("turbine", "datetime", F.xxhash64("turbine", "datetime", F.lit(seed)).alias("_h")).orderBy("_h", "turbine", "datetime").limit(events_).collect()
+    of: dict[str, list] = {}
+    for k, r in enumerate(drawn):
+        u = (r["_h"] * 0x9E3779B97F4A7C15 >> 20 & 0xFFFFFFFF) / 2**32
+        length = steps[int(np.searchsorted(np.cumsum(weight) / weight.sum(), u, "right"))]
+        of.setdefault(r.turbine, []).append((k + 1, r.datetime, r.datetime + dt.timedelta(minutes=length)))
+    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    gaps = spark.createDataFrame(list(of.items()), f"turbine {kind['turbine']}, _gaps array<struct<id: int, start: {kind['datetime']}, stop: {kind['datetime']}>>")
+    here = F.filter("_gaps", lambda g: (F.col("datetime") >= g["start"]) & (F.col("datetime") < g["stop"]))
+    rows = df.join(F.broadcast(gaps), "turbine", "left").withColumn("missing_event", F.coalesce(F.array_max(F.transform(here, lambda g: g["id"])), F.lit(0)))
+    return rows.withColumns({"original": F.col(column), column: F.when(F.col("missing_event") == 0, F.col(column))}).select(*df.columns, "original", "missing_event")
 
 
 def imputed(df: DataFrame, how: str = "linear") -> DataFrame:
