@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import contentsort, iblt, langid, linededup, mixing, ngramjoin, packing, periodic, quality, repeats, secrets
+from tidewheel.llm import contentsort, hilbert, iblt, langid, linededup, mixing, ngramjoin, packing, periodic, quality, repeats, secrets
 from tidewheel.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(documents(spark, sf_dir))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def periodic_tail(doc_id: int, words: list[bytes]) -> list[bytes]:
     """In a tenth of the documents the words from some place on repeat the first few of them: the input of op12."""
     h = zlib.crc32(str(doc_id).encode())
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
@@ -112,4 +117,14 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
         FROM t JOIN g ON t.body = g.body""",
+    # exact search; tables of no more vectors than a window holds are searched whole
+    "op11_nearest_neighbours": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS x FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) AS score
+          FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
 }
