@@ -120,8 +120,8 @@ ORACLE_SQL: dict[str, str] = {
     # exact search; tables of no more vectors than a window holds are searched whole
     "op11_nearest_neighbours": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS x FROM embeddings
-          WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+          SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         s AS (
           SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) AS score
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
