@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def finite(v: Column) -> Column:
-    """Whether a vector is there, with components, none of them null, NaN or infinite."""
+def finite(v: Column, empty: bool = False) -> Column:
+    """Whether a vector is there, with components (unless empty ones count), none of them null, NaN or infinite."""
     x = lambda c: c.cast("double")
-    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(x(c)) & (F.abs(x(c)) != float("inf"))), F.lit(False))
+    return F.coalesce((F.size(v) >= (0 if empty else 1)) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(x(c)) & (F.abs(x(c)) != float("inf"))), F.lit(False))
 
 
 def width(df: DataFrame, vector: str) -> int:
