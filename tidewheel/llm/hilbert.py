@@ -250,6 +250,44 @@ def search(at: DataFrame, dim: int, window: int, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
 
 
+def merged(found: DataFrame, most: int) -> DataFrame:
+    """query_id, ids, scores: the best `most` different entries of each query; its lists stay lists on the way."""
+    dealt = found.repartition(partitions(found.sparkSession), "query_id").sortWithinPartitions("query_id")
+
+    def best(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        ids, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        scores = np.concatenate([p[1] for p in parts])[first]
+        by = np.lexsort((ids, -scores))[:most]
+        return ids[by], scores[by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts = None, []
+
+        def rows(done: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            at = pa.array(np.cumsum([0, *(len(d[1]) for d in done)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([d[c] for d in done]))) for c in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), *lists], ["query_id", "ids", "scores"])
+
+        for batch in batches:
+            query, done = batch.column(0).to_numpy(), []
+            ids, scores = (batch.column(c).flatten().to_numpy() for c in (1, 2))
+            cut = np.append(0, np.cumsum(np.asarray(batch.column(1).value_lengths())))
+            for i, j in stretches(query):
+                if query[i] != here and parts:
+                    done.append((here, *best(parts)))
+                    parts = []
+                here = query[i]
+                parts.append((ids[cut[i] : cut[j]], scores[cut[i] : cut[j]]))
+                if len(parts) > 8:  # a query over many batches holds no more than its best
+                    parts = [best(parts)]
+            if done:
+                yield rows(done)
+        if parts:
+            yield rows([(here, *best(parts))])
+
+    return dealt.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
+
+
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is a query, the nearest first."""
     spark = df.sparkSession
@@ -266,12 +304,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     both = rows.select(F.lit(False).alias("query"), "id", "v").unionByName(queries.select(F.lit(True).alias("query"), "id", "v"))
     at = placed(both, curves, *_bounds(rows, curves))
     window = max(LEAST, measured_window(at, rows, queries, dim, k, target))
-    found = search(at, dim, window, k + 1).select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("e"))
-    found = found.repartition(partitions(spark), "query_id").groupBy("query_id", F.col("e.ids").alias("id")).agg(F.max("e.scores").alias("score"))
-    order = lambda tie: Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
-    found = found.withColumn("_n", F.row_number().over(order("id"))).where(F.col("_n") <= k + 1).drop("_n")
+    found = merged(search(at, dim, window, k + 1), k + 1).select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("e")).select("query_id", F.col("e.ids").alias("id"), F.col("e.scores").alias("score"))
     each = found.join(rows.select("id", "ids"), "id").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    out = each.withColumn("rank", F.row_number().over(order("vec_id"))).where(F.col("rank") <= k)
+    out = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     out = saved(out.select("query_id", "rank", "vec_id", "score"), "hilbert-nearest")
     discard(at, rows, queries)
     return out
