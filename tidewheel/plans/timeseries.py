@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import dates
 from tidewheel.operators import clean, events, normalize, outliers, resample, series
+from tidewheel.operators.statespace import impute_sarima
 from tidewheel.plans.base import Catalogue, rounded
 
 C = Catalogue()
@@ -197,6 +198,11 @@ def _(read):
     return series.impute_pattern(hourly_grid(read), ["event_type"], "hour", "value").select("event_type", "hour", F.round("value", 6).alias("value"), "imputed")
 
 
+@C.add("pattern_imputation_sarima")
+def _(read):
+    return impute_sarima(hourly_grid(read), ["event_type"], "hour", "value").select("event_type", "hour", F.round("value", 6).alias("value"), "imputed")
+
+
 @C.add("threshold_severity", """SELECT event_id, round(100 * value / 120.0, 6) AS value_pct,
     CASE WHEN 100 * value / 120.0 > 100 THEN 'incident' WHEN 100 * value / 120.0 > 60 AND 100 * value / 120.0 < 101 THEN 'warning' ELSE 'No event' END AS severity FROM events""")
 def _(read):
