@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.blocks import saved
+
 
 @dataclass(frozen=True)
 class Bins:
@@ -71,21 +73,56 @@ def numbered(cube: DataFrame, by: str, keys: list[str], name: str = "cube_id") -
     return cube.withColumn(name, F.row_number().over(Window.orderBy(F.col(by).desc_nulls_last(), *keys)) - 1)
 
 
-#: Cells up to which an all-against-all comparison broadcasts them.
-BROADCAST_CELLS = 100_000
+#: Cells that each row is compared with one by one; more are found through boxes.
+INLINE_CELLS = 2_000
+#: Cells of the smallest boxes, and the number of halvings per dimension at most.
+LEAF_CELLS, DEEPEST = 16, 24
 
 
 def nearest_cell(rows: DataFrame, cells_: DataFrame, columns: list[str], cell_id: str = "cube_id") -> DataFrame:
-    """Id of the nearest cell (Euclidean, ties by id) for each row: cells are gathered in one array, checked to be few, and compared in the row."""
-    n = cells_.count()
-    if n > BROADCAST_CELLS:
-        raise ValueError(f"{n} cells; coarser bins are needed (at most {BROADCAST_CELLS})")
+    """Id of the nearest cell (Euclidean, ties by id) and its distance for each row, whatever the number of cells.
+
+    Few cells are gathered in one array and compared in the row. Others are indexed as data: boxes of cells, a grid halved
+    level by level. Each row goes down the levels with the boxes that can still hold its nearest cell, those no farther
+    than the far corner of the best one, and meets the cells of the last ones; rows with a null coordinate get none.
+    """
+    if cells_.limit(INLINE_CELLS + 1).count() > INLINE_CELLS:
+        return _nearest_by_boxes(rows, cells_, columns, cell_id)
     listed = cells_.agg(F.sort_array(F.collect_list(F.struct(F.col(cell_id).alias("id"), *columns))).alias("_cells"))
     away = lambda c: sum(((F.col(k) - c[k]) * (F.col(k) - c[k]) for k in columns[1:]), (F.col(columns[0]) - c[columns[0]]) * (F.col(columns[0]) - c[columns[0]]))
     best = F.array_min(F.transform("_cells", lambda c: F.struct(away(c).alias("d"), c["id"].alias("id"))))
     return rows.crossJoin(F.broadcast(listed)).withColumn("_b", best).withColumns({cell_id: F.col("_b.id"), "distance": F.sqrt(F.col("_b.d"))}).drop("_cells", "_b")
 
 
+def _nearest_by_boxes(rows: DataFrame, cells_: DataFrame, columns: list[str], cell_id: str) -> DataFrame:
+    dims = range(len(columns))
+    cells_ = saved(cells_.na.drop(subset=columns).select(F.col(cell_id).alias("_id"), *(F.col(c).cast("double").alias(f"_c{k}") for k, c in zip(dims, columns, strict=True))), "cells")
+    asked = saved(rows.withColumn("_r", F.monotonically_increasing_id()), "nearest-rows")  # read twice, under one number
+    ends = cells_.agg(*(f(f"_c{k}") for k in dims for f in (F.min, F.max))).first()
+    step = max(1, 4 // len(columns))
+
+    def box(level: int) -> Column:
+        unit = [(F.col(f"_c{k}") - ends[2 * k]) / ((ends[2 * k + 1] - ends[2 * k]) or 1.0) for k in dims]
+        return F.array(*(F.least(F.floor(u * 2**level), F.lit(2**level - 1)).cast("int") for u in unit))
+
+    depth = step
+    while depth < DEEPEST and cells_.groupBy(box(depth)).count().agg(F.max("count")).first()[0] > LEAF_CELLS:
+        depth += step
+    square = lambda x: x * x
+    near = sum((square(F.greatest(F.col(f"_lo{k}") - F.col(f"_x{k}"), F.col(f"_x{k}") - F.col(f"_hi{k}"), F.lit(0.0))) for k in dims), F.lit(0.0))
+    far = sum((square(F.greatest(F.abs(F.col(f"_x{k}") - F.col(f"_lo{k}")), F.abs(F.col(f"_x{k}") - F.col(f"_hi{k}")))) for k in dims), F.lit(0.0))
+    point = [f"_x{k}" for k in dims]
+    state = asked.na.drop(subset=columns).select("_r", *(F.col(c).cast("double").alias(x) for c, x in zip(columns, point, strict=True)), F.array(*(F.lit(0) for _ in dims)).alias("_in"))
+    for level in range(step, depth + 1, step):
+        ranges = [f(f"_c{k}").alias(f"_{n}{k}") for k in dims for n, f in (("lo", F.min), ("hi", F.max))]
+        boxes = cells_.groupBy(box(level - step).alias("_in"), box(level).alias("_box")).agg(*ranges)
+        state = state.join(boxes, "_in").select("_r", *point, "_box", near.alias("_near"), F.min(far).over(Window.partitionBy("_r")).alias("_most"))
+        state = state.where(F.col("_near") <= F.col("_most") * (1 + 1e-12)).select("_r", *point, F.col("_box").alias("_in"))
+    away = sum((square(F.col(f"_x{k}") - F.col(f"_c{k}")) for k in dims), F.lit(0.0))
+    best = state.join(cells_.withColumn("_in", box(depth)), "_in").groupBy("_r").agg(F.min(F.struct(away.alias("d"), "_id")).alias("_b"))
+    return asked.join(best, "_r", "left").withColumns({cell_id: F.col("_b._id"), "distance": F.sqrt(F.col("_b.d"))}).drop("_r", "_b")
+
+
 def residuals(df: DataFrame, bins: list[Bins], target: str, least: int = 0) -> DataFrame:
     """<target>_expected (its cell's median) and res_<target> = expected - actual; cells of at most `least` rows give none."""
     keys = [f"{b.variable}_bin" for b in bins]

@@ -695,15 +695,6 @@ def forest_model(x: np.ndarray, y: np.ndarray, z: np.ndarray, trees: int = 10, d
     return out
 
 
-def kernel_model(x: np.ndarray, y: np.ndarray, z: np.ndarray, gamma: float = 0.01, c: float = 10.0, most: int = 1500) -> np.ndarray:
-    """Kernel ridge on scaled features, fitted on the last `most` rows."""
-    x, y = x[-most:], y[-most:]
-    m, s = x.mean(0), x.std(0) + 1e-9
-    x, z = (x - m) / s, (z - m) / s
-    k = lambda a, b: np.exp(-gamma * np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T))
-    return k(z, x) @ np.linalg.solve(k(x, x) + np.eye(len(x)) / c, y - y.mean()) + y.mean()
-
-
 def persistence_model(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     """The first feature, as in 'the same as yesterday'."""
     return z[:, 0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import learning, metrics
+from tidewheel.operators import kernels, learning, metrics
 from tidewheel.plans.base import Catalogue, rounded
 from tidewheel.plans.timeseries import hourly_grid
 
@@ -153,6 +153,16 @@ def _(read):
     return learning.walk_forward(_forecast_rows(read), ["event_type"], "hour", ["past_day", "past_week", "hour_of_day", "weekday"], "value", "fold")
 
 
+@C.add("svr_walk_forward")
+def _(read):
+    return learning.walk_forward(_forecast_rows(read), ["event_type"], "hour", ["past_day", "past_week", "hour_of_day", "weekday"], "value", "fold", kernels.svr_model)
+
+
+@C.add("fourier_walk_forward")
+def _(read):
+    return kernels.fourier_walk_forward(_forecast_rows(read), ["event_type"], ["past_day", "past_week", "hour_of_day", "weekday"], "value", "fold")
+
+
 @C.add("persistence_walk_forward", """WITH b AS (SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, avg(value) AS v FROM events GROUP BY 1, 2),
     g AS (SELECT event_type, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM b GROUP BY 1), h AS (SELECT g.event_type, g.hour, coalesce(v, 0) AS v, CAST(floor(dayofyear(g.hour) / 7) AS INTEGER) AS fold FROM g LEFT JOIN b USING (event_type, hour)),
     j AS (SELECT h.*, d.v AS day FROM h JOIN h d ON d.event_type = h.event_type AND d.hour = h.hour - INTERVAL 1 DAY JOIN h w ON w.event_type = h.event_type AND w.hour = h.hour - INTERVAL 7 DAY)
