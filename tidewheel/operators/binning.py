@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators import quantiles
 from tidewheel.operators.blocks import saved
 
 
@@ -57,14 +58,22 @@ def histogram_2d(df: DataFrame, a: Bins, b: Bins) -> DataFrame:
 
 
 def cells(df: DataFrame, bins: list[Bins], targets: list[str], low: float = 0.4, high: float = 0.6) -> DataFrame:
-    """Per occupied cell: its bin labels and, for every target, median, mean, sum, count, min, max and two percentiles; one shuffle for all targets."""
+    """Per occupied cell: its bin labels and, for every target, median, mean, sum, count, min, max and two percentiles.
+
+    One shuffle for all targets where the table is small; else sums are taken on the map side and percentiles per target,
+    a hot cell's over many tasks.
+    """
     keys = [f"{b.variable}_bin" for b in bins]
     rows = df.withColumns({k: b.label() for k, b in zip(keys, bins, strict=True)}).na.drop(subset=keys)
+    wanted, small = [0.5, low, high], rows.limit(quantiles.LEAF + 1).count() <= quantiles.LEAF
     aggs = []
     for t in targets:
         c = F.col(t)
-        aggs += [F.percentile(c, F.array(F.lit(0.5), F.lit(low), F.lit(high))).alias(f"_q_{t}"), F.avg(c).alias(f"{t}_mean"), F.sum(c).alias(f"{t}_sum"), F.count(c).alias(f"{t}_count"), F.min(c).alias(f"{t}_min"), F.max(c).alias(f"{t}_max")]
+        aggs += [F.percentile(c, F.array(*map(F.lit, wanted))).alias(f"_q_{t}")] if small else []
+        aggs += [F.avg(c).alias(f"{t}_mean"), F.sum(c).alias(f"{t}_sum"), F.count(c).alias(f"{t}_count"), F.min(c).alias(f"{t}_min"), F.max(c).alias(f"{t}_max")]
     out = rows.groupBy(*keys).agg(*aggs)
+    for t in [] if small else targets:
+        out = out.join(quantiles.group_quantiles(rows, keys, t, wanted, f"_q_{t}"), keys, "left")
     return out.withColumns({f"{t}_{n}": F.col(f"_q_{t}")[i] for t in targets for i, n in enumerate(("median", "lower_bound", "upper_bound"))}).drop(*(f"_q_{t}" for t in targets))
 
 
@@ -84,7 +93,7 @@ def nearest_cell(rows: DataFrame, cells_: DataFrame, columns: list[str], cell_id
 
     Few cells are gathered in one array and compared in the row. Others are indexed as data: boxes of cells, a grid halved
     level by level. Each row goes down the levels with the boxes that can still hold its nearest cell, those no farther
-    than the far corner of the best one, and meets the cells of the last ones; rows with a null coordinate get none.
+    than the far corner or the mean cell of another, and meets the cells of the last ones; rows with a null coordinate get none.
     """
     if cells_.limit(INLINE_CELLS + 1).count() > INLINE_CELLS:
         return _nearest_by_boxes(rows, cells_, columns, cell_id)
@@ -99,25 +108,29 @@ def _nearest_by_boxes(rows: DataFrame, cells_: DataFrame, columns: list[str], ce
     cells_ = saved(cells_.na.drop(subset=columns).select(F.col(cell_id).alias("_id"), *(F.col(c).cast("double").alias(f"_c{k}") for k, c in zip(dims, columns, strict=True))), "cells")
     asked = saved(rows.withColumn("_r", F.monotonically_increasing_id()), "nearest-rows")  # read twice, under one number
     ends = cells_.agg(*(f(f"_c{k}") for k in dims for f in (F.min, F.max))).first()
-    step = max(1, 4 // len(columns))
+    deepest = min(DEEPEST, 62 // len(columns))
 
     def box(level: int) -> Column:
+        """The number of a cell's box: its place along each dimension, `level` bits of each."""
         unit = [(F.col(f"_c{k}") - ends[2 * k]) / ((ends[2 * k + 1] - ends[2 * k]) or 1.0) for k in dims]
-        return F.array(*(F.least(F.floor(u * 2**level), F.lit(2**level - 1)).cast("int") for u in unit))
+        places = [F.least(F.floor(u * 2**level), F.lit(2**level - 1)).cast("long") for u in unit]
+        return sum((F.shiftleft(p, level * k) for k, p in enumerate(places)), F.lit(0).cast("long"))
 
-    depth = step
-    while depth < DEEPEST and cells_.groupBy(box(depth)).count().agg(F.max("count")).first()[0] > LEAF_CELLS:
-        depth += step
+    depth = 1
+    while depth < deepest and cells_.groupBy(box(depth)).count().agg(F.max("count")).first()[0] > LEAF_CELLS:
+        depth += 1
     square = lambda x: x * x
-    near = sum((square(F.greatest(F.col(f"_lo{k}") - F.col(f"_x{k}"), F.col(f"_x{k}") - F.col(f"_hi{k}"), F.lit(0.0))) for k in dims), F.lit(0.0))
-    far = sum((square(F.greatest(F.abs(F.col(f"_x{k}") - F.col(f"_lo{k}")), F.abs(F.col(f"_x{k}") - F.col(f"_hi{k}")))) for k in dims), F.lit(0.0))
+    summed = lambda part: sum((part(k) for k in dims), F.lit(0.0))
+    near = summed(lambda k: square(F.greatest(F.col(f"_lo{k}") - F.col(f"_x{k}"), F.col(f"_x{k}") - F.col(f"_hi{k}"), F.lit(0.0))))
+    far = summed(lambda k: square(F.greatest(F.abs(F.col(f"_x{k}") - F.col(f"_lo{k}")), F.abs(F.col(f"_x{k}") - F.col(f"_hi{k}")))))
+    mean = summed(lambda k: square(F.col(f"_x{k}") - F.col(f"_mid{k}")) + F.col(f"_var{k}"))  # the nearest cell is no farther than the mean
     point = [f"_x{k}" for k in dims]
-    state = asked.na.drop(subset=columns).select("_r", *(F.col(c).cast("double").alias(x) for c, x in zip(columns, point, strict=True)), F.array(*(F.lit(0) for _ in dims)).alias("_in"))
-    for level in range(step, depth + 1, step):
-        ranges = [f(f"_c{k}").alias(f"_{n}{k}") for k in dims for n, f in (("lo", F.min), ("hi", F.max))]
-        boxes = cells_.groupBy(box(level - step).alias("_in"), box(level).alias("_box")).agg(*ranges)
-        state = state.join(boxes, "_in").select("_r", *point, "_box", near.alias("_near"), F.min(far).over(Window.partitionBy("_r")).alias("_most"))
-        state = state.where(F.col("_near") <= F.col("_most") * (1 + 1e-12)).select("_r", *point, F.col("_box").alias("_in"))
+    state = asked.na.drop(subset=columns).select("_r", *(F.col(c).cast("double").alias(x) for c, x in zip(columns, point, strict=True)), F.lit(0).cast("long").alias("_in"))
+    for level in range(1, depth + 1):
+        ranges = [f(f"_c{k}").alias(f"_{n}{k}") for k in dims for n, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg), ("var", F.var_pop))]
+        boxes = cells_.groupBy(box(level - 1).alias("_in"), box(level).alias("_box")).agg(*ranges)
+        state = state.join(boxes, "_in").select("_r", *point, "_box", near.alias("_near"), F.min(F.least(far, mean)).over(Window.partitionBy("_r")).alias("_most"))
+        state = state.where(F.col("_near") <= F.col("_most") * (1 + 1e-9)).select("_r", *point, F.col("_box").alias("_in"))
     away = sum((square(F.col(f"_x{k}") - F.col(f"_c{k}")) for k in dims), F.lit(0.0))
     best = state.join(cells_.withColumn("_in", box(depth)), "_in").groupBy("_r").agg(F.min(F.struct(away.alias("d"), "_id")).alias("_b"))
     return asked.join(best, "_r", "left").withColumns({cell_id: F.col("_b._id"), "distance": F.sqrt(F.col("_b.d"))}).drop("_r", "_b")
@@ -127,7 +140,10 @@ def residuals(df: DataFrame, bins: list[Bins], target: str, least: int = 0) -> D
     """<target>_expected (its cell's median) and res_<target> = expected - actual; cells of at most `least` rows give none."""
     keys = [f"{b.variable}_bin" for b in bins]
     rows = df.withColumns({k: b.label() for k, b in zip(keys, bins, strict=True)})
-    mid = rows.na.drop(subset=keys).groupBy(*keys).agg(F.percentile(target, 0.5).alias(f"{target}_expected"), F.count(target).alias("_n")).where(F.col("_n") > least).drop("_n")
+    known = rows.na.drop(subset=keys)
+    mid = quantiles.group_quantiles(known, keys, target, [0.5]).select(*keys, F.col("q")[0].alias(f"{target}_expected"))
+    if least:
+        mid = mid.join(known.groupBy(*keys).agg(F.count(target).alias("_n")).where(F.col("_n") > least).drop("_n"), keys)
     return rows.join(mid, keys, "left").withColumn(f"res_{target}", F.col(f"{target}_expected") - F.col(target))
 
 
@@ -143,15 +159,17 @@ def refine(df: DataFrame, variables: list[str], bins: int = 8, tolerance: float
     unit = [F.try_divide(F.col(v) - F.lit(float(ends[f"lo_{v}"])), F.lit(float(ends[f"hi_{v}"] - ends[f"lo_{v}"]))) for v in variables]
     limit = max(1, int(np.ceil(tolerance * n))) if most is None else most + 1
     open_ = df.na.drop(subset=variables).select(*(u.alias(f"_u{k}") for k, u in enumerate(unit)), *([F.col(target).alias("_t")] if target else []))
-    stats = {"median": F.percentile("_t", 0.5), "std": F.stddev_samp("_t"), "min": F.min("_t"), "max": F.max("_t")} if target else {}
+    stats = {"std": F.stddev_samp("_t"), "min": F.min("_t"), "max": F.max("_t")} if target else {}
     out, width = None, start
     for level in range(levels + 1):
         index = [F.least(F.floor(F.col(f"_u{k}") * width), F.lit(width - 1)).cast("int").alias(f"i{k}") for k in range(len(variables))]
         keyed = open_.withColumns({f"i{k}": c for k, c in enumerate(index)})
         names = [f"i{k}" for k in range(len(variables))]
         counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("count"), *(c.alias(k) for k, c in stats.items()))
+        if target:
+            counts = counts.join(quantiles.group_quantiles(keyed, names, "_t", [0.5]).select(*names, F.col("q")[0].alias("median")), names)
         last = level == levels
-        leaves = (counts if last else counts.where(F.col("count") < limit)).select(F.lit(level).alias("level"), *names, F.col("count").alias("n"), *stats)
+        leaves = (counts if last else counts.where(F.col("count") < limit)).select(F.lit(level).alias("level"), *names, F.col("count").alias("n"), *(["median", *stats] if target else []))
         out = leaves if out is None else out.unionByName(leaves)
         if not last:
             open_ = keyed.join(counts.where(F.col("count") >= limit).select(*names), names, "left_semi").drop(*names)

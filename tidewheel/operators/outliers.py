@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators.quantiles import exact_quantiles
+from tidewheel.operators.quantiles import exact_quantiles, group_quantiles
 
 
 def fences(q25: float, q75: float, alpha: float = 3.0, medcouple_: float | None = None) -> tuple[float, float]:
@@ -51,7 +51,7 @@ def outlier_flags(df: DataFrame, column: str, alpha: float = 3.0, skew_sample: i
 
 def group_fences(df: DataFrame, keys: list[str], column: str, alpha: float = 3.0) -> DataFrame:
     """Per group: q25, q75, low, high."""
-    q = df.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = group_quantiles(df, keys, column, [0.25, 0.75])
     q = q.select(*keys, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"))
     iqr = F.col("q75") - F.col("q25")
     return q.withColumns({"low": F.col("q25") - alpha * iqr, "high": F.col("q75") + alpha * iqr})
