@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.dates import micros
+from tidewheel.operators import chunks
 from tidewheel.operators.blocks import saved
 from tidewheel.operators.quantiles import exact_quantiles
 
 
 def label_runs(df: DataFrame, flag: str, order: str, keys: list[str] = (), label: str = "label") -> DataFrame:
-    """Runs of flagged rows, in order within a group, numbered from 1; 0 elsewhere."""
+    """Runs of flagged rows, in order within a group, numbered from 1; 0 elsewhere. Long tables go over chunks."""
     w = Window.partitionBy(*keys).orderBy(order)
     on = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+    if chunks.is_long(df):
+        return chunks.runs(df, on, order, [*keys], label)
     start = (on & ~F.coalesce(F.lag(on).over(w), F.lit(False))).cast("int")
     total = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_start", start).withColumn(label, F.when(on, total).otherwise(0).cast("int")).drop("_start")
@@ -39,6 +42,8 @@ def label_runs_merged(df: DataFrame, flag: str, time_col: str, merge_minutes: fl
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # growing frames take one pass, shrinking ones a pass per row
     on = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+    if chunks.is_long(df):
+        return chunks.merged_runs(df, on, micros(F.col(time_col)), time_col, merge, period, [*keys], label)
     rows = df.withColumns({"_t": micros(F.col(time_col)), "_on": on})
     rows = rows.withColumns({"_i": F.row_number().over(w), "_prev_row": F.lag("_on").over(w), "_prev": F.last(F.when(F.col("_on"), F.col("_t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     gap = F.col("_t") - F.col("_prev")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.dates import micros
+from tidewheel.operators import chunks
 
 
 def spine(df: DataFrame, time_col: str, freq: str, keys: list[str] = ()) -> DataFrame:
@@ -53,7 +54,9 @@ def row_lags(df: DataFrame, value: str, order: str, lags: list[int], keys: list[
 
 
 def interpolate(df: DataFrame, value: str, order: str, keys: list[str] = (), out: str | None = None) -> DataFrame:
-    """Linear by row position between known values; leading nulls stay, trailing ones take the last value."""
+    """Linear by row position between known values; leading nulls stay, trailing ones take the last value. Long tables go over chunks."""
+    if chunks.is_long(df):
+        return chunks.interpolated(df, value, order, [*keys], out or value)
     w = Window.partitionBy(*keys).orderBy(order)
     upto = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # growing frames take one pass, shrinking ones a pass per row

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.dates import micros
+from tidewheel.operators import chunks
 from tidewheel.operators.blocks import saved
 
 
@@ -113,13 +114,21 @@ def gaussian(v: np.ndarray, window: int) -> np.ndarray:
 
 
 def smooth(df: DataFrame, keys: list[str], time_col: str, value: str, method: str = "savgol", window: int = 11, out: str = "smooth") -> DataFrame:
+    """Each group's series smoothed; long tables are cut in parts with a window's rows of their neighbours around."""
     fn = {"savgol": savitzky_golay, "gaussian": gaussian}[method]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    if chunks.is_long(df):
+
+        def part(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("_i")
+            return rows.assign(**{out: fn(rows[value].to_numpy(float), window)})[rows["_mine"]].drop(columns=["_i", "_part", "_mine"])
+
+        return chunks.with_halos(df, time_col, keys, window).groupBy(*keys, "_part").applyInPandas(part, f"{fields}, {out} double")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time_col, kind="stable")
         return rows.assign(**{out: fn(rows[value].to_numpy(float), window)})
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.groupBy(*keys).applyInPandas(run, f"{fields}, {out} double")
 
 
