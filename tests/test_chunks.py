@@ -59,3 +59,19 @@ def test_smoothing_in_parts(spark, monkeypatch, method, window):
     assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-9)
     few = df.where("id < 4")
     assert series.smooth(few, ["k"], "t", "v", method, window).count() == few.count()
+
+
+@pytest.mark.parametrize("mode, dev, last", [("zmean", None, False), ("mean", None, True), ("range", None, False), ("second", None, True), ("zmean", 0.8, True), ("zmean", 1e9, True), ("zmean", 0.0, False)])
+def test_doors_over_chunks(spark, monkeypatch, mode, dev, last):
+    df = table(spark, 500, ("a", "b", "n"))
+    same = df.withColumn("t", F.date_trunc("hour", "t")).dropDuplicates(["k", "t"]).withColumn("v", F.round("v", 1))
+    for rows in (df, same):
+        with monkeypatch.context() as m:
+            got, want = both(m, lambda: series.compress(rows.select("k", "t", "v", "id"), ["k"], "t", "v", mode, dev, last))  # noqa: B023
+            assert got == want
+
+
+def test_a_door_that_never_closes_takes_a_round_per_chunk_at_most(spark, monkeypatch):
+    df = spark.range(400).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("t"), F.when(F.col("id") == 390, 50.0).otherwise(0.0).alias("v"), "id")
+    got, want = both(monkeypatch, lambda: series.compress(df, ["k"], "t", "v", dev=1.0))
+    assert got == want and [i for i, _ in want] == [0, 389, 390, 391]

@@ -62,8 +62,12 @@ def _seconds(at: pd.Series, since: pd.Series) -> np.ndarray:
 
 
 def compress(df: DataFrame, keys: list[str], time_col: str, value: str, mode: str = "zmean", dev: float | None = None, keep_last: bool = False) -> DataFrame:
-    """The rows that swinging-door compression keeps of each group."""
+    """The rows that swinging-door compression keeps of each group; long tables go over chunks."""
     schema = df.schema
+    if chunks.is_long(df):
+        from tidewheel.operators.doors import compress_long
+
+        return compress_long(df, keys, time_col, value, mode, dev, keep_last)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=[value]).sort_values(time_col, kind="stable")
