@@ -26,10 +26,12 @@ _own: dict[str, str] = {}
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the folder of spark.checkpoint.dir (a temporary one where that is unset) and read back."""
+    """df written as Parquet to the folder of spark.checkpoint.dir (a temporary one where that is unset in local mode) and read back."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidewheel-"))
     path = f"{root.rstrip('/')}/tidewheel/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import kernels, learning, metrics
+from tidewheel.operators import kernels, learning, linkage, metrics
 from tidewheel.plans.base import Catalogue, rounded
 from tidewheel.plans.timeseries import hourly_grid
 
@@ -201,4 +201,14 @@ def _(read):
     return learning.federated_losses(forest, rows, "user_id", ["h", "d"], "value")
 
 
+@C.add("clustermap_merges")
+def _(read):
+    return linkage.complete_linkage(_profiles(read), "x", "user_id")[0]
+
+
+@C.add("clustermap_order")
+def _(read):
+    return linkage.complete_linkage(_profiles(read), "x", "user_id")[1]
+
+
 QUERIES, ORACLE_SQL = C.queries, C.sql
