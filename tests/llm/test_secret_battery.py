@@ -80,3 +80,51 @@ def test_runs_are_cut_where_no_alphabet_fits(spark):
     got = reported(spark, rows)
     assert sum(sum(x in span for span in got[k]) >= 2 for k, x in enumerate(keys)) >= 27
     assert not any(got[k] for k in range(100, 105))
+
+
+def test_rare_secrets_among_many_names():
+    """A table's cuts, taken from its candidates: of tables with one key of 40 characters, four in five report it."""
+    rng, null, seen = random.Random(11), secrets.base_null(), {}
+    for _ in range(10_000):
+        if f := secrets._tested(identifier(rng)):
+            seen.setdefault(f["size"], {})[f["level"]] = seen.get(f["size"], {}).get(f["level"], 0) + 1
+
+    def reports(s):
+        cut = secrets.cuts(s, null)
+        return sum(n for size, levels in s.items() for lv, n in levels.items() if lv < cut[size])
+
+    assert reports(seen) == 0
+    hits = 0
+    for _ in range(50):
+        f = secrets._tested(draw(rng, ALNUM, 40))
+        one = {size: dict(levels) for size, levels in seen.items()}
+        one[f["size"]][f["level"]] = one[f["size"]].get(f["level"], 0) + 1
+        n = reports(one)
+        assert n <= 1
+        hits += n
+    assert hits >= 40
+
+
+@pytest.mark.parametrize("keys", [0, 5])
+def test_few_secrets_in_a_table_of_names(spark, keys):
+    rng = random.Random(12)
+    names = [identifier(rng) for _ in range(10_000)]
+    secret = [draw(rng, ALNUM, 40) for _ in range(keys)]
+    got = {k for k, v in reported(spark, [(k, f"we then set {x} in the file") for k, x in enumerate(names + secret)]).items() if v}
+    assert got <= set(range(10_000, 10_000 + keys)) and len(got) >= 0.6 * keys
+
+
+def test_the_tail_is_no_smaller_than_what_many_more_strings_show():
+    rng = random.Random(5)
+    levels = {}
+    for _ in range(120_000):
+        if f := secrets._tested(secrets.ordinary(rng.choices(secrets.BASE_WORDS, k=12), rng)):
+            levels.setdefault(f["size"], []).append(f["level"])
+    null = secrets.base_null()
+    for size in (5, 6):
+        p, many = secrets.p_values(null[size]), np.array(levels[size])
+        assert all(a <= b for a, b in zip(p, p[1:], strict=False))
+        for lv in range(0, 120, 5):
+            share = (many <= lv).mean()
+            assert p[lv] >= share - 3 * np.sqrt(max(share, 1 / len(many)) / len(many)), (size, lv)
+    assert secrets.p_values({20: 10})[20] == 1 and secrets.p_values({20: 10})[10] == 1 / 11

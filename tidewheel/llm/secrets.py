@@ -12,7 +12,10 @@ their p-values to one, u, small for regular strings and uniform on [0, 1] for ra
 Control of false reports: the null hypothesis is ordinary text. Its distribution of u, per class of length (powers of
 two), comes from strings made of the corpus's own words, joined with capitals, numbers and signs as identifiers are
 (one per MADE_EVERY characters of every document), and of BASE_WORDS (BASE_MADE per class), so that small corpora have
-one. A candidate's p-value is the share of such strings with a u as large as its own; Benjamini-Hochberg at FALSE_RATE
+one. A candidate's p-value is the share of such strings with a u as large as its own; where fewer than TAIL of them
+have one, it goes on as a power of -log u, Hill's index of the TAIL most random ones less its standard error: else no
+table could report a few secrets among many names, whose p-values have to be under rate / candidates. It is not carried
+on beyond TAIL_END, where the strings' own chance is no power any more. Benjamini-Hochberg at FALSE_RATE
 over all candidates, with a cut of its own in each class of length, decides which are reported as `random`. All u are
 counted in LEVELS logarithmic bins per class, so the driver sees tables of fixed size.
 
@@ -69,7 +72,10 @@ BASE_WORDS = (
     "study such system table take tell than that the their them then there these they thing think this time two under use user value "
     "version very want was water way week well what when where which while who will with woman word work world would write year your"
 ).split()
-MIN_CHARS, FALSE_RATE, LEVELS, MADE_EVERY, BASE_MADE = 12, 0.05, 400, 4000, 4000
+MIN_CHARS, FALSE_RATE, LEVELS, MADE_EVERY, BASE_MADE = 12, 0.05, 400, 4000, 10_000
+#: Ordinary strings of a class whose tail is fitted (and the share of the class, where that is more), the fewest in the
+#: class for a fit, and the level (u of about 1/3) at which it ends.
+TAIL, TAIL_SHARE, TAIL_LEAST, TAIL_END = 30, 0.002, 1000, 9
 
 
 def _upper_tail(z: float) -> float:
@@ -250,20 +256,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(run, f"doc_id {kind}, base array<struct<start:int,kind:int,end:int>>, cands array<struct<start:int,end:int,size:int,level:int>>, nulls array<struct<size:int,level:int>>, base_sha256 string")
 
 
+def p_values(null: dict[int, int]) -> list[float]:
+    """Per level, the chance of an ordinary string at that level or under: their share, one more counted for the candidate
+    itself, and below the level that TAIL of them reach a power fitted to those."""
+    below, total, p, tail = 1, 1 + sum(null.values()), [], max(TAIL, int(TAIL_SHARE * sum(null.values())))
+    for lv in range(LEVELS):
+        below += null.get(lv, 0)
+        p.append(min(1.0, below / total))
+    start = next((lv for lv in range(LEVELS) if p[lv] * total > tail), 0)
+    if total <= TAIL_LEAST or start <= TAIL_END:
+        return p
+    logs = [(math.log((start + 1) / (max(lv, TAIL_END) + 0.5)), n) for lv, n in null.items() if lv <= start]
+    held, spread = sum(n for _, n in logs), sum(x * n for x, n in logs)
+    index = held / spread * (1 - held**-0.5)
+    return [p[start] * ((max(lv, TAIL_END) + 1) / (start + 1)) ** index if lv < start else p[lv] for lv in range(LEVELS)]
+
+
 def cuts(seen: dict[int, dict[int, int]], null: dict[int, dict[int, int]], rate: float = FALSE_RATE) -> dict[int, int]:
     """Per class of length, the level under which candidates are reported: Benjamini-Hochberg over all of them.
 
-    The p-value of a level is the share of the class's ordinary strings at that level or under, one more counted for the
-    candidate itself. Classes without ordinary strings take those of the next smaller one: longer strings are told apart better.
+    Classes without ordinary strings take those of the next smaller one: longer strings are told apart better.
     """
     p, pooled = {}, {}
     for size in sorted(set(seen) | set(null)):
-        if null.get(size):
-            pooled = null[size]
-        below, total = 1, 1 + sum(pooled.values())
-        for lv in range(LEVELS):
-            below += pooled.get(lv, 0)
-            p[size, lv] = min(1.0, below / total)
+        pooled = null.get(size) or pooled
+        p |= {(size, lv): x for lv, x in enumerate(p_values(pooled))}
     total, reported, limit = sum(sum(v.values()) for v in seen.values()), 0, 0.0
     for value, n in sorted((p[size, lv], n) for size, levels in seen.items() for lv, n in levels.items()):
         reported += n
