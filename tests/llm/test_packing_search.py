@@ -89,3 +89,18 @@ def test_moves_and_exchanges_by_hand():
     assert used([5, 3, 4, 5, 2, 1], 10) == 2
     assert used([7, 5, 2, 3, 3], 10) == 2  # two for one: 2 and 3 against 5
     assert used([], 10) == 0 and used([10], 10) == 1 and used([10, 10, 1], 10) == 3
+
+
+def test_groups_never_need_more_than_one_global_best_fit(spark):
+    rng = np.random.default_rng(1)
+    for trial in range(4):
+        lengths = np.clip(np.exp(rng.normal(5.5 + trial / 4, 1.2, 3000)), 2, 2048).astype(int).tolist()
+        cut = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+        got = packing.pack(cut, 2048, 1000).collect()
+        fill, places = {}, {}
+        for r in got:
+            fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sorted(r.doc_id for r in got) == list(range(3000)) and max(fill.values()) <= 2048
+        assert all(sum(n for _, n in sorted(p)[:k]) == o for p in places.values() for k, (o, _) in enumerate(sorted(p)))
+        assert len(fill) <= best_fit_decreasing(lengths, 2048)

@@ -5,8 +5,9 @@ pieces, the remainder first. Pieces are dealt by hash into groups of about GROUP
 makes the bins to start from. The local search then takes the least filled bin that still can and gives one or two of its
 pieces to another underfull bin, against one of that bin's pieces or none, by the exchange that raises the sum of
 squared fills most, until bins empty: it ends where the bins are as few as their tokens allow or no move, one-for-one
-or two-for-one exchange between any two underfull bins raises the sum. Each group wastes at most one
-partly filled bin by itself wherever the first end is reached, whatever the number of groups.
+or two-for-one exchange between any two underfull bins raises the sum. Where there are several groups, each hands its
+least filled bins on, a part of its pieces (the last FAN_IN groups all that aren't full), and FAN_IN groups search together over what they handed on, level by level
+in a tree, so that partly filled bins of all groups meet; a level starts from the bins as they are and never has more.
 
 The encoder is the byte-level BPE of the tokenizer file, run by tiktoken on the same vocabulary and pattern
 (ids equal those of the `tokenizers` library, which tests compare, in a quarter of its time).
@@ -20,8 +21,8 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from tidewheel.llm.common import saved
 
 MAX_TOKENS, END = 2048, 0
 GROUP_PIECES = 8192
+#: Groups that search together over the bins they hand on; each hands on that part of a group's pieces.
+FAN_IN = 4
 
 
 @lru_cache(2)
@@ -178,16 +181,22 @@ def local_search(bin_of: np.ndarray, fill: np.ndarray, lengths: np.ndarray, capa
     return state.place[: len(lengths)]
 
 
-def bins_of(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of each piece: the search from first fit in the order given and, where that isn't provably best, also from longest first."""
-    found = local_search(*first_fit(lengths, capacity), lengths, capacity)
+def bins_of(lengths: np.ndarray, capacity: int, start: np.ndarray | None = None) -> np.ndarray:
+    """The bin of each piece: the search from the bins at the start or else from first fit in the order given and, where
+    that isn't provably best, also from longest first (and from first fit)."""
+    given = np.arange(len(lengths))
     fewest = -(-int(lengths.sum()) // capacity)
-    if len(np.unique(found)) > fewest:
-        order = np.argsort(-lengths, kind="stable")
-        again = np.empty_like(found)
-        again[order] = local_search(*first_fit(lengths[order], capacity), lengths[order], capacity)
-        if len(np.unique(again)) < len(np.unique(found)):
-            return again
+    found = start
+    for order in (given, np.argsort(-lengths, kind="stable")):
+        if start is not None and order is given:
+            again = local_search(start, np.bincount(start, lengths).astype(np.int64), lengths, capacity)
+        else:
+            again = np.empty(len(lengths), np.int64)
+            again[order] = local_search(*first_fit(lengths[order], capacity), lengths[order], capacity)
+        if found is None or len(np.unique(again)) < len(np.unique(found)):
+            found = again
+        if len(np.unique(found)) <= fewest:
+            break
     return found
 
 
@@ -195,20 +204,46 @@ def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS, group_pieces: int = GROUP
     """The rows of pieces() with sequence_id and offset."""
     groups = max(1, -(-cut.count() // group_pieces))
     names = [f.name for f in cut.schema.fields]
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cut.schema.fields)}, sequence_id long, offset long, open boolean"
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
+    # what a group hands on; the last FAN_IN groups hand on all bins that aren't full
+    handed_on = lambda groups: group_pieces // FAN_IN if groups > FAN_IN else FAN_IN * group_pieces
+    share = handed_on(groups)
+
+    def placed(rows: pd.DataFrame, bins: np.ndarray, first_id: int, share: int) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
-        bins = bins_of(lengths, max_tokens)
+        fill = np.bincount(bins, lengths)
+        under = np.flatnonzero((fill > 0) & (fill < max_tokens))
+        under = under[np.argsort(fill[under], kind="stable")]
+        held = np.bincount(bins)[under]
+        handed = np.isin(bins, under[np.cumsum(held) - held < share])
         order = np.argsort(bins, kind="stable")
-        rows, lengths, bins = rows.iloc[order], lengths[order], bins[order]
+        rows, lengths, bins, handed = rows.iloc[order], lengths[order], bins[order], handed[order]
         end = np.cumsum(lengths)
         new = np.r_[True, bins[1:] != bins[:-1]]
         offset = end - lengths - (end - lengths)[new][np.cumsum(new) - 1]
-        return rows[names].assign(sequence_id=(int(key[0]) << 32) + np.cumsum(new) - 1, offset=offset)
+        return rows[names].assign(sequence_id=first_id + np.cumsum(new) - 1, offset=offset, open=handed)
+
+    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
+        return placed(rows, bins_of(rows["length"].to_numpy(np.int64), max_tokens), int(key[0]) << 32, share)
+
+    def again(level: int, share: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["sequence_id", "offset"], kind="stable").reset_index(drop=True)
+            start = np.unique(rows["sequence_id"], return_inverse=True)[1]
+            return placed(rows, bins_of(rows["length"].to_numpy(np.int64), max_tokens, start), level << 58 | int(key[0]) << 32, share)
+
+        return place
 
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("_group").applyInPandas(place, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cut.schema.fields)}, sequence_id long, offset long")
+    out, done, level = dealt.groupBy("_group").applyInPandas(place, schema), [], 0
+    while groups > 1:
+        here, groups, level = saved(out, "pack-level"), -(-groups // FAN_IN), level + 1
+        done.append(here.where("not open"))
+        parent = (F.shiftright(F.col("sequence_id").bitwiseAND((1 << 58) - 1), 32) / FAN_IN).cast("int")
+        out = here.where("open").groupBy(parent.alias("_group")).applyInPandas(again(level, handed_on(groups)), schema)
+    return reduce(DataFrame.unionByName, done, out).drop("open")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
