@@ -192,6 +192,27 @@ def kmedoids(df: DataFrame, array_col: str, key: str, k: int, rounds: int = 10,
     return rows.withColumn("_b", best).select(key, F.col("_b.c").alias("cluster"), F.get(ids, F.col("_b.c")).alias("medoid"), F.col("_b.d").alias("distance"))
 
 
+def kmedoids_starts(df: DataFrame, array_col: str, key: str, k: int, starts: int = 5, rounds: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """kmedoids() from several starts: the labels of the best one, and a row per start: silhouette, Calinski-Harabasz,
+    Davies-Bouldin, the mean of its ranks by these (1 is the best, equal scores share their ranks) and whether it is best.
+
+    A tie of mean ranks goes to the first start.
+    """
+    found, scores = [], []
+    for start in range(starts):
+        labels = saved(kmedoids(df, array_col, key, k, rounds, seed + start), "medoid-start")
+        rows = df.select(key, F.col(array_col).cast("array<double>").alias("x")).join(labels.select(key, "cluster"), key)
+        own = cluster_scores(rows, "x", "cluster").first()
+        found.append(labels)
+        scores.append((start, silhouette(rows, "x", "cluster", key).first()[0], own.calinski_harabasz, own.davies_bouldin))
+    table = pd.DataFrame(scores, columns=["start", "silhouette", "calinski_harabasz", "davies_bouldin"])  # a row per start
+    ranks = [table["silhouette"].rank(ascending=False), table["calinski_harabasz"].rank(ascending=False), table["davies_bouldin"].rank()]
+    table["mean_rank"] = sum(ranks) / len(ranks)
+    best = int(table["mean_rank"].fillna(np.inf).to_numpy().argmin())
+    table["best"] = table["start"] == best
+    return found[best], df.sparkSession.createDataFrame(table, "start int, silhouette double, calinski_harabasz double, davies_bouldin double, mean_rank double, best boolean")
+
+
 def nmf(v: np.ndarray, k: int, rounds: int = 200, w: np.ndarray | None = None, h: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative factors by multiplicative updates; given h, only w is fitted."""
     rng = np.random.default_rng(seed)

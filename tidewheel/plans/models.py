@@ -57,6 +57,11 @@ def _(read):
     return learning.kmedoids(embedded(read), "x", "vec_id", 4)
 
 
+@C.add("kmedoids_starts")
+def _(read):
+    return learning.kmedoids_starts(embedded(read), "x", "vec_id", 4, 3)[1]
+
+
 @C.add("pca_feature_importance")
 def _(read):
     return learning.pca_importance(read("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])

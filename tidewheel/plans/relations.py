@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import aggregate, binning, clean, normalize
+from tidewheel.operators import aggregate, binning, clean, normalize, sampling
 from tidewheel.plans.base import Catalogue, rounded
 
 C = Catalogue()
@@ -373,4 +373,11 @@ def _(read):
     return modes.withColumn("mode", F.concat(F.lit("OM "), F.row_number().over(Window.orderBy("p_size", "p_brand")).cast("string")))
 
 
+@C.add("sample_with_replacement", """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('0/' || c_custkey) || c_custkey) AS i, count(*) OVER () AS total FROM customer),
+    d AS (SELECT CAST(floor(CAST(CAST('0x' || substr(md5('0:' || id), 1, 13) AS BIGINT) AS DOUBLE) * (SELECT count(*) FROM customer) / 4503599627370496) AS BIGINT) + 1 AS i, count(*) AS n FROM range(2000) t(id) GROUP BY 1)
+    SELECT c_custkey, unnest(range(1, n + 1)) AS copy FROM r JOIN d USING (i)""")
+def _(read):
+    return sampling.with_replacement(read("customer").select("c_custkey"), 2000, "c_custkey")
+
+
 QUERIES, ORACLE_SQL = C.queries, C.sql
