@@ -83,6 +83,16 @@ def test_regex_of_names(spark):
     assert all(re.fullmatch(r, n) for n, r in known.items()) and got[got.name.isna()].regex.isna().all()
 
 
+def test_numbers_in_names(spark):
+    names = ["run_12_3.5kg.csv", "run_7_10.25kg.csv", "V100_20N", "v1.2.3", "0.5", "10.0.0.1", "x7.5", "plain", "", None, "3.14.txt"]
+    got = {(r.template, r.position): tuple(r)[2:] for r in patterns.numbered_parts(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()}
+    assert got["run_\\d_\\d.\\dkg.csv", 2] == ("run", "int", 2, 2, 7, 12) and got["run_\\d_\\d.\\dkg.csv", 4] == ("kg", "float", 2, 2, 3.5, 10.25)
+    assert got["V\\d_\\dN", 1] == ("V", "int", 1, 1, 100, 100) and got["V\\d_\\dN", 3] == ("N", "int", 1, 1, 20, 20)
+    assert [got["v\\d.\\d.\\d", k][:2] for k in (1, 3, 5)] == [("v", "int")] * 3
+    assert got["\\d.\\d", 0] == ("part0", "float", 1, 1, 0.5, 0.5) and got["\\d.\\d.txt", 0][:2] == ("part0", "float") and got["x\\d.\\d", 1][:2] == ("x", "float")
+    assert sum(k[0] == "\\d.\\d.\\d.\\d" for k in got) == 4 and not any(k[0] in ("plain", "") for k in got)
+
+
 @pytest.mark.parametrize("n", [0, 1, 500, 999, 1000, 2000])
 def test_sample_is_of_the_smallest_hashes(spark, n):
     df = spark.range(1000).withColumn("extra", F.lit("x"))

@@ -54,6 +54,34 @@ def named(names: DataFrame, column: str) -> DataFrame:
     return rows.join(listed, "_shape", "left").withColumn("regex", text).drop("_shape", "w")
 
 
+#: Tokens of a name: a decimal number that is no piece of a dotted chain (as in versions and addresses), a whole number, a word, anything else.
+TOKENS = r"(?<![0-9.])[0-9]+[.][0-9]+(?![.]?[0-9])|[0-9]+|[A-Za-z]+|[^A-Za-z0-9]+"
+
+
+def tokens(names: DataFrame, column: str) -> DataFrame:
+    r"""names with _tokens and template: decimal numbers as \d.\d, whole ones as \d, the rest as it is."""
+    rows = names.where(F.col(column).isNotNull()).withColumn("_tokens", F.regexp_extract_all(column, F.lit(TOKENS), F.lit(0)))
+    shape = F.transform("_tokens", lambda t: F.when(t.rlike("^[0-9]+[.]"), F.lit("\\d.\\d")).when(t.rlike("^[0-9]"), F.lit("\\d")).otherwise(t))
+    return rows.withColumn("template", F.array_join(shape, ""))
+
+
+def numbered_parts(names: DataFrame, column: str) -> DataFrame:
+    """template, position (of the token, from 0), part, kind (float or int), n, n_values, low, high: the numbers in names of
+    one template.
+
+    A number is named by the word that is joined to it (a unit behind it first, then one in front), else by the nearest
+    word before it, else part<position>. Names without numbers, and null ones, have no rows.
+    """
+    word = lambda t: t.rlike("^[A-Za-z]+$")
+    near = lambda i: F.when(word(F.get("_tokens", i)), F.get("_tokens", i))
+    rows = tokens(names, column).select("template", "_tokens", F.posexplode("_tokens").alias("position", "_t")).where(F.col("_t").rlike("^[0-9]"))
+    before = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.slice("_tokens", F.lit(1), F.col("position")), word)), -1)
+    part = F.coalesce(near(F.col("position") + 1), near(F.col("position") - 1), before, F.concat(F.lit("part"), F.col("position").cast("string")))
+    kind = F.when(F.col("_t").contains("."), F.lit("float")).otherwise(F.lit("int"))
+    value = F.col("_t").cast("double")
+    return rows.groupBy("template", "position", part.alias("part"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_t").alias("n_values"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
 def exact_templates(names: DataFrame, column: str) -> DataFrame:
     return names.where(F.col(column).isNotNull()).groupBy(digit_template(F.col(column)).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -258,6 +258,18 @@ def _(read):
     return read("part").select("p_partkey", text.prettify(F.col("p_type")).alias("pretty"))
 
 
+@C.add("filename_numbers", r"""WITH f AS (SELECT o_orderkey AS id, 'order_' || o_orderkey || '_' || o_orderstatus || '_' || CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) || 'usd.' || CAST(o_custkey % 7 AS VARCHAR) AS name FROM orders),
+    l AS (SELECT id, regexp_extract_all(name, '[0-9]+[.][0-9]+|[0-9]+|[A-Za-z]+|[^A-Za-z0-9]+') AS t FROM f),
+    u AS (SELECT id, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS position, array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+[.]') THEN '\d.\d' WHEN regexp_matches(x, '^[0-9]') THEN '\d' ELSE x END), '') AS template FROM l),
+    w AS (SELECT *, CASE WHEN regexp_matches(tok, '^[A-Za-z]+$') THEN tok END AS word FROM u),
+    p AS (SELECT *, coalesce(lead(word) OVER o, lag(word) OVER o, last_value(word IGNORE NULLS) OVER (PARTITION BY id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'part' || position) AS part FROM w WINDOW o AS (PARTITION BY id ORDER BY position))
+    SELECT template, CAST(position AS INTEGER) AS position, part, CASE WHEN contains(tok, '.') THEN 'float' ELSE 'int' END AS kind, count(*) AS n, count(DISTINCT tok) AS n_values, min(CAST(tok AS DOUBLE)) AS low, max(CAST(tok AS DOUBLE)) AS high
+    FROM p WHERE regexp_matches(tok, '^[0-9]') GROUP BY ALL""")
+def _(read):
+    name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"), F.lit("_"), "o_orderstatus", F.lit("_"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("usd."), (F.col("o_custkey") % 7).cast("string"))
+    return patterns.numbered_parts(read("orders").select(name.alias("name")), "name")
+
+
 @C.add("filename_template", r"""SELECT regexp_replace(c_name, '[0-9]+', '\\d{' || CAST(length(regexp_extract(c_name, '[0-9]+')) AS VARCHAR) || '}') AS template, count(*) AS n FROM customer GROUP BY 1""")
 def _(read):
     return patterns.exact_templates(read("customer"), "c_name")
