@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import kernels, learning, linkage, metrics
+from tidewheel.operators import federated, kernels, learning, linkage, metrics
 from tidewheel.plans.base import Catalogue, rounded
 from tidewheel.plans.timeseries import hourly_grid
 
@@ -216,4 +216,11 @@ def _(read):
     return linkage.complete_linkage(_profiles(read), "x", "user_id")[1]
 
 
+@C.add("federated_global_forest")
+def _(read):
+    rows = read("events").select("event_id", "user_id", F.hour("ts").cast("double").alias("h"), F.weekday("ts").cast("double").alias("d"), "value")
+    forest = learning.local_forests(rows, "user_id", ["h", "d"], "value", trees=2, depth=3)
+    return federated.global_predictions(forest, rows, "event_id", ["h", "d"])
+
+
 QUERIES, ORACLE_SQL = C.queries, C.sql
