@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,21 @@ def test_streams(spark, tmp_path):
     out = drained(windows.compressed(stream, "k", "ts", "v", 0.3), "door", "append")
     kept = series.swinging_door(__import__("numpy").arange(9.0) * 6e7, __import__("numpy").array(v), 0.3)
     assert sorted(r.v for r in out if r.k == "a") == sorted(v[i] for i in kept)
+
+
+def test_a_door_without_rows_ends(spark, tmp_path):
+    """Key a goes silent at minute 5; rows of b move the watermark past its idle time, so a's last point is kept."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    parts = [[("a", at(m), 1.0) for m in range(6)], [("b", at(200), 2.0)], [("b", at(201), 2.0)], [("a", at(202), 9.0), ("b", at(203), 2.0)]]
+    schema = "k string, ts timestamp, v double"
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"s{i}"))
+        for f in (tmp_path / f"s{i}").glob("part-*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            f.rename(tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = windows.compressed(stream, "k", "ts", "v", 0.5, idle_seconds=600).writeStream.format("memory").queryName("ended").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = sorted((r.k, (r.t - 1704067200000000) // 60_000_000, r.v) for r in spark.table("ended").collect())
+    assert got == [("a", 0, 1.0), ("a", 5, 1.0), ("a", 202, 9.0), ("b", 200, 2.0)]

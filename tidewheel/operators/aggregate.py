@@ -84,11 +84,20 @@ def relevancy(df: DataFrame, run: str, event: str) -> DataFrame:
     return tf.join(idf, event).select(run, event, "tf", "idf", (F.col("tf") * F.col("idf")).alias("score"))
 
 
+#: Values of a key in a grid.
+MOST_VALUES = 100_000
+
+
 def padded(df: DataFrame, keys: list[str], counts: list[str], fill: int = 0) -> DataFrame:
-    """One row for every combination of the keys' values, the counts of those that df lacks filled: values of each key are few, their grid is made of them."""
+    """One row for every combination of the keys' values, the counts of those that df lacks filled.
+
+    The grid is made of the keys' values, MOST_VALUES of each at most: more raise a ValueError before anything is broadcast.
+    """
     grid = None
     for k in keys:
         values = df.select(k).where(F.col(k).isNotNull()).distinct()
+        if values.limit(MOST_VALUES + 1).count() > MOST_VALUES:
+            raise ValueError(f"more than {MOST_VALUES} values of {k}: a grid of them is no table to look at")
         grid = values if grid is None else grid.join(F.broadcast(values))
     return grid.join(df, keys, "left").withColumns({c: F.coalesce(c, F.lit(fill)) for c in counts})
 

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Rows of a block at most; smaller tables have smaller blocks, which changes how the work is dealt and no result.
 BLOCK = 1024
 
+#: Blocks whose numbers are broadcast at most; more of them are shuffled.
+LISTED = 1_000_000
+
 Block = namedtuple("Block", "number x columns")
 
 _own: dict[str, str] = {}
@@ -84,7 +87,8 @@ def _blocks(batch: pd.DataFrame) -> Iterator[tuple[int, Block]]:
 
 def against_all(blocks: DataFrame, run: Callable[[Block, Iterator[Block]], pd.DataFrame], schema: str) -> DataFrame:
     """The rows that run(block, every block of its part) gives for each block."""
-    mine = F.broadcast(blocks.select("part", F.col("block").alias("mine")))
+    mine = blocks.select("part", F.col("block").alias("mine"))
+    mine = F.broadcast(mine) if mine.limit(LISTED + 1).count() <= LISTED else mine  # two numbers a block
     pairs = blocks.join(mine, "part").repartition(tasks(blocks.sparkSession), "mine").sortWithinPartitions("mine", F.col("block") != F.col("mine"), "block")
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,14 +26,22 @@ def sessions(stream: DataFrame, time_col: str, gap: str, keys: list[str], late:
     return out.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def compressed(stream: DataFrame, key: str, time_col: str, value: str, dev: float) -> DataFrame:
+def compressed(stream: DataFrame, key: str, time_col: str, value: str, dev: float, idle_seconds: float | None = None, late: str = "10 minutes") -> DataFrame:
     """Swinging-door compression over a stream: key, t (microseconds), v of kept points; the open door is the state.
 
-    Rows of a key are put in order within each micro-batch; later ones than the door's last point are skipped.
+    Rows of a key are put in order within each micro-batch; later ones than the door's last point are skipped. With
+    idle_seconds a key that has no rows for that time of the stream (its watermark, `late` behind the newest row) ends:
+    its last point is kept and its state dropped, and a row after that begins a new series.
     """
+    idle_ms = None if idle_seconds is None else int(idle_seconds * 1000)
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).dropna().sort_values("t", kind="stable")
+        if state.hasTimedOut:
+            t0, _, t1, v1, _, _ = state.get
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], "t": [t1], "v": [float(v1)]}).iloc[: int(t1 > t0)]
+            return
+        rows = pd.concat(list(frames)).dropna(subset=["t", "v"]).sort_values("t", kind="stable")
         t0, v0, t1, v1, hi, lo = state.get if state.exists else (None, None, None, None, -np.inf, np.inf)
         kept = []
         for t, v in zip(rows["t"].tolist(), rows["v"].tolist(), strict=True):
@@ -51,8 +59,11 @@ def compressed(stream: DataFrame, key: str, time_col: str, value: str, dev: floa
                 t1, v1 = t, v
         if t0 is not None:
             state.update((t0, v0, t1, v1, float(hi), float(lo)))
+            if idle_ms is not None:
+                state.setTimeoutTimestamp(max(t1 // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({key: [group[0]] * len(kept), "t": [k[0] for k in kept], "v": [float(k[1]) for k in kept]})
 
-    rows = stream.select(key, micros(F.col(time_col)).alias("t"), F.col(value).cast("double").alias("v"))
+    timed = stream if idle_ms is None else stream.withWatermark(time_col, late)
+    rows = timed.select(key, *([time_col] if idle_ms is not None else []), micros(F.col(time_col)).alias("t"), F.col(value).cast("double").alias("v"))
     kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, t long, v double", "t0 long, v0 double, t1 long, v1 double, hi double, lo double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, t long, v double", "t0 long, v0 double, t1 long, v1 double, hi double, lo double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout)
