@@ -3,7 +3,9 @@
 1. Every text is parsed by the same rounds of run and pair naming (recompression.py). Each window of SIZE words
    has an anchor, a name that its words alone decide; consecutive windows with one anchor form a stretch. A
    task emits one row per stretch: anchor, a hash of the stretch's words, document, start, windows. Anchor and hash
-   come from independent hashes of the words, so equal stretches are told by 128 bits.
+   come from independent hashes of the words. The anchor stands for the words under its symbol only; what a stretch has
+   outside it is told apart by the 64 bits of its hash alone, and the words themselves are never compared: two different
+   stretches of one anchor would be taken for equal with a chance of 2**-64 a pair.
 2. Grouped by anchor: an anchor seen once can't be part of a repeat, and its stretch is done. A stretch whose
    words were seen earlier under the same anchor repeats that one as a whole. What is left is the first
    occurrence of each stretch of an anchor that has several: at the borders of repeats.
