@@ -34,8 +34,8 @@ from tidewheel.llm.common import saved
 
 MAX_TOKENS, END = 2048, 0
 GROUP_PIECES = 8192
-#: Groups that search together over the bins they hand on; each hands on that part of a group's pieces.
-FAN_IN = 4
+#: Groups that search together over the bins they hand on, and the part of a group's pieces that each hands on.
+FAN_IN, HANDED = 4, 16
 
 
 @lru_cache(2)
@@ -207,7 +207,7 @@ def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS, group_pieces: int = GROUP
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cut.schema.fields)}, sequence_id long, offset long, open boolean"
 
     # what a group hands on; the last FAN_IN groups hand on all bins that aren't full
-    handed_on = lambda groups: group_pieces // FAN_IN if groups > FAN_IN else FAN_IN * group_pieces
+    handed_on = lambda groups: group_pieces // HANDED if groups > FAN_IN else FAN_IN * group_pieces
     share = handed_on(groups)
 
     def placed(rows: pd.DataFrame, bins: np.ndarray, first_id: int, share: int) -> pd.DataFrame:
