@@ -25,6 +25,22 @@ def shuffled(spark, run):
     return out, sum(n for k, n in written().items() if k not in before)
 
 
+def test_losses_shuffle_rows_and_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(learning, "LOSS_ROWS", 40)
+    monkeypatch.setattr(learning, "LOSS_TREES", 16)
+    rng = np.random.default_rng(0)
+    e = pd.DataFrame({"w": np.repeat(np.arange(61), [110] + [6] * 60), "a": rng.integers(0, 5, 470).astype(float)})
+    e["y"] = rng.random(470) + (e.a > 2)
+    df = spark.createDataFrame(e).repartition(3)
+    forest = spark.createDataFrame(learning.local_forests(df, "w", ["a"], "y", trees=1, depth=2).toPandas())
+    got, records = shuffled(spark, lambda: learning.federated_losses(forest, df, "w", ["a"], "y").toPandas())
+    assert len(got) == 61 * 61 and records < 61 * 61
+    rmse = got.set_index(["w", "donor"]).rmse
+    for t in forest.toPandas().itertuples():
+        off = (learning.grown(json.loads(t.tree), e[["a"]].to_numpy()) - e.y.to_numpy()) ** 2
+        assert np.sqrt(pd.Series(off).groupby(e.w).mean()).to_numpy() == pytest.approx([rmse[w, t.w] for w in range(61)])
+
+
 def test_global_forest_shuffles_points(spark, monkeypatch):
     monkeypatch.setattr(federated, "LOSS_ROWS", 100)
     monkeypatch.setattr(federated, "LOSS_TREES", 4)
