@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewheel.operators import federated, learning
+from tidewheel.operators import federated, learning, metrics
 
 
 def shuffled(spark, run):
@@ -53,3 +53,11 @@ def test_global_forest_shuffles_points(spark, monkeypatch):
     want = np.mean([learning.grown(json.loads(t), e[["a"]].to_numpy()) for t in forest.toPandas().tree], axis=0)
     assert got.sort_values("id").prediction.to_numpy() == pytest.approx(want) and (got.trees == 60).all()
     assert records < 4500  # the rows twice, and the points
+
+
+def test_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "TASK_PAIRS", 40)
+    df = spark.createDataFrame([(k, float(k), 350.0 * (k % 2)) for k in range(20)], "k long, x double, w double").coalesce(1)
+    for kind, angular in (("euclidean", []), ("mixed", ["w"])):
+        out = metrics.pairwise(df, df, ("k", "k"), ["x"], angular, kind=kind)
+        assert out.count() == 400 and out.rdd.getNumPartitions() == 10

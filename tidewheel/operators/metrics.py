@@ -162,7 +162,9 @@ def mahalanobis(df: DataFrame, columns: list[str], out: str = "distance") -> Dat
 
 
 #: Rows of the right side up to which pairwise distances broadcast it; beyond, both sides are dealt in blocks.
-BROADCAST_ROWS, BLOCKS = 10_000, 64
+BROADCAST_ROWS, BLOCKS = 500_000, 64
+#: Pairs that a task of pairwise() makes, as long as there are fewer than PAIR_TASKS tasks.
+TASK_PAIRS, PAIR_TASKS = 2_000_000, 8_000
 
 
 def pairwise(left: DataFrame, right: DataFrame, ids: tuple[str, str], columns: list[str], angular: list[str] = (), boundary: float = 360.0, kind: str = "euclidean") -> DataFrame:
@@ -171,13 +173,12 @@ def pairwise(left: DataFrame, right: DataFrame, ids: tuple[str, str], columns: l
 
     a = left.select(F.col(ids[0]).alias("a"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate([*columns, *angular])))
     b = right.select(F.col(ids[1]).alias("b"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate([*columns, *angular])))
-    if len(b.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
-        both = a.join(F.broadcast(b))
-    else:
-        both = a.withColumn("_block", F.pmod(F.xxhash64("a"), F.lit(BLOCKS))).join(b.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), "_block")
+    n_b = b.count()
+    a = a.repartition(max(1, min(PAIR_TASKS, a.count() * n_b // TASK_PAIRS)))  # a number of partitions that adaptive execution keeps: the input is small, the pairs are many
+    both = a.crossJoin(F.broadcast(b) if n_b <= BROADCAST_ROWS else b.repartition(BLOCKS))
     n = len(columns)
     if kind == "euclidean":
-        distance = F.sqrt(sum((F.pow(F.col(f"_a{i}") - F.col(f"_b{i}"), 2) for i in range(n)), F.lit(0.0)))
+        distance = F.sqrt(sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) * (F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(n)), F.lit(0.0)))
     else:
         distance = sum((F.abs(F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(n)), F.lit(0.0)) + sum((angular_distance(F.col(f"_a{i}"), F.col(f"_b{i}"), boundary) for i in range(n, n + len(angular))), F.lit(0.0))
     return both.select("a", "b", distance.alias("distance"))
