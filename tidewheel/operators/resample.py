@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,76 @@ def rolling(df: DataFrame, time_col: str, hours: float, aggs: dict[str, Column],
     return rows.withColumns({n: c.over(w) for n, c in aggs.items()}).where(F.col("_own").eqNullSafe(F.col("_part"))).drop("_own", "_part")
 
 
+class _Bounds(BaseIndexer):
+    """Windows from given first to given last rows."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.first, self.end
+
+
+def _medians(v: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Medians of the known values in windows; ranks stand for values, so that infinite ones and NaN (the largest) are values too."""
+    levels, rank = np.unique(v[known], return_inverse=True)
+    ranks = np.full(len(v), np.nan)
+    ranks[known] = rank
+    rolled = pd.Series(ranks).rolling(_Bounds(first=first, end=end), min_periods=1)
+    low, high = (rolled.quantile(0.5, interpolation=way).to_numpy() for way in ("lower", "higher"))
+    out, some = np.full(len(v), np.nan), ~np.isnan(low)
+    a, b = levels[low[some].astype(int)], levels[high[some].astype(int)]
+    out[some] = np.where(a == b, a, 0.5 * a + 0.5 * b)
+    return out
+
+
+def _means(v: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Means of the known values in windows: blocks are a window long, so a window is the end of a block and the start of the next.
+
+    Both are running sums within a block; nothing is subtracted.
+    """
+    x, n = np.where(known, v, 0.0), np.r_[0, np.cumsum(known)]
+    cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(v)]
+    up, down = np.empty(len(v)), np.zeros(len(v) + 1)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        up[a:b] = np.cumsum(x[a:b])
+        down[a:b] = np.cumsum(x[a:b][::-1])[::-1]
+    start = cuts[np.searchsorted(cuts, np.arange(len(v)), "right") - 1]
+    total = up[end - 1] + np.where(first < start, down[first], 0.0)
+    count = n[end] - n[first]
+    return np.where(count > 0, total / np.maximum(count, 1), np.nan)
+
+
+def rolling_values(df: DataFrame, time_col: str, hours: float, stats: dict[str, tuple[str, str]], keys: list[str] = (), stretch: int = 8) -> DataFrame:
+    """rolling() for medians and means, {name: ("median" or "mean", column)}, whose cost doesn't grow with the rows of a window.
+
+    A window aggregate of Spark reads a whole window for each row. Here a stretch of time is a group: medians move along
+    an ordered list, means are made of running sums. A task holds a stretch and one window before it.
+    """
+    width = int(hours * 3.6e9) - 1
+    at = micros(F.col(time_col))
+    part = lambda t: F.floor(t / ((width + 1) * stretch)).cast("long")
+    sources = list(dict.fromkeys(c for _, c in stats.values()))
+    known = {f"_known{i}": F.col(c).isNotNull() for i, c in enumerate(sources)} | {f"_value{i}": F.col(c).cast("double") for i, c in enumerate(sources)}
+    rows = df.withColumns({"_at": at, "_own": part(at)} | known).withColumn("_part", F.explode_outer(F.sequence("_own", part(F.col("_at") + width))))
+    kept = df.columns
+
+    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at", kind="stable")
+        if rows["_at"].isna().any():  # such rows are a group of their own, and each other's window
+            t = block = np.zeros(len(rows), np.int64)
+            mine = np.ones(len(rows), bool)
+        else:
+            t = rows["_at"].to_numpy().astype(np.int64)
+            mine, block = (rows["_own"] == rows["_part"]).to_numpy(), t // (width + 1)
+        first, end = np.searchsorted(t, t - width, "left"), np.searchsorted(t, t, "right")
+        out = rows[kept].copy()
+        for name, (kind, column) in stats.items():
+            k = sources.index(column)
+            out[name] = {"median": _medians, "mean": _means}[kind](rows[f"_value{k}"].to_numpy(float), rows[f"_known{k}"].to_numpy(bool), first, end, block)
+        return out[mine]
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{n}` double" for n in stats)])
+    return rows.groupBy(*keys, "_part").applyInPandas(run, fields)
+
+
 def calendar_lag(df: DataFrame, time_col: str, value: str, lags: dict[str, str], keys: list[str] = ()) -> DataFrame:
     """The value at the same group's time minus an interval (not so many rows before): a self-join on shifted times."""
     out = df

@@ -44,12 +44,12 @@ for _agg, _fn, _zero in (("mean", F.avg, False), ("median", lambda c: F.percenti
 
 @C.add("rolling_median_6h", "SELECT event_id, round(median(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
 def _(read):
-    return resample.rolling(read("events"), "ts", 6, {"rolling": F.percentile("value", 0.5)}, ["event_type"]).select("event_id", F.round("rolling", 6).alias("rolling"))
+    return resample.rolling_values(read("events").select("event_id", "event_type", "ts", "value"), "ts", 6, {"rolling": ("median", "value")}, ["event_type"]).select("event_id", F.round("rolling", 6).alias("rolling"))
 
 
 @C.add("rolling_mean_30m", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1799999999 MICROSECONDS PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
 def _(read):
-    return resample.rolling(read("events"), "ts", 0.5, {"rolling": F.avg("value")}, ["event_type"]).select("event_id", F.round("rolling", 6).alias("rolling"))
+    return resample.rolling_values(read("events").select("event_id", "event_type", "ts", "value"), "ts", 0.5, {"rolling": ("mean", "value")}, ["event_type"]).select("event_id", F.round("rolling", 6).alias("rolling"))
 
 
 @C.add("calendar_lag_1d_7d", f"""WITH h AS ({_HOURLY})
