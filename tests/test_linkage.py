@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from tests.test_block_costs import shuffled
 from tidewheel.operators import linkage
 from tidewheel.plans.catalogue import QUERIES
 
@@ -48,3 +49,16 @@ def test_queries_hold_every_user(spark):
     assert len(merges) == users - 1 and max(r.size for r in merges) == users
     order = sorted(r.position for r in QUERIES["clustermap_order"](spark, sf).collect())
     assert order == list(range(users))
+
+
+def test_copies_and_large_rounds(spark, monkeypatch):
+    """Copies are merged without a round each, and no pair of rows is shuffled."""
+    monkeypatch.setattr(linkage, "FINISH", 4)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(12, 2)).round(2)
+    points = {f"c{k:03}": base[k % 12].tolist() for k in range(150)}
+    (merges, leaves), records = shuffled(spark, lambda: [t.collect() for t in linkage.complete_linkage(spark.createDataFrame([*points.items()], SCHEMA), "x", "id")])
+    want, order = brute(points)
+    assert sorted((r.left, r.right, round(r.height, 9), r.size) for r in merges) == want
+    assert [r.id for r in sorted(leaves, key=lambda r: r.position)] == order
+    assert records < 150 * 149 / 2

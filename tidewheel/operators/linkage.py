@@ -1,39 +1,120 @@
 """Complete-linkage clustering: merges and leaf order as rows.
 
-Two clusters that are each other's nearest stay so whatever else is merged, so all such pairs merge in one round: a
-round is two aggregations of the distances, and the number of clusters falls by a share each time. The last FINISH
-clusters are merged in one task. Ties go to the smaller ids, which gives the same tree however rounds fall. Distances
-of all rows with all rows are the operator's input by definition, so their number grows with the square of the rows.
+Two clusters that are each other's nearest stay so whatever else is merged, so all such pairs merge in one round, and the
+number of clusters falls by a share each time. No distances are kept: a round finds the nearest cluster of those whose own
+or nearest one was merged, from the members of all clusters, which stream past groups of clusters. A cluster's nearest
+stays so until it is merged itself. Equal rows are one cluster from the start. The last FINISH clusters are merged in one
+task. Ties go to the smaller ids, which gives the same tree however rounds fall. Work grows with the square of the
+different rows by definition; what is written or shuffled grows with the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.blocks import Block, against_all, distances, packed, saved
+from tidewheel.operators.blocks import OWN, saved, tasks
 
 #: Clusters that one task merges.
 FINISH = 512
+#: Numbers in a matrix of distances, and in one of a group's clusters and some clusters' members.
+TILE, WIDE = 262_144, 4_000_000
+
+
+def _complete(own: tuple, other: tuple) -> np.ndarray:
+    """Squared complete-linkage distances of clusters (ids, starts, members) with others."""
+    x, y, out = own[2], other[2], []
+    step = max(1, TILE // len(x))
+    for k in range(0, len(y), step):
+        z = y[k : k + step]
+        d = np.zeros((len(x), len(z)))
+        for i in range(x.shape[1]):
+            d += np.subtract.outer(x[:, i], z[:, i]) ** 2
+        out.append(np.maximum.reduceat(d, own[1], axis=0) if len(own[0]) < len(x) else d)
+    wide = np.concatenate(out, axis=1)
+    return np.maximum.reduceat(wide, other[1], axis=1) if len(other[0]) < len(y) else wide
+
+
+def _listed(rows: list[tuple], order: bool = False) -> tuple:
+    rows = sorted(rows, key=lambda r: r[0]) if order else rows
+    members = [np.asarray(x, float).reshape(n, -1) for _, x, n in rows]
+    return np.array([c for c, _, _ in rows]), np.cumsum([0, *(len(m) for m in members[:-1])]), np.concatenate(members)
+
+
+def _past(own: DataFrame, clusters: DataFrame, run: Callable[[tuple, Iterator[tuple]], pd.DataFrame], schema: str) -> DataFrame:
+    """The rows that run(some clusters of `own`, all clusters in slices) gives, about two groups of `own` a core."""
+    spark = own.sparkSession
+    count, members = own.agg(F.count(F.lit(1)), F.sum("m")).first()
+    groups = int(max(1, min(count, max(2 * spark.sparkContext.defaultParallelism, (members or 0) // OWN))))
+    mine = own.select("c", "x", "m", F.pmod(F.xxhash64("c"), F.lit(groups)).cast("int").alias("mine"), F.lit(True).alias("own"))
+    rest = clusters.select("c", "x", "m", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("mine"), F.lit(False).alias("own"))
+    stream = mine.unionByName(rest).repartition(tasks(spark), "mine").sortWithinPartitions("mine", F.desc("own"))
+
+    def sliced(rows: Iterator[tuple], most: int) -> Iterator[tuple]:
+        held, size = [], 0
+        for r in rows:
+            if held and size + r[2] > most:
+                yield _listed(held, True)
+                held, size = [], 0
+            held.append(r)
+            size += r[2]
+        if held:
+            yield _listed(held, True)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in zip(b["c"], b["x"], b["m"], b["mine"], b["own"], strict=True))
+        for _, group in groupby(rows, key=lambda r: r[3]):
+            held, others = [], iter(())
+            for r in group:
+                if not r[4]:
+                    first = r
+                    break
+                held.append(r[:3])
+            else:
+                continue
+            if held:
+                whole = _listed(held)
+                others = sliced((q[:3] for part in ([first], group) for q in part), max(1, WIDE // len(held)))
+                yield run(whole, others)
+
+    return stream.mapInPandas(go, schema)
+
+
+def nearest(own: DataFrame, clusters: DataFrame, kind: str) -> DataFrame:
+    """c, its nearest cluster b and their squared distance q, for the clusters of `own`."""
+
+    def run(mine: tuple, others: Iterator[tuple]) -> pd.DataFrame:
+        best, at = np.full(len(mine[0]), np.inf), mine[0].copy()
+        for other in others:
+            d = _complete(mine, other)
+            d[mine[0][:, None] == other[0][None]] = np.inf
+            k = d.argmin(1)  # the smallest id of a tie
+            q, b = d[np.arange(len(d)), k], other[0][k]
+            closer = (q < best) | ((q == best) & np.isfinite(q) & (b < at))
+            best[closer], at = q[closer], np.where(closer, b, at)
+        some = np.isfinite(best)
+        return pd.DataFrame({"c": mine[0][some], "b": at[some], "q": best[some]})
 
+    return _past(own, clusters, run, f"c {kind}, b {kind}, q double")
 
-def pair_distances(df: DataFrame, array_col: str, key: str) -> DataFrame:
-    """a < b and their Euclidean distance h, for all rows."""
-    kind = df.schema[key].dataType.simpleString()
 
-    def run(own: Block, others: Iterator[Block]) -> pd.DataFrame:
+def pair_distances(clusters: DataFrame, kind: str) -> DataFrame:
+    """a < b and their squared distance h, for a few clusters."""
+
+    def run(mine: tuple, others: Iterator[tuple]) -> pd.DataFrame:
         out = []
         for other in others:
-            a, b = np.meshgrid(own.columns[0], other.columns[0], indexing="ij")
-            first = a < b
-            out.append(pd.DataFrame({"a": a[first], "b": b[first], "h": distances(own.x, other.x)[first]}))
+            d, first = _complete(mine, other), mine[0][:, None] < other[0][None]
+            a, b = np.nonzero(first)
+            out.append(pd.DataFrame({"a": mine[0][a], "b": other[0][b], "h": d[first]}))
         return pd.concat(out)
 
-    return against_all(packed(df, array_col, [key], key, size=128), run, f"a {kind}, b {kind}, h double")
+    return _past(clusters, clusters, run, f"a {kind}, b {kind}, h double")
 
 
 def _merged(pairs: pd.DataFrame, sizes: dict) -> tuple[list[tuple], list[tuple]]:
@@ -67,28 +148,37 @@ def complete_linkage(df: DataFrame, array_col: str, key: str) -> tuple[DataFrame
     Rows with a null key or vector are left out; keys are to be different.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.where(F.col(key).isNotNull() & F.col(array_col).isNotNull()).select(F.col(key).alias("id"), F.col(array_col).alias("x"))
-    leaves = saved(rows.select("id", F.col("id").alias("cluster"), F.lit(0).cast("long").alias("position")), "linkage-leaves")
-    sizes, pairs, found = leaves.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), saved(pair_distances(rows, "x", "id"), "linkage-pairs"), None
-    while sizes.limit(FINISH + 1).count() > FINISH:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "h"))
-        nearest = both.groupBy("a").agg(F.min(F.struct("h", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("p"))
-        mutual = nearest.groupBy("p.lo", "p.hi", "p.h").count().where("count = 2").select("lo", "hi", "h")
-        counted = mutual.join(sizes.select(F.col("cluster").alias("lo"), F.col("size").alias("n_lo")), "lo").join(sizes.select(F.col("cluster").alias("hi"), F.col("size").alias("n_hi")), "hi")
-        merged = saved(counted.select("lo", "hi", "h", "n_lo", "n_hi"), "linkage-merged")
-        step = merged.select(F.col("lo").alias("left"), F.col("hi").alias("right"), F.col("h").alias("height"), (F.col("n_lo") + F.col("n_hi")).alias("size"))
-        found = step if found is None else found.unionByName(step)
+    rows = df.where(F.col(key).isNotNull() & F.col(array_col).isNotNull()).select(F.col(key).alias("id"), F.col(array_col).cast("array<double>").alias("x"))
+    equal = Window.partitionBy("x").orderBy("id")
+    rows = saved(rows.withColumns({"cluster": F.min("id").over(Window.partitionBy("x")), "position": (F.row_number().over(equal) - 1).cast("long")}), "linkage-rows")
+    leaves = rows.select("id", "cluster", "position")
+    found = rows.where("position > 0").select(F.col("cluster").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("height"), (F.col("position") + 1).alias("size"))
+    # c, how many rows and different ones it has, the different ones end to end
+    clusters = saved(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x")).select(F.col("cluster").alias("c"), "n", F.lit(1).cast("long").alias("m"), "x"), "linkage-clusters")
+    near = None
+    while clusters.limit(FINISH + 1).count() > FINISH:
+        stale = clusters if near is None else clusters.join(near.select("c"), "c", "left_anti")
+        fresh = nearest(stale, clusters, kind)
+        near = saved(fresh if near is None else near.unionByName(fresh), "linkage-near")
+        back = near.select(F.col("c").alias("_b"), F.col("b").alias("_c"))
+        mutual = near.where("c < b").join(back, (F.col("b") == F.col("_b")) & (F.col("c") == F.col("_c"))).select(F.col("c").alias("lo"), F.col("b").alias("hi"), "q")
+        n = lambda side: clusters.select(F.col("c").alias(side), F.col("n").alias(f"n_{side}"))
+        merged = saved(mutual.join(n("lo"), "lo").join(n("hi"), "hi").select("lo", "hi", F.sqrt("q").alias("h"), "n_lo", "n_hi"), "linkage-merged")
+        if not merged.head(1):  # no distances that can be compared
+            break
+        found = found.unionByName(merged.select(F.col("lo").alias("left"), F.col("hi").alias("right"), F.col("h").alias("height"), (F.col("n_lo") + F.col("n_hi")).alias("size")))
         goes = merged.select(F.col("hi").alias("_from"), F.col("lo").alias("_to"), "n_lo")
         moved = leaves.join(goes, leaves.cluster == goes._from, "left")
         leaves = saved(moved.select("id", F.coalesce("_to", "cluster").alias("cluster"), (F.col("position") + F.coalesce("n_lo", F.lit(0))).alias("position")), "linkage-leaves")
-        sizes = leaves.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        to = lambda side, pairs: pairs.join(goes.select(F.col("_from").alias(side), F.col("_to").alias(f"_{side}")), side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
-        pairs = to("b", to("a", pairs)).where("a <> b")
-        pairs = saved(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("h").alias("h")), "linkage-pairs")
+        joined = clusters.join(goes, clusters.c == goes._from, "left").groupBy(F.coalesce("_to", "c").alias("c"))
+        clusters = saved(joined.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.flatten(F.collect_list("x")).alias("x")), "linkage-clusters")
+        gone = merged.select(F.explode(F.array("lo", "hi")).alias("_gone"))
+        near = near.join(gone, near.c == gone._gone, "left_anti").join(gone, F.col("b") == F.col("_gone"), "left_anti")
+    pairs, sizes = saved(pair_distances(clusters, kind), "linkage-pairs"), clusters.select(F.col("c").alias("cluster"), F.col("n").alias("size"))
 
     def finish(_: tuple, rest: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
         merges, order = _merged(rest, dict(zip(clusters["cluster"], clusters["size"], strict=True)))
-        return pd.DataFrame([(*m, None) for m in merges] + [(c, None, None, None, o) for c, o in order], columns=["left", "right", "height", "size", "offset"]).astype({"size": "Int64", "offset": "Int64", "height": float})
+        return pd.DataFrame([(a, b, np.sqrt(h), n, None) for a, b, h, n in merges] + [(c, None, None, None, o) for c, o in order], columns=["left", "right", "height", "size", "offset"]).astype({"size": "Int64", "offset": "Int64", "height": float})
 
     one = F.lit(0).alias("_g")
     ended = pairs.groupBy(one).cogroup(sizes.groupBy(one)).applyInPandas(finish, f"left {kind}, right {kind}, height double, size long, offset long")
@@ -96,4 +186,4 @@ def complete_linkage(df: DataFrame, array_col: str, key: str) -> tuple[DataFrame
     last = ended.where("offset is null").drop("offset")
     offsets = ended.where("offset is not null").select(F.col("left").alias("cluster"), "offset")
     placed = leaves.join(F.broadcast(offsets), "cluster").select(F.col("id").alias(key), (F.col("position") + F.col("offset")).alias("position"))
-    return last if found is None else found.unionByName(last), placed
+    return found.unionByName(last), placed
