@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tests.test_block_costs import shuffled
 from tidewheel.operators import quantiles
 from tidewheel.plans.catalogue import QUERIES
 
@@ -40,3 +41,13 @@ def test_queries_are_the_same_with_every_group_hot(spark, monkeypatch):
     monkeypatch.setattr(quantiles.group_quantiles, "__defaults__", ("q", 60))
     for n, rows in zip(names, want, strict=True):
         assert sort(QUERIES[n](spark, SF)) == rows, n
+
+
+def test_values_are_counted_before_they_move(spark):
+    df = spark.range(60_000).selectExpr("id % 3 AS k", "CAST(id % 7 AS DOUBLE) AS v").repartition(4).cache()
+    df.count()
+    got, records = shuffled(spark, lambda: quantiles.group_quantiles(df, ["k"], "v", [0.1, 0.5], leaf=100).collect())
+    values = np.arange(60_000)
+    assert all(r.q == pytest.approx(np.quantile(values[values % 3 == r.k] % 7, [0.1, 0.5])) for r in got) and len(got) == 3
+    df.unpersist()
+    assert records < 2000

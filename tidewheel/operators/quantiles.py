@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.blocks import saved
+from tidewheel.operators.chunks import Chunks, numbered
 
 #: Values that the last step may sort in one task.
 LEAF = 200_000
-#: Steps between the approximate quantiles of a round.
-GRID = 100
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], leaf: int = LEAF) -> list[float | None]:
@@ -61,63 +56,26 @@ def _at(values: DataFrame, rank: float, n: int, leaf: int) -> float:
 def group_quantiles(df: DataFrame, keys: list[str], column: str, probabilities: list[float], out: str = "q", leaf: int = LEAF) -> DataFrame:
     """keys, out: exact quantiles per group as an array in the order of `probabilities` (null for a group without values).
 
-    Groups of at most `leaf` values are sorted by key. In larger ones each wanted rank is bracketed, all groups and
-    ranks together: a round is one scan that narrows every bracket by approximate quantiles, summed on the map side,
-    until what lies between is at most `leaf` values or one value. Only that is sorted, so no task holds a hot group.
+    Equal values are counted first, on the map side, so that later steps see each value of a group once. Groups of at
+    most `leaf` rows altogether are then sorted by key. Else the counts are range-partitioned by group and value, in
+    chunks whose totals are carried along, so that no task holds a hot group and there is one shuffle more, not a scan a round.
     """
     values = df.select(*keys, F.col(column).cast("double").alias("_v"))
     listed = F.array(*map(F.lit, probabilities))
     if values.limit(leaf + 1).count() <= leaf:
         return values.groupBy(*keys).agg(F.percentile("_v", listed).alias(out))
-    counts = saved(values.groupBy(*keys).agg(F.count(F.when(~F.isnan("_v"), 1)).alias("_n")), "group-counts")
-    large = counts.where(F.col("_n") > leaf)  # at most rows / leaf of them
-    if not large.head(1):
-        return values.groupBy(*keys).agg(F.percentile("_v", listed).alias(out))
-    same = lambda a, b: reduce(and_, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
-    few = counts.where(F.col("_n") <= leaf).select(*keys)
-    small = values.alias("v").join(few.alias("f"), same(values.alias("v"), few.alias("f")), "left_semi").groupBy(*keys).agg(F.percentile("_v", listed).alias(out))
-    asked = large.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(len(probabilities) - 1))))
-    rank = F.get(listed, F.col("_p")) * (F.col("_n") - 1)
-    state = asked.withColumns({"_rank": rank, "_at": F.floor(rank), "_low": F.lit(float("-inf")), "_high": F.lit(float("inf")), "_below": F.lit(0).cast("long"), "_in": F.col("_n"), "_done": F.lit(False)})
-    state = saved(state, "group-brackets")
-    names = [*keys, "_p"]
-    own = [c for c in state.columns if c not in keys]
-
-    def between(ranges: DataFrame) -> DataFrame:
-        """The values in each open bracket; brackets are few and meet the rows by key."""
-        b = ranges.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *own)
-        meets = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.lit(True))
-        rows = values.where("_v is not null and not isnan(_v)").join(F.broadcast(b) if _few(b) else b, meets)
-        return rows.where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))).drop(*(f"_k{i}" for i in range(len(keys))))
-
-    while True:
-        open_ = state.where((F.col("_in") > leaf) & ~F.col("_done"))
-        if not open_.head(1):
-            break
-        share = (F.col("_at") - F.col("_below")) / F.col("_in")
-        guess = between(open_).groupBy(*names).agg(F.percentile_approx("_v", F.array(*(F.lit(i / GRID) for i in range(GRID + 1))), 20 * GRID).alias("_g"), F.first(share).alias("_s"))
-        at = lambda shift: F.get("_g", F.greatest(F.lit(0), F.least(F.lit(GRID), (F.floor(F.col("_s") * GRID) + shift).cast("int"))))
-        guess = guess.select(*names, at(-1).alias("_a"), at(2).alias("_b"))
-        tried = open_.join(guess, names) if not keys else open_.alias("o").join(guess.alias("g"), reduce(and_, (F.col(f"o.{k}").eqNullSafe(F.col(f"g.{k}")) for k in names))).select("o.*", "_a", "_b")
-        tried = saved(tried, "group-tried")
-        own, kept = [*own, "_a", "_b"], own
-        inside = between(tried).groupBy(*names).agg(F.count(F.when(F.col("_v") < F.col("_a"), 1)).alias("_less"), F.count(F.when((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b")), 1)).alias("_within"))
-        own = kept
-        seen = tried.alias("o").join(inside.alias("g"), reduce(and_, (F.col(f"o.{k}").eqNullSafe(F.col(f"g.{k}")) for k in names))).select("o.*", "_less", "_within")
-        below = F.col("_below") + F.col("_less")
-        ok = (below <= F.col("_at")) & (F.least(F.col("_at") + 1, F.col("_n") - 1) < below + F.col("_within"))
-        moved = seen.withColumns({"_low": F.when(ok, F.col("_a")).otherwise(F.col("_low")), "_high": F.when(ok, F.col("_b")).otherwise(F.col("_high")), "_done": ~ok | (ok & (F.col("_a") == F.col("_b"))) | (F.col("_within") >= F.col("_in")), "_below": F.when(ok, below).otherwise(F.col("_below")), "_in": F.when(ok, F.col("_within")).otherwise(F.col("_in"))})
-        state = saved(state.where((F.col("_in") <= leaf) | F.col("_done")).unionByName(moved.select(*state.columns)), "group-brackets")
-    # equal values are counted, so that a bracket of one value is one row however often it occurs
-    steps = between(state).groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_rank").alias("_rank"), F.first("_at").alias("_at"), F.first("_below").alias("_below"), F.first("_n").alias("_n"))
-    up_to = F.sum("_c").over(Window.partitionBy(*names).orderBy("_v")) + F.col("_below")
-    first = F.min(F.when(F.col("_to") > F.col("_at"), F.col("_v"))).alias("_x")
-    second = F.min(F.when(F.col("_to") > F.least(F.col("_at") + 1, F.col("_n") - 1), F.col("_v"))).alias("_y")
-    found = steps.withColumn("_to", up_to).groupBy(*names).agg(first, second, F.first(F.col("_rank") - F.col("_at")).alias("_f"))
-    found = found.select(*names, (F.col("_x") + F.col("_f") * (F.col("_y") - F.col("_x"))).alias("_q"))
-    wide = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_q"))), lambda s: s["_q"]).alias(out))
-    return small.unionByName(wide)
-
-
-def _few(table: DataFrame, most: int = 10_000) -> bool:
-    return table.limit(most + 1).count() <= most
+    counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_count"))
+    c = Chunks([*keys])
+    rows = numbered(counts, [*keys], "_v")
+    known = F.col("_v").isNotNull() & ~F.isnan("_v")
+    rows = rows.withColumn("_count", F.when(known, F.col("_count")).otherwise(0))
+    every = Window.partitionBy(*keys)  # a row a chunk
+    rows = c.carried(rows, {"_s": F.sum("_count")}, {"_base": F.coalesce(F.sum("_s").over(c.earlier), F.lit(0)), "_n": F.sum("_s").over(every)})
+    rows = rows.withColumn("_to", F.sum("_count").over(c.so_far) + F.col("_base"))
+    rank = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
+    # the first values whose running counts pass the ranks on both sides of a quantile
+    first = lambda at: F.min(F.when(known & (F.col("_to") > at), F.col("_v")))
+    sides = [x for k, p in enumerate(probabilities) for x in (first(F.floor(rank(p))).alias(f"_x{k}"), first(F.least(F.floor(rank(p)) + 1, F.col("_n") - 1)).alias(f"_y{k}"))]
+    found = rows.groupBy(*keys).agg(*sides, F.first("_n").alias("_n"))
+    at = [F.col(f"_x{k}") + (rank(p) - F.floor(rank(p))) * (F.col(f"_y{k}") - F.col(f"_x{k}")) for k, p in enumerate(probabilities)]
+    return found.select(*keys, F.when(F.col("_n") > 0, F.array(*at)).alias(out))

@@ -303,7 +303,7 @@ def _(read):
     from tidewheel.operators.quantiles import exact_quantiles
 
     rows = read("lineitem")
-    counts = binning.cells(rows, [_Q, _D], ["l_tax"]).select("l_tax_count")
+    counts = rows.groupBy(_Q.label().alias("q"), _D.label().alias("d")).agg(F.count("l_tax").alias("l_tax_count")).na.drop(subset=["q", "d"])
     least = int(exact_quantiles(counts, "l_tax_count", [0.5])[0])
     out, _ = binning.cube_model(rows, [_Q, _D], ["l_extendedprice", "l_tax"], least=least)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "cube_id", F.round("res_l_extendedprice", 4).alias("res_l_extendedprice"), F.round("res_l_tax", 6).alias("res_l_tax"))
