@@ -168,6 +168,7 @@ def refine(df: DataFrame, variables: list[str], bins: int = 8, tolerance: float
         counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("count"), *(c.alias(k) for k, c in stats.items()))
         if target:
             counts = counts.join(quantiles.group_quantiles(keyed, names, "_t", [0.5]).select(*names, F.col("q")[0].alias("median")), names)
+        counts = saved(counts, "mesh-level")  # a row per cell, read for the leaves and for the next levels
         last = level == levels
         leaves = (counts if last else counts.where(F.col("count") < limit)).select(F.lit(level).alias("level"), *names, F.col("count").alias("n"), *(["median", *stats] if target else []))
         out = leaves if out is None else out.unionByName(leaves)
