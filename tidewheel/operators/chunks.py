@@ -19,10 +19,10 @@ def is_long(df: DataFrame) -> bool:
     return df.limit(WHOLE + 1).count() > WHOLE
 
 
-def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """df with _chunk (ascending along each key) and _k, the order of its rows in a chunk."""
     parts = max(tasks(df.sparkSession), -(-df.count() // WHOLE))
-    out = df.repartitionByRange(parts, *keys, order).sortWithinPartitions(*keys, order).withColumn("_k", F.monotonically_increasing_id())
+    out = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_k", F.monotonically_increasing_id())
     return saved(out.withColumn("_chunk", F.shiftright("_k", 33).cast("int")), "chunks")
 
 

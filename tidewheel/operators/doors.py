@@ -63,11 +63,11 @@ def deviations(rows: DataFrame, mode: str) -> DataFrame:
     return slopes.groupBy("_s").agg(F.coalesce(ways.get(mode, ways["mean"]), F.lit(0.0)).alias("_dev"))
 
 
-def compress_long(df: DataFrame, keys: list[str], time_col: str, value: str, mode: str = "zmean", dev: float | None = None, keep_last: bool = False) -> DataFrame:
+def compress_long(df: DataFrame, keys: list[str], time_col: str, value: str, mode: str = "zmean", dev: float | None = None, keep_last: bool = False, ties: list[str] = ()) -> DataFrame:
     """series.compress over chunks."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     rows = rows.withColumn("_s", F.to_json(F.struct(*keys)) if keys else F.lit(""))
-    base = chunks.numbered(rows, ["_s"], time_col)
+    base = chunks.numbered(rows, ["_s"], time_col, *ties)
     timed = dict(df.dtypes)[time_col].startswith(("timestamp", "date"))
     at = micros(F.col(time_col)) if timed else F.col(time_col).cast("double")
     since = base.groupBy("_s").agg(F.min(at).alias("_t0"))

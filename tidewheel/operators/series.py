@@ -61,16 +61,16 @@ def _seconds(at: pd.Series, since: pd.Series) -> np.ndarray:
     return (us(at) - us(since)[0]) / 1e6 if len(at) else np.zeros(0)
 
 
-def compress(df: DataFrame, keys: list[str], time_col: str, value: str, mode: str = "zmean", dev: float | None = None, keep_last: bool = False) -> DataFrame:
-    """The rows that swinging-door compression keeps of each group; long tables go over chunks."""
+def compress(df: DataFrame, keys: list[str], time_col: str, value: str, mode: str = "zmean", dev: float | None = None, keep_last: bool = False, ties: list[str] = ()) -> DataFrame:
+    """The rows that swinging-door compression keeps of each group; long tables go over chunks. `ties` order rows of one time."""
     schema = df.schema
     if chunks.is_long(df):
         from tidewheel.operators.doors import compress_long
 
-        return compress_long(df, keys, time_col, value, mode, dev, keep_last)
+        return compress_long(df, keys, time_col, value, mode, dev, keep_last, ties)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[value]).sort_values(time_col, kind="stable")
+        rows = rows.dropna(subset=[value]).sort_values([time_col, *ties], kind="stable")
         t, v = _seconds(rows[time_col], rows[time_col]), rows[value].to_numpy(float)
         return rows.iloc[swinging_door(t, v, deviation(t, v, mode) if dev is None else dev, keep_last)]
 

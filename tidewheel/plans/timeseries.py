@@ -290,13 +290,13 @@ def _sdt(dev: float | None, last: bool) -> str:
 
 @C.add("sdt_compress", f"WITH RECURSIVE {_sdt(None, False)} SELECT z.event_type, event_id, ts, v AS value FROM z JOIN (SELECT DISTINCT event_type, i FROM k) k ON k.event_type = z.event_type AND k.i = z.i")
 def _(read):
-    return series.compress(read("events").select("event_type", "event_id", "ts", "value"), ["event_type"], "ts", "value")
+    return series.compress(read("events").select("event_type", "event_id", "ts", "value"), ["event_type"], "ts", "value", ties=["event_id"])
 
 
 @C.add("sdt_ratio", f"WITH RECURSIVE {_sdt(50.0, False)} SELECT (SELECT count(*) FROM events) AS rows_before, count(*) AS rows_after, round((SELECT count(*) FROM events) / count(*)::DOUBLE, 6) AS ratio FROM (SELECT DISTINCT event_type, i FROM k)")
 def _(read):
     rows = read("events").select("event_type", "event_id", "ts", "value")
-    return series.compression_ratio(rows, series.compress(rows, ["event_type"], "ts", "value", dev=50.0)).withColumns(rounded("ratio"))
+    return series.compression_ratio(rows, series.compress(rows, ["event_type"], "ts", "value", dev=50.0, ties=["event_id"])).withColumns(rounded("ratio"))
 
 
 @C.add("sdt_reconstruction_rmse", f"""WITH RECURSIVE {_sdt(20.0, True)}, q AS (SELECT DISTINCT z.event_type, z.i, z.t, z.v FROM z JOIN k ON k.event_type = z.event_type AND k.i = z.i), l AS (SELECT *, lead(t) OVER o AS t2, lead(v) OVER o AS v2 FROM q WINDOW o AS (PARTITION BY event_type ORDER BY i)),
@@ -304,7 +304,7 @@ def _(read):
     SELECT event_type, round(sqrt(avg((CASE WHEN t2 IS NULL OR t = t1 THEN v1 ELSE v1 + (v2 - v1) / (t2 - t1) * (t - t1) END - v) ** 2)), 6) AS rmse FROM j GROUP BY 1""")
 def _(read):
     rows = read("events").select("event_type", "event_id", "ts", "value")
-    return series.reconstruction_error(rows, series.compress(rows, ["event_type"], "ts", "value", dev=20.0, keep_last=True), ["event_type"], "ts", "value").withColumns(rounded("rmse"))
+    return series.reconstruction_error(rows, series.compress(rows, ["event_type"], "ts", "value", dev=20.0, keep_last=True, ties=["event_id"]), ["event_type"], "ts", "value").withColumns(rounded("rmse"))
 
 
 @C.add("stl_components")
