@@ -1,6 +1,7 @@
 """What queries over blocks and long series shuffle, and their values where rows are many."""
 
 import json
+import timeit
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,28 @@ def test_losses_shuffle_rows_and_not_pairs(spark, monkeypatch):
         assert np.sqrt(pd.Series(off).groupby(e.w).mean()).to_numpy() == pytest.approx([rmse[w, t.w] for w in range(61)])
 
 
+def test_errors_are_products_where_points_repeat():
+    """A product of trees x points with points x workers in place of every tree at every row, to the same figures."""
+    rng = np.random.default_rng(0)
+    p, counts = rng.normal(50, 20, (256, 168)), np.full(120, 67)
+    at, y = rng.integers(0, 168, counts.sum()), rng.normal(50, 20, counts.sum())
+    y[:67] = p[3, at[:67]]  # a tree without an error
+    y[67:134] = p[4, at[67:134]] + 1e-5  # and one with a small one
+    y[134], y[201], y[268:335] = np.nan, np.inf, y[268:335] + 1e12
+    want = np.add.reduceat((p[:, at] - y[None]) ** 2, np.r_[0, np.cumsum(counts)[:-1]], axis=1)
+    got = learning.squared_errors(p, at, y, counts)
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+    np.testing.assert_allclose(learning.squared_errors(p[:, :67], np.tile(np.arange(67), 1), y[335:402], np.ones(67, int)), (p[:, :67] - y[335:402]) ** 2, rtol=1e-9)
+    assert got[3, 0] == 0
+
+    def took(rows):
+        counts, at, y = np.full(20, rows), rng.integers(0, 168, 20 * rows), rng.normal(50, 20, 20 * rows)
+        run = lambda: learning.squared_errors(p, at, y, counts)
+        return min(timeit.repeat(run, number=1, repeat=3)) / rows
+
+    assert took(5000) < took(100)  # the work of a row goes down with the rows, as it isn't done for every tree
+
+
 def test_global_forest_shuffles_points(spark, monkeypatch):
     monkeypatch.setattr(federated, "LOSS_ROWS", 100)
     monkeypatch.setattr(federated, "LOSS_TREES", 4)
