@@ -88,3 +88,16 @@ def test_swarm_by_other_scores(spark, score):
     for r in got:
         parts.setdefault(r.cluster, set()).add(r.k // 10)
     assert len(got) == 30 and len(parts) == 3 and all(len(v) == 1 for v in parts.values())
+
+
+def test_swarm_counts_equal_rows(spark, monkeypatch):
+    """Equal rows meet the others once, with their number: the same choice as over a matrix with a row for each."""
+    met = []
+    packed = learning.packed
+    monkeypatch.setattr(learning, "packed", lambda df, *a, **k: met.append(df.count()) or packed(df, *a, **k))
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.normal(0, 1, (30, 2)), 3, axis=0), rng.normal(4, 1, (40, 2))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id int, x array<double>").repartition(3)
+    lab = learning.swarm_assigned(df, "x", "id", candidates=130, most=4, particles=6, rounds=4).toPandas().sort_values("id").cluster.to_numpy()
+    assert (lab == learning.swarm_clusters((x - x.mean(0)) / (x.std(0) + 1e-9), most=4, particles=6, rounds=4)).all()
+    assert met == [70]
