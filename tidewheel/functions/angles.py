@@ -14,7 +14,8 @@ def _rad(x: Column, unit: str) -> Column:
 
 def angular_distance(x: Column, y: Column, boundary: float = 360.0) -> Column:
     """Signed shortest way from y to x, in [-boundary/2, boundary/2)."""
-    return F.pmod(x - y + F.lit(boundary / 2), F.lit(float(boundary))) - F.lit(boundary / 2)
+    turned, full = x - y + F.lit(boundary / 2), F.lit(float(boundary))
+    return F.when((turned >= 0) & (turned < full), turned).otherwise(F.pmod(turned, full)) - F.lit(boundary / 2)  # few need a remainder
 
 
 def circular_mean(x: Column, unit: str = "degree") -> Column:

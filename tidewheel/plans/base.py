@@ -29,3 +29,11 @@ class Catalogue:
 
 def rounded(*names: str, digits: int = 6) -> dict[str, Column]:
     return {n: F.round(n, digits) for n in names}
+
+
+def half_up(name: str, digits: int) -> Column:
+    """The column rounded half away from zero in plain arithmetic, as DuckDB does it; F.round makes a BigDecimal of each value."""
+    x, scale = F.col(name), F.lit(10.0**digits)
+    y = F.abs(x) * scale
+    up = F.rint(y) + F.when(y - F.rint(y) == 0.5, 1.0).otherwise(0.0)  # rint takes halves to the even side
+    return F.when(y < 2.0**52, F.signum(x) * up / scale + 0.0).otherwise(x)

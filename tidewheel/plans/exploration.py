@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import angles, geo, text
 from tidewheel.operators import aggregate, metrics, patterns
-from tidewheel.plans.base import Catalogue, rounded
+from tidewheel.plans.base import Catalogue, half_up, rounded
 
 C = Catalogue()
 _KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -184,13 +184,13 @@ def _places(read):
 @C.add("pairwise_euclidean", f"WITH p AS ({_PLACES}) SELECT a.k AS a, b.k AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) AS distance FROM p a, p b")
 def _(read):
     p = _places(read)
-    return metrics.pairwise(p, p, ("k", "k"), ["x", "y"]).withColumns(rounded("distance", digits=4))
+    return metrics.pairwise(p, p, ("k", "k"), ["x", "y"]).withColumn("distance", half_up("distance", 4))
 
 
 @C.add("pairwise_mixed", f"WITH p AS ({_PLACES}) SELECT a.k AS a, b.k AS b, round(abs(a.x - b.x) + abs(a.y - b.y) + CASE WHEN a.w - b.w < -180 THEN a.w - b.w + 360 WHEN a.w - b.w >= 180 THEN a.w - b.w - 360 ELSE a.w - b.w END, 4) AS distance FROM p a, p b")
 def _(read):
     p = _places(read)
-    return metrics.pairwise(p, p, ("k", "k"), ["x", "y"], ["w"], kind="mixed").withColumns(rounded("distance", digits=4))
+    return metrics.pairwise(p, p, ("k", "k"), ["x", "y"], ["w"], kind="mixed").withColumn("distance", half_up("distance", 4))
 
 
 @C.add("angular_distance", f"WITH t AS ({_ANGLE}) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a - b < -180 THEN a - b + 360 WHEN a - b >= 180 THEN a - b - 360 ELSE a - b END AS distance FROM t")
