@@ -62,3 +62,23 @@ def test_copies_and_large_rounds(spark, monkeypatch):
     assert sorted((r.left, r.right, round(r.height, 9), r.size) for r in merges) == want
     assert [r.id for r in sorted(leaves, key=lambda r: r.position)] == order
     assert records < 150 * 149 / 2
+
+
+@pytest.mark.parametrize("listed", [4_000_000, 0])
+def test_nearest_of_large_clusters(spark, monkeypatch, listed):
+    """Bounds leave out no nearest cluster, whatever the clusters' sizes; no copy of the clusters is shuffled for each group."""
+    monkeypatch.setattr(linkage, "LISTED", listed)
+    monkeypatch.setattr(linkage, "PRODUCT", 60)
+    monkeypatch.setattr(linkage, "SLICE", 900)
+    rng = np.random.default_rng(3)
+    held = {f"k{k}": rng.normal(rng.uniform(-3, 3, 3), rng.choice([0.01, 1.0]), (int(rng.integers(1, 30)), 3)).round(1) for k in range(120)}
+    held["k7"] = held["k3"] = np.ones((2, 3))
+    df = spark.createDataFrame([(c, x.ravel().tolist(), len(x)) for c, x in held.items()], "c string, x array<double>, m long").repartition(2)
+    far = {(a, b): max(float(((p - q) ** 2).sum()) for p in held[a] for q in held[b]) for a, b in itertools.combinations(sorted(held), 2)}
+    got, records = shuffled(spark, lambda: linkage.nearest(df, df, "string").collect())
+    assert len(got) == len(held) and (records < 4 * len(held) or not listed)  # slices that are read again give a result each
+    for r in got:
+        q, b = min((round(far[min(r.c, o), max(r.c, o)], 9), o) for o in held if o != r.c)
+        assert (round(r.q, 9), r.b) == (q, b)
+    pairs = linkage.pair_distances(df, "string").collect()
+    assert {(r.a, r.b): round(r.h, 9) for r in pairs} == {k: round(v, 9) for k, v in far.items()}
