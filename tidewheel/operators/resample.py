@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +50,7 @@ class _Bounds(BaseIndexer):
         return self.first, self.end
 
 
-def _medians(v: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray, block: np.ndarray) -> np.ndarray:
+def _medians(v: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Medians of the known values in windows; ranks stand for values, so that infinite ones and NaN (the largest) are values too."""
     levels, rank = np.unique(v[known], return_inverse=True)
     ranks = np.full(len(v), np.nan)
@@ -56,58 +59,82 @@ def _medians(v: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarra
     low, high = (rolled.quantile(0.5, interpolation=way).to_numpy() for way in ("lower", "higher"))
     out, some = np.full(len(v), np.nan), ~np.isnan(low)
     a, b = levels[low[some].astype(int)], levels[high[some].astype(int)]
-    out[some] = np.where(a == b, a, 0.5 * a + 0.5 * b)
+    with np.errstate(invalid="ignore"):  # the middle of -inf and inf is NaN
+        out[some] = np.where(a == b, a, 0.5 * a + 0.5 * b)
     return out
 
 
-def _means(v: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Means of the known values in windows: blocks are a window long, so a window is the end of a block and the start of the next.
+def _means(v: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Means of the known values in windows: blocks, which begin at the cuts, are a window long, so a window is the end of a
+    block and the start of the next.
 
     Both are running sums within a block; nothing is subtracted.
     """
     x, n = np.where(known, v, 0.0), np.r_[0, np.cumsum(known)]
-    cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(v)]
     up, down = np.empty(len(v)), np.zeros(len(v) + 1)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        up[a:b] = np.cumsum(x[a:b])
-        down[a:b] = np.cumsum(x[a:b][::-1])[::-1]
-    start = cuts[np.searchsorted(cuts, np.arange(len(v)), "right") - 1]
-    total = up[end - 1] + np.where(first < start, down[first], 0.0)
-    count = n[end] - n[first]
-    return np.where(count > 0, total / np.maximum(count, 1), np.nan)
+    with np.errstate(invalid="ignore"):  # -inf and inf add up to NaN
+        for a, b in zip(cuts, [*cuts[1:], len(v)], strict=True):
+            up[a:b] = np.cumsum(x[a:b])
+            down[a:b] = np.cumsum(x[a:b][::-1])[::-1]
+        start = np.repeat(cuts, np.diff([*cuts, len(v)]))
+        total = up[end - 1] + np.where(first < start, down[first], 0.0)
+    return total / np.maximum(n[end] - n[first], 1)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.Table]:
+    """The rows of ordered batches as tables of whole groups, whose first rows are marked; no more than a batch besides one group."""
+    held = []
+    for batch in batches:
+        marks = np.flatnonzero(batch.column(mark).to_numpy(zero_copy_only=False))
+        if len(marks):
+            held.append(batch.slice(0, marks[-1]))
+            if any(b.num_rows for b in held):
+                yield pa.Table.from_batches(held)
+            batch, held = batch.slice(marks[-1]), []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def rolling_values(df: DataFrame, time_col: str, hours: float, stats: dict[str, tuple[str, str]], keys: list[str] = (), stretch: int = 8) -> DataFrame:
-    """rolling() for medians and means, {name: ("median" or "mean", column)}, whose cost doesn't grow with the rows of a window.
+    """rolling() for medians and means, {name: ("median" or "mean", column)}, whose cost grows neither with the rows of a window
+    nor with the number of stretches that a long series has.
 
-    A window aggregate of Spark reads a whole window for each row. Here a stretch of time is a group: medians move along
-    an ordered list, means are made of running sums. A task holds a stretch and one window before it.
+    A window aggregate of Spark reads a whole window for each row. Here medians move along an ordered list, means are made
+    of running sums. Rows are dealt by stretch of time, with a copy of those one window before it; a task takes its stretches
+    in batches of many short ones, and holds a stretch at least.
     """
     width = int(hours * 3.6e9) - 1
     at = micros(F.col(time_col))
     part = lambda t: F.floor(t / ((width + 1) * stretch)).cast("long")
     sources = list(dict.fromkeys(c for _, c in stats.values()))
-    known = {f"_known{i}": F.col(c).isNotNull() for i, c in enumerate(sources)} | {f"_value{i}": F.col(c).cast("double") for i, c in enumerate(sources)}
-    rows = df.withColumns({"_at": at, "_own": part(at)} | known).withColumn("_part", F.explode_outer(F.sequence("_own", part(F.col("_at") + width))))
+    dealt = df.withColumn("_part", F.explode_outer(F.sequence(part(at), part(at + width)))).repartition(*keys, "_part")
+    rows = dealt.withColumns({"_at": at, "_mine": part(at).eqNullSafe(F.col("_part"))} | {f"_value{i}": F.col(c).cast("double") for i, c in enumerate(sources)})
+    # numbering them puts a stretch's rows together, in the order of time
+    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_at")) == 1)
     kept = df.columns
 
-    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at", kind="stable")
-        if rows["_at"].isna().any():  # such rows are a group of their own, and each other's window
-            t = block = np.zeros(len(rows), np.int64)
-            mine = np.ones(len(rows), bool)
-        else:
-            t = rows["_at"].to_numpy().astype(np.int64)
-            mine, block = (rows["_own"] == rows["_part"]).to_numpy(), t // (width + 1)
-        first, end = np.searchsorted(t, t - width, "left"), np.searchsorted(t, t, "right")
-        out = rows[kept].copy()
-        for name, (kind, column) in stats.items():
-            k = sources.index(column)
-            out[name] = {"median": _medians, "mean": _means}[kind](rows[f"_value{k}"].to_numpy(float), rows[f"_known{k}"].to_numpy(bool), first, end, block)
-        return out[mine]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, "_first"):
+            t = table["_at"].combine_chunks().fill_null(0).to_numpy()  # rows without a time are a group of their own, and each other's window
+            new, block = table["_first"].to_numpy(), t // (width + 1)
+            first, end = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+            groups = np.flatnonzero(new)
+            for a, b in zip(groups, [*groups[1:], len(t)], strict=True):
+                first[a:b] = a + np.searchsorted(t[a:b], t[a:b] - width, "left")
+                end[a:b] = a + np.searchsorted(t[a:b], t[a:b], "right")
+            cuts = np.flatnonzero(new | np.r_[True, block[1:] != block[:-1]])
+            out = table.select(kept)
+            for name, (kind, column) in stats.items():
+                values = table[f"_value{sources.index(column)}"]
+                known = values.is_valid().to_numpy()
+                found = {"median": _medians, "mean": _means}[kind](values.to_numpy(), known, first, end, cuts)
+                seen = np.r_[0, np.cumsum(known)]
+                out = out.append_column(name, pa.array(found, mask=seen[end] == seen[first]))
+            yield from out.filter(table["_mine"]).to_batches()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{n}` double" for n in stats)])
-    return rows.groupBy(*keys, "_part").applyInPandas(run, fields)
+    return rows.mapInArrow(run, fields)
 
 
 def calendar_lag(df: DataFrame, time_col: str, value: str, lags: dict[str, str], keys: list[str] = ()) -> DataFrame:
