@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewheel.operators import learning
+from tidewheel.operators import learning, metrics
 
 
 def changes(values):
@@ -32,3 +32,18 @@ def test_losses_of_the_same_workers_stand_together(spark, monkeypatch):
         k = kinds[w % 12]
         want = np.sqrt(np.mean((learning.grown(json.loads(trees[d % 12]), k[["a"]].to_numpy()) - k.y.to_numpy()) ** 2))
         assert got[(got.w == w) & (got.donor == d)].rmse.item() == pytest.approx(want)
+
+
+@pytest.mark.parametrize("kind, angular", [("euclidean", []), ("mixed", ["w"])])
+def test_pairs_of_equal_distance_stand_together(spark, monkeypatch, kind, angular):
+    """20 places, 30 rows at each, by turns: ids and distances come in runs, and each pair once."""
+    monkeypatch.setattr(metrics, "TASK_PAIRS", 100_000)
+    e = pd.DataFrame({"k": range(600), "x": [float(k % 20) ** 2 for k in range(600)], "w": [float(k % 20) * 17 for k in range(600)]})
+    e.loc[599, "x"] = None
+    df = spark.createDataFrame([(int(k), None if x != x else x, w) for k, x, w in e.itertuples(index=False)], "k long, x double, w double").repartition(3)
+    got = metrics.pairwise(df, df, ("k", "k"), ["x"], angular, kind=kind).toPandas()
+    assert len(got) == 360_000 and not got.duplicated(["a", "b"]).any()
+    assert changes(got.a.to_numpy()) < 360_000 / 60 and changes(got.distance.fillna(-1).to_numpy()) < 360_000 / 10
+    x, w = (e[c].to_numpy() for c in ("x", "w"))
+    turn = (w[got.a] - w[got.b] + 180) % 360 - 180
+    np.testing.assert_allclose(got.distance, np.abs(x[got.a] - x[got.b]) + (turn if angular else 0), atol=1e-9)

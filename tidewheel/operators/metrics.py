@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.blocks import saved
+
 
 def matrix_distances(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Frobenius, its square and root, Manhattan and cosine distance of two long tables (cells missing on one side are 0)."""
@@ -161,24 +163,40 @@ def mahalanobis(df: DataFrame, columns: list[str], out: str = "distance") -> Dat
     return df.withColumn(out, F.when(square > 0, F.sqrt(square)).when(square <= 0, 0.0))
 
 
-#: Rows of the right side up to which pairwise distances broadcast it; beyond, both sides are dealt in blocks.
+#: Rows of a side up to which pairwise distances broadcast it; beyond, both sides are dealt in blocks.
 BROADCAST_ROWS, BLOCKS = 500_000, 64
-#: Pairs that a task of pairwise() makes, as long as there are fewer than PAIR_TASKS tasks.
+#: Pairs that a task of pairwise() makes, as long as there are fewer than PAIR_TASKS tasks and a task has TILE rows of the right side.
 TASK_PAIRS, PAIR_TASKS = 2_000_000, 8_000
+#: Rows of the right side that a left row meets before the next one.
+TILE = 256
 
 
 def pairwise(left: DataFrame, right: DataFrame, ids: tuple[str, str], columns: list[str], angular: list[str] = (), boundary: float = 360.0, kind: str = "euclidean") -> DataFrame:
-    """ids of both sides and their distance, a row per pair: Euclidean, or the sum of absolute and signed angular differences ("mixed")."""
+    """ids of both sides and their distance, a row per pair: Euclidean, or the sum of absolute and signed angular differences ("mixed").
+
+    Pairs come in tiles of rows of near values: a row's id stays for a tile's width, few ids take turns, and equal
+    distances stand together, so that Parquet's runs and dictionaries keep a written result small.
+    """
     from tidewheel.functions.angles import angular_distance
 
-    a = left.select(F.col(ids[0]).alias("a"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate([*columns, *angular])))
-    b = right.select(F.col(ids[1]).alias("b"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate([*columns, *angular])))
-    n_b = b.count()
-    a = a.repartition(max(1, min(PAIR_TASKS, a.count() * n_b // TASK_PAIRS)))  # a number of partitions that adaptive execution keeps: the input is small, the pairs are many
-    both = a.crossJoin(F.broadcast(b) if n_b <= BROADCAST_ROWS else b.repartition(BLOCKS))
-    n = len(columns)
+    n, both = len(columns), [*columns, *angular]
+    a = left.select(*(F.col(c).alias(f"_a{i}") for i, c in enumerate(both)), F.col(ids[0]).alias("a"))
+    b = right.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(both)), F.col(ids[1]).alias("b"))
+    n_a, n_b = a.count(), b.count()
+    # a number of partitions that adaptive execution keeps: the input is small, the pairs are many
+    parts = max(1, min(PAIR_TASKS, n_a * n_b // TASK_PAIRS, max(n_b // TILE, 4 * right.sparkSession.sparkContext.defaultParallelism)))
+    if max(n_a, n_b) <= BROADCAST_ROWS:
+        tile = F.floor(F.monotonically_increasing_id() / min(TILE, max(1, n_b // parts)))
+        b = saved(b.orderBy(*b.columns).withColumn("_tile", tile), "pair-tiles")
+        same = lambda batches: batches
+        a = a.orderBy(*a.columns).mapInArrow(same, a.schema)  # a step that keeps the order, which a join may drop
+        met = b.select("_tile").distinct().repartition(parts).crossJoin(F.broadcast(a))
+        # and one that hands rows on as they come: in one step with the next join all pairs of a tile would be held
+        pairs = met.mapInArrow(same, met.schema).join(F.broadcast(b), "_tile")
+    else:
+        pairs = b.repartition(parts).crossJoin(F.broadcast(a) if n_a <= BROADCAST_ROWS else a.repartition(BLOCKS))
     if kind == "euclidean":
         distance = F.sqrt(sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) * (F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(n)), F.lit(0.0)))
     else:
-        distance = sum((F.abs(F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(n)), F.lit(0.0)) + sum((angular_distance(F.col(f"_a{i}"), F.col(f"_b{i}"), boundary) for i in range(n, n + len(angular))), F.lit(0.0))
-    return both.select("a", "b", distance.alias("distance"))
+        distance = sum((F.abs(F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(n)), F.lit(0.0)) + sum((angular_distance(F.col(f"_a{i}"), F.col(f"_b{i}"), boundary) for i in range(n, len(both))), F.lit(0.0))
+    return pairs.select("a", "b", distance.alias("distance"))
